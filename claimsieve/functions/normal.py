@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 
-from .text import double
+from pyspark.sql import DataFrame
+
+from .text import double, with_expressions
 
 # --- fixed values: AS 241 coefficients, constant term first ------------------
 CENTRAL_NUM = [
@@ -56,12 +58,9 @@ def polynomial(x: str, coefficients: list[float]) -> str:
     return text
 
 
-def normal_ppf(p: str) -> str:
-    """Quantile of the standard normal distribution for 0 < p < 1."""
-    q = f"(({p}) - {double(0.5)})"
-    square = f"({double(0.180625)} - {q} * {q})"
+def _quantile(q: str, square: str, root: str) -> str:
+    """AS 241 from q = p − 1/2, square = 0.180625 − q² and root = √(−ln min(p, 1−p))."""
     central = f"{q} * {polynomial(square, CENTRAL_NUM)} / {polynomial(square, CENTRAL_DEN)}"
-    root = f"sqrt(-ln(least(({p}), {double(1.0)} - ({p}))))"
     near, far = f"({root} - {double(1.6)})", f"({root} - {double(5.0)})"
     middle = f"{polynomial(near, MIDDLE_NUM)} / {polynomial(near, MIDDLE_DEN)}"
     tail = f"{polynomial(far, TAIL_NUM)} / {polynomial(far, TAIL_DEN)}"
@@ -72,6 +71,30 @@ def normal_ppf(p: str) -> str:
     )
 
 
+def normal_ppf(p: str) -> str:
+    """Quantile of the standard normal distribution for 0 < p < 1, as one expression."""
+    q = f"(({p}) - {double(0.5)})"
+    return _quantile(q, f"({double(0.180625)} - {q} * {q})", f"sqrt(-ln(least(({p}), {double(1.0)} - ({p}))))")
+
+
+def with_normal_ppf(df: DataFrame, new: dict[str, str]) -> DataFrame:
+    """Add quantile columns for SQL probabilities.
+
+    Intermediate values are columns of their own, so they are computed once and the
+    generated code stays small.
+    """
+    steps = [
+        {f"_p_{c}": p for c, p in new.items()},
+        {f"_q_{c}": f"_p_{c} - {double(0.5)}" for c in new},
+        {f"_s_{c}": f"{double(0.180625)} - _q_{c} * _q_{c}" for c in new}
+        | {f"_r_{c}": f"sqrt(-ln(least(_p_{c}, {double(1.0)} - _p_{c})))" for c in new},
+        {c: _quantile(f"_q_{c}", f"_s_{c}", f"_r_{c}") for c in new},
+    ]
+    for step in steps:
+        df = with_expressions(df, step)
+    return df.drop(*[f"_{k}_{c}" for c in new for k in "pqsr"])
+
+
 def normal_cdf(x: str) -> str:
     """Distribution function of the standard normal distribution."""
     z = f"abs({x})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +17,15 @@ def number_text(name: str, dtype: T.DataType | None = None) -> str:
     Spark orders NaN above every number, so a NaN that slipped through would
     satisfy each ``>`` rule.
     """
-    column = f"`{name}`"
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        return f"CAST(`{name}` AS DOUBLE)"
+    value = f"`{name}`"
     if dtype is None or isinstance(dtype, T.StringType):
         # Java accepts a type suffix ("5d"), which is not a number here.
-        column = f"CASE WHEN NOT CAST({column} AS STRING) RLIKE '[dDfF][ \\t]*$' THEN {column} END"
-    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
-        return f"CAST({column} AS DOUBLE)"
-    value = f"try_cast({column} AS DOUBLE)"
-    return f"(CASE WHEN NOT isnan({value}) AND abs({value}) <> double('Infinity') THEN {value} END)"
+        value = f"try_cast(regexp_replace(CAST({value} AS STRING), '[dDfF][ \\t]*$', '?') AS DOUBLE)"
+    elif not isinstance(dtype, T.DoubleType):
+        value = f"try_cast({value} AS DOUBLE)"
+    return f"IF(abs({value}) <= {sys.float_info.max!r}D, {value}, NULL)"
 
 
 def clean_number(name: str, dtype: T.DataType | None = None) -> Column:

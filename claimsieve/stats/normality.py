@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clean_number, flag
-from ..functions.normal import normal_cdf, normal_ppf, polynomial
+from ..functions.normal import normal_cdf, polynomial, with_normal_ppf
 from ..functions.text import double, with_expressions
 from ..plans.ordered import exact_quantiles, value_distribution, with_running_totals
 
@@ -79,35 +79,28 @@ def shapiro_wilk(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _shapiro(ranked: DataFrame, stats: DataFrame) -> DataFrame:
-    def score(rank: str) -> str:
-        return normal_ppf(f"(CAST({rank} AS DOUBLE) - 0.375D) / (CAST(n_total AS DOUBLE) + 0.25D)")
+    def share(rank: str) -> str:
+        return f"(CAST({rank} AS DOUBLE) - 0.375D) / (CAST(n_total AS DOUBLE) + 0.25D)"
 
     # Interior order statistics share one scale, so their sums are enough; the two
     # outermost at each end (one below six values) have weights of their own.
     edge = "IF(n_total > 5, 2, 1)"
-    chunks = _rank_chunks(ranked).withColumns(
-        {
-            "_m1": F.expr(
-                f"aggregate(filter(sequence(_from, _to), r -> r > {edge} AND r <= n_total - {edge}), 0D, (a, r) -> a + {score('r')})"
-            ),
-            "_m2": F.expr(f"aggregate(sequence(_from, _to), 0D, (a, r) -> a + pow({score('r')}, 2D))"),
-        }
-    )
+    ranks = _rank_chunks(ranked).selectExpr("column", "value", "n_total", "explode(sequence(_from, _to)) AS rank")
+    scores = with_normal_ppf(ranks, {"m": share("rank")})
     ends = {"x1": "1", "x2": "2", "xm": "n_total - 1", "xn": "n_total"}
-    sums = chunks.groupBy("column").agg(
+    sums = scores.groupBy("column").agg(
         F.expr("max(n_total) AS n_total"),
-        F.expr("sum(_m2) AS m2"),
-        F.expr("sum(_m1 * value) AS mx"),
-        *[F.expr(f"max(IF(_from <= {r} AND {r} <= _to, value, NULL)) AS {x}") for x, r in ends.items()],
+        F.expr("sum(m * m) AS m2"),
+        F.expr(f"sum(IF(rank > {edge} AND rank <= n_total - {edge}, m * value, 0D)) AS mx"),
+        *[F.expr(f"max(IF(rank = {r}, value, NULL)) AS {x}") for x, r in ends.items()],
     )
     sums = sums.join(F.broadcast(stats), "column")  # one row per column
-    n = "CAST(n_total AS DOUBLE)"
-    u = f"(1D / sqrt({n}))"
+    sums = with_normal_ppf(sums, {"m_last": share("n_total"), "m_next": share("(n_total - 1)")})
     steps = [
-        {"m_last": score("n_total"), "m_next": score("(n_total - 1)")},
+        {"_n": "CAST(n_total AS DOUBLE)", "_u": "1D / sqrt(CAST(n_total AS DOUBLE))"},
         {
-            "a_last": f"IF(n_total = 3, {double(math.sqrt(0.5))}, {polynomial(u, LAST_WEIGHT)} + m_last / sqrt(m2))",
-            "a_next": f"{polynomial(u, NEXT_WEIGHT)} + m_next / sqrt(m2)",
+            "a_last": f"IF(n_total = 3, {double(math.sqrt(0.5))}, {polynomial('_u', LAST_WEIGHT)} + m_last / sqrt(m2))",
+            "a_next": f"{polynomial('_u', NEXT_WEIGHT)} + m_next / sqrt(m2)",
         },
         {
             "scale": "IF(n_total > 5, "
@@ -119,37 +112,49 @@ def _shapiro(ranked: DataFrame, stats: DataFrame) -> DataFrame:
         },
         {
             "shapiro_stat": f"CASE WHEN n_total >= 3 AND std >= {double(TINY_DEVIATION)} "
-            f"THEN least(numerator * numerator / (std * std * ({n} - 1)), 1D) END"
+            "THEN least(numerator * numerator / (std * std * (_n - 1)), 1D) END"
         },
-        {"shapiro_pvalue": _shapiro_pvalue("shapiro_stat", n)},
     ]
     for step in steps:
         sums = with_expressions(sums, step)
-    return sums.selectExpr("column", "n_total AS n", "shapiro_stat", "shapiro_pvalue")
+    tested = _with_shapiro_pvalue(sums)
+    return tested.selectExpr("column", "n_total AS n", "shapiro_stat", "shapiro_pvalue")
 
 
-def _shapiro_pvalue(w: str, n: str) -> str:
-    y, log_n = f"ln(1D - {w})", f"ln({n})"
-    gamma = polynomial(n, SMALL_GAMMA)
-    small = f"(-ln({gamma} - {y}) - {polynomial(n, SMALL_MU)}) / exp({polynomial(n, SMALL_SIGMA)})"
-    large = f"({y} - {polynomial(log_n, LARGE_MU)}) / exp({polynomial(log_n, LARGE_SIGMA)})"
-    three = f"greatest({double(6 / math.pi)} * (asin(sqrt({w})) - {double(math.asin(math.sqrt(0.75)))}), 0D)"
-    return (
-        f"CASE WHEN {w} IS NULL THEN NULL WHEN {w} >= 1 THEN 1D WHEN {n} = 3 THEN {three} "
-        f"WHEN {n} <= 11 AND {y} >= {gamma} THEN {double(1e-99)} "
-        f"WHEN {n} <= 11 THEN {normal_cdf(f'-({small})')} ELSE {normal_cdf(f'-({large})')} END"
-    )
+def _with_shapiro_pvalue(sums: DataFrame) -> DataFrame:
+    """Royston's normalising transformations; three values have a closed form."""
+    small = f"(-ln(_gamma - _y) - {polynomial('_n', SMALL_MU)}) / exp({polynomial('_n', SMALL_SIGMA)})"
+    large = f"(_y - {polynomial('_ln', LARGE_MU)}) / exp({polynomial('_ln', LARGE_SIGMA)})"
+    three = f"greatest({double(6 / math.pi)} * (asin(sqrt(shapiro_stat)) - {double(math.asin(math.sqrt(0.75)))}), 0D)"
+    steps = [
+        {"_y": "IF(shapiro_stat < 1, ln(1D - shapiro_stat), NULL)", "_ln": "ln(_n)", "_gamma": polynomial("_n", SMALL_GAMMA)},
+        {"_z": f"-(CASE WHEN _n > 11 THEN {large} WHEN _y < _gamma THEN {small} END)"},
+        {"_cdf": normal_cdf("_z")},
+        {
+            "shapiro_pvalue": f"CASE WHEN shapiro_stat IS NULL THEN NULL WHEN shapiro_stat >= 1 THEN 1D "
+            f"WHEN _n = 3 THEN {three} WHEN _n <= 11 AND _y >= _gamma THEN {double(1e-99)} ELSE _cdf END"
+        },
+    ]
+    for step in steps:
+        sums = with_expressions(sums, step)
+    return sums
 
 
-def kolmogorov_pvalue(d: str, n: str) -> str:
+def with_kolmogorov_pvalue(df: DataFrame, d: str, n: str, output: str) -> DataFrame:
     """Upper tail of the two-sided statistic: Kolmogorov's series with Vrbik's finite-sample shift (2018)."""
-    root = f"sqrt(CAST({n} AS DOUBLE))"
-    z = f"({root} * {d} + 1D / (6D * {root}) + ({root} * {d} - 1D) / (4D * {n}))"
     # Two forms of the same series; each converges fast on its side.
-    tail = " + ".join(f"{double(2.0 * (-1) ** (k - 1))} * exp({double(-2.0 * k * k)} * {z} * {z})" for k in range(1, 6))
-    head = " + ".join(f"exp({double(-((2 * k - 1) ** 2) * math.pi**2 / 8)} / ({z} * {z}))" for k in range(1, 5))
-    low = f"1D - {double(math.sqrt(2 * math.pi))} / {z} * ({head})"
-    return f"least(greatest(CASE WHEN {z} < 1D THEN {low} ELSE {tail} END, 0D), 1D)"
+    tail = " + ".join(f"{double(2.0 * (-1) ** (k - 1))} * exp({double(-2.0 * k * k)} * _t * _t)" for k in range(1, 6))
+    head = " + ".join(f"exp({double(-((2 * k - 1) ** 2) * math.pi**2 / 8)} / (_t * _t))" for k in range(1, 5))
+    low = f"1D - {double(math.sqrt(2 * math.pi))} / _t * ({head})"
+    steps = [
+        {"_root": f"sqrt(CAST({n} AS DOUBLE))"},
+        {"_t": f"_root * {d} + 1D / (6D * _root) + (_root * {d} - 1D) / (4D * {n})"},
+        {output: f"least(greatest(CASE WHEN _t < 1D THEN {low} WHEN _t >= 1D THEN {tail} END, 0D), 1D)"},
+    ]
+    for step in steps:
+        df = with_expressions(df, step)
+    # least and greatest skip nulls.
+    return with_expressions(df, {output: f"IF({d} IS NULL, NULL, {output})"}).drop("_root", "_t")
 
 
 def ks_normal(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -167,7 +172,7 @@ def _ks(ranked: DataFrame, stats: DataFrame) -> DataFrame:
         F.expr("max(greatest(n_upto / n_total - _cdf, _cdf - n_before / n_total)) AS _d"),
     )
     found = with_expressions(found, {"ks_stat": f"IF(n >= 3 AND std >= {double(TINY_DEVIATION)}, _d, NULL)"})
-    return found.selectExpr("column", "n", "ks_stat", f"{kolmogorov_pvalue('ks_stat', 'n')} AS ks_pvalue")
+    return with_kolmogorov_pvalue(found, "ks_stat", "n", "ks_pvalue").select("column", "n", "ks_stat", "ks_pvalue")
 
 
 def normality_report(df: DataFrame, columns: list[str], alpha: float = ALPHA) -> DataFrame:
@@ -211,9 +216,10 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     ranked = _ranked(df, [column]).join(F.broadcast(moments(df, [column]).select("column", "mean", "std")), "column")
     ranks = _rank_chunks(ranked.where(F.col("n_total") >= 3))
     share = "0.01D + 0.98D * (rank - 1) / (n_total - 1)"
-    return ranks.withColumn("rank", F.explode(F.sequence("_from", "_to"))).selectExpr(
-        "rank", f"{normal_ppf(share)} AS theoretical", "try_divide(value - mean, std) AS sample"
+    points = ranks.selectExpr(
+        "explode(sequence(_from, _to)) AS rank", "n_total", "try_divide(value - mean, std) AS sample"
     )
+    return with_normal_ppf(points, {"theoretical": share}).select("rank", "theoretical", "sample")
 
 
 def qq_line(points: DataFrame) -> DataFrame:
