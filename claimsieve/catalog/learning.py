@@ -13,7 +13,7 @@ from ..learning import balance, contributions, metrics, models, neighbors
 from ..operators.views import normalize_fraud_label
 from ..plans.pipeline import score_claims
 from ..schema import MODEL_FEATURES
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from .base import PREPARED, PROBABILITY, RULED, oracle, prepared, query, ruled, with_probability
 
 LIGHT = models.small_config()
@@ -180,7 +180,7 @@ def _training(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    split = balance.stratified_split(_training(spark, sf_dir), "id").persist()
+    split = stored(balance.stratified_split(_training(spark, sf_dir), "id"), "split")
     return split.where("is_test = 0").drop("is_test"), split.where("is_test = 1").drop("is_test")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -23,8 +22,10 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import double, with_expressions
 from ..operators.features import align_features, numeric_features
 from ..schema import ENSEMBLE_WEIGHTS_CORE, ENSEMBLE_WEIGHTS_FULL, ROW_INDEX
+from ..session import stored
 from .balance import scaling, smote, smote_tomek, stratified_folds, stratified_split, training_guard
 from .contributions import mean_importance
 from .metrics import average_precision, classification_metrics, f1_scores, roc_auc
@@ -133,16 +134,30 @@ def fit_member(name: str, frame: DataFrame, config: LearningConfig):
     return train_boosting(frame, config, name)
 
 
+def add_probabilities(frame: DataFrame, models: dict) -> DataFrame:
+    """Add one fraud probability column per named model to a frame with ``id`` and ``features``.
+
+    Spark ML members extend the row; a neighbour member is joined by id.
+    """
+    columns = frame.columns
+    native = {o: m for o, m in models.items() if not isinstance(m, NeighborModel)}
+    if native:
+        scored = frame.withColumn("_vec", array_to_vector("features"))
+        for output, model in native.items():
+            model = model.copy()
+            model.setFeaturesCol("_vec").setProbabilityCol(f"_prob_{output}").setRawPredictionCol("").setPredictionCol("")
+            scored = model.transform(scored)
+        frame = scored.select(*columns, *[vector_to_array(f"_prob_{o}")[1].alias(o) for o in native])
+    for output, model in models.items():
+        if output not in native:
+            votes = knn_probability(frame, model.rows, model.k, "id", "features", "label", **model.options)
+            votes = votes.select(F.col("q_id").alias("_q"), F.col("probability").alias(output))
+            frame = frame.join(votes, F.col("id") == F.col("_q"), "left").drop("_q")
+    return frame
+
+
 def add_probability(model, frame: DataFrame, output: str) -> DataFrame:
-    """Add the fraud probability of one member for the rows of ``frame`` (``id``, ``features``)."""
-    if isinstance(model, NeighborModel):
-        votes = knn_probability(frame, model.rows, model.k, "id", "features", "label", **model.options)
-        votes = votes.select(F.col("q_id").alias("_q"), F.col("probability").alias(output))
-        return frame.join(votes, F.col("id") == F.col("_q"), "left").drop("_q")
-    model = model.copy()
-    model.setFeaturesCol("_vec").setProbabilityCol("_prob").setRawPredictionCol("_raw").setPredictionCol("_pred")
-    scored = model.transform(frame.withColumn("_vec", array_to_vector("features")))
-    return scored.withColumn(output, vector_to_array("_prob")[1]).drop("_vec", "_prob", "_raw", "_pred")
+    return add_probabilities(frame, {output: model})
 
 
 @dataclass
@@ -152,13 +167,12 @@ class Calibrated:
     pairs: list
 
     def add(self, frame: DataFrame, output: str) -> DataFrame:
-        names = []
-        for i, (model, isotonic) in enumerate(self.pairs):
-            frame = add_probability(model, frame, "_score")
-            frame = isotonic.transform(frame).withColumnRenamed("_cal", f"_cal{i}").drop("_score")
-            names.append(f"_cal{i}")
-        mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / float(len(names))
-        return frame.withColumn(output, mean).drop(*names)
+        columns = frame.columns
+        frame = add_probabilities(frame, {f"_score{i}": model for i, (model, _) in enumerate(self.pairs)})
+        for i, (_, isotonic) in enumerate(self.pairs):
+            frame = isotonic.copy().setFeaturesCol(f"_score{i}").setPredictionCol(f"_cal{i}").transform(frame)
+        total = " + ".join(f"_cal{i}" for i in range(len(self.pairs)))
+        return frame.select(*columns, F.expr(f"({total}) / {len(self.pairs)}D AS `{output}`"))
 
 
 def fit_isotonic(scored: DataFrame, score: str = "_score") -> IsotonicRegressionModel:
@@ -167,9 +181,14 @@ def fit_isotonic(scored: DataFrame, score: str = "_score") -> IsotonicRegression
     return IsotonicRegression(featuresCol=score, labelCol="label", weightCol="weight", predictionCol="_cal").fit(points)
 
 
+def _folds(frame: DataFrame, folds: int) -> DataFrame:
+    """Training rows with their fold, stored because every fold reads them again."""
+    return stored(stratified_folds(frame.select("id", "features", "label"), "id", folds), "folds")
+
+
 def calibrate(name: str, frame: DataFrame, config: LearningConfig = LearningConfig()) -> Calibrated:
     """Per fold: fit on the others, map the held-out scores isotonically to labels."""
-    folded = stratified_folds(frame, "id", config.calibration_folds)
+    folded = _folds(frame, config.calibration_folds)
     pairs = []
     for i in range(config.calibration_folds):
         model = fit_member(name, folded.where(F.col("fold") != i), config)
@@ -180,7 +199,7 @@ def calibrate(name: str, frame: DataFrame, config: LearningConfig = LearningConf
 
 def cross_validate(frame: DataFrame, members: tuple[str, ...], config: LearningConfig = LearningConfig()) -> DataFrame:
     """``model, cv_f1``: mean F1 over stratified folds."""
-    folded = stratified_folds(frame, "id", config.validation_folds)
+    folded = _folds(frame, config.validation_folds)
     parts = None
     for name in members:
         for i in range(config.validation_folds):
@@ -210,26 +229,25 @@ class Ensemble:
     def weights(self) -> dict[str, float]:
         return weights_for(tuple(self.members))
 
-    def frame(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """``id`` from the row index, standardised ``features``, and ``keep``."""
-        aligned = align_features(df.withColumn("id", F.col(ROW_INDEX).cast("bigint")), self.features, ["id", *keep])
-        scaled = [(F.col(c) - m) / F.lit(s) for c, (m, s) in zip(self.features, self.scale)]
-        return aligned.select("id", *keep, F.array(*scaled).alias("features"))
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """Add ``id`` (the row index) and standardised ``features``; absent features are 0."""
+        have = set(df.columns)
+        raw = [f"coalesce(CAST(`{c}` AS DOUBLE), 0D)" if c in have else "0D" for c in self.features]
+        scaled = [f"({r} - {double(m)}) / {double(d)}" for r, (m, d) in zip(raw, self.scale)]
+        return with_expressions(df, {"id": f"CAST({ROW_INDEX} AS BIGINT)", "features": f"array({', '.join(scaled)})"})
 
     def member_probabilities(self, frame: DataFrame, calibrated: bool = True) -> DataFrame:
         """Add ``p_<member>`` for every member."""
-        for name, model in self.members.items():
-            if calibrated and name in self.calibrated:
+        plain = {n: m for n, m in self.members.items() if not (calibrated and n in self.calibrated)}
+        frame = add_probabilities(frame, {f"p_{n}": m for n, m in plain.items()})
+        for name in self.members:
+            if name not in plain:
                 frame = self.calibrated[name].add(frame, f"p_{name}")
-            else:
-                frame = add_probability(model, frame, f"p_{name}")
         return frame
 
     def blend(self, frame: DataFrame, output: str) -> DataFrame:
-        total = F.lit(0.0)
-        for name, weight in self.weights.items():
-            total = total + F.lit(weight) * F.col(f"p_{name}")
-        return frame.withColumn(output, total)
+        total = " + ".join(f"{double(w)} * p_{name}" for name, w in self.weights.items())
+        return with_expressions(frame, {output: total})
 
     def predict(self, df: DataFrame, output: str = "ml_fraud_prob") -> DataFrame:
         """Add the ensemble probability to any frame with ``row_idx`` and the feature columns.
@@ -237,9 +255,9 @@ class Ensemble:
         Without a neighbour member everything stays in one row-wise plan; with it
         the votes are joined by row index.
         """
-        rows = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns]))
-        scored = self.blend(self.member_probabilities(self.frame(rows, ["_row"])), output)
-        return scored.select("_row.*", output)
+        columns = df.columns
+        scored = self.blend(self.member_probabilities(self.vectors(df)), output)
+        return scored.select(*columns, output)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Store all members, calibrators and facts below ``path``."""
@@ -331,38 +349,28 @@ def train_ensemble(
     calibrate on the unbalanced training rows → evaluate on the held-out rows.
     """
     features = features or numeric_features(df)
-    guard = training_guard(df, label).first()
-    if not features or not guard["trainable"]:
+    if not features:
         return None
     labelled = df.select(F.col(ROW_INDEX).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), *features)
-    split = stratified_split(align_features(labelled, features, ["id", "label"]), "id")
+    split = stored(stratified_split(align_features(labelled, features, ["id", "label"]), "id"), "training")
+    if not training_guard(split).first()["trainable"]:
+        return None
     fitted = scaling(split.where(F.col("is_test") == 0), features).first()["scaling"]
     scale = [(p["mean"], p["std"]) for p in fitted]
-    vector = F.array(*[(F.col(c) - m) / F.lit(s) for c, (m, s) in zip(features, scale)])
-    rows = split.select("id", "label", "is_test", vector.alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
-    train = rows.where(F.col("is_test") == 0).drop("is_test")
-    balanced = (smote_tomek if clean_links else smote)(train).select("id", "features", "label")
-    balanced = balanced.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        members = {name: fit_member(name, balanced, config) for name in config.members}
-        calibrated = {n: calibrate(n, train, config) for n in config.members} if with_calibration else {}
-        ensemble = Ensemble(features, scale, members, calibrated, config)
-        ensemble.importances = feature_importance(members, features)
-        test = rows.where(F.col("is_test") == 1).drop("is_test")
-        scored = ensemble.blend(ensemble.member_probabilities(test, calibrated=False), "probability")
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-        ensemble.metrics = evaluate(scored, list(members))
-        scored.unpersist()
-        if with_validation:
-            found = cross_validate(train, config.members, config).collect()  # one row per member
-            ensemble.metrics["cv_scores"] = {f"{r['model']}_f1": r["cv_f1"] for r in found}
-        return ensemble
-    finally:
-        # The neighbour member keeps using its rows lazily; cached blocks of the
-        # other frames are no longer needed.
-        if "knn" not in config.members:
-            balanced.unpersist()
-            rows.unpersist()
+    ensemble = Ensemble(features, scale, {}, {}, config)
+    rows = ensemble.vectors(split.withColumn(ROW_INDEX, F.col("id"))).select("id", "label", "is_test", "features")
+    train, test = rows.where("is_test = 0").drop("is_test"), rows.where("is_test = 1").drop("is_test")
+    balanced = stored((smote_tomek if clean_links else smote)(train).select("id", "features", "label"), "balanced")
+    ensemble.members = {name: fit_member(name, balanced, config) for name in config.members}
+    if with_calibration:
+        ensemble.calibrated = {name: calibrate(name, train, config) for name in config.members}
+    ensemble.importances = feature_importance(ensemble.members, features)
+    scored = stored(ensemble.blend(ensemble.member_probabilities(test, calibrated=False), "probability").drop("features"), "test")
+    ensemble.metrics = evaluate(scored, list(config.members))
+    if with_validation:
+        found = cross_validate(train, config.members, config).collect()  # one row per member
+        ensemble.metrics["cv_scores"] = {f"{r['model']}_f1": r["cv_f1"] for r in found}
+    return ensemble
 
 
 def small_config(**changes) -> LearningConfig:

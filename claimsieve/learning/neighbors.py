@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import stored
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 MAX_PIVOTS = 256
@@ -128,13 +128,6 @@ def _search_broadcast(queries: DataFrame, reference: DataFrame, k: int, exclude_
     return queries.mapInPandas(search, OUT)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared scratch folder and read back: later passes and lost executors do not recompute."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _pivot_distances(vectors, pivots: np.ndarray) -> np.ndarray:
     x = _matrix(vectors)
     square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T)
@@ -155,7 +148,7 @@ def _search_cells(queries: DataFrame, reference: DataFrame, k: int, exclude_self
                 cell = d.argmin(axis=1)
                 yield batch.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
 
-    placed = _stored(reference.mapInPandas(place, "t_id bigint, t_vec array<double>, cell int, to_pivot double"), "knn-cells")
+    placed = stored(reference.mapInPandas(place, "t_id bigint, t_vec array<double>, cell int, to_pivot double"), "knn-cells")
     summary = placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("to_pivot").alias("far"), F.min("to_pivot").alias("near")
     ).collect()
@@ -178,7 +171,7 @@ def _search_cells(queries: DataFrame, reference: DataFrame, k: int, exclude_self
     with_cell = "q_id bigint, q_vec array<double>, cell int"
     at_home = queries.mapInPandas(home, with_cell)
     first = _smallest(_search_blocks(at_home, placed, blocks, k, exclude_self), ["q_id"], ["distance", "t_id"], k)
-    first = _stored(first, "knn-home")
+    first = stored(first, "knn-home")
     reach = first.groupBy("q_id").agg(F.count("*").alias("got"), F.max("distance").alias("kth"))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -70,10 +70,12 @@ def apply_rules(df: DataFrame) -> DataFrame:
             "_points": points,
         },
     )
-    return with_expressions(
-        scored.drop(*fired.values()),
-        {
-            "triggered_rules": "array_join(top_indicators, ', ')",
-            "risk_score": "least(_points * combo_multiplier, 100D)",
-        },
-    ).drop("_points")
+    # The score leaves through a one-row generator. A filter on it then stays above
+    # this step; through plain projections the optimizer would push the filter down
+    # to the scan with every rule expanded into it, several times over.
+    kept = [f"`{c}`" for c in scored.columns if c not in ("_points", *fired.values())]
+    return scored.selectExpr(
+        *kept,
+        "array_join(top_indicators, ', ') AS triggered_rules",
+        "inline(array(named_struct('risk_score', least(_points * combo_multiplier, 100D))))",
+    )

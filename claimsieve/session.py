@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are designed for. Every one can be overridden by the cluster.
 SESSION_CONF = {
@@ -44,6 +44,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the scratch folder and read it back.
+
+    Used where a frame is read many times: later passes plan from a plain scan and
+    a lost executor costs no recomputation of what came before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def range_buckets(spark: SparkSession) -> int:
     """How many value ranges a global ordering is split into (bounded)."""
     return max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
