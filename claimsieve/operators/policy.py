@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.numbers import bin_text, clean_number, digit_text, flag
 from ..functions.text import lookup, with_expressions
-from ..plans.ordered import exact_quantiles, value_distribution, with_running_totals
+from ..plans.ordered import quantiles_of, value_distribution, with_running_totals
 
 UNKNOWN = "UNKNOWN"
 FREQUENT_CLAIMS, FREQUENT_DAYS = 3, 30
@@ -81,12 +81,16 @@ def policy_days(df: DataFrame, policy: str = "policy_number", day: str = "incide
     )
 
 
-def policy_history(df: DataFrame, policy: str = "policy_number", day: str = "incident_date") -> DataFrame:
+def policy_history(
+    df: DataFrame, policy: str = "policy_number", day: str = "incident_date", source: DataFrame | None = None
+) -> DataFrame:
     """Add ``days_since_last_claim`` (−1 for the first), ``claims_last_30d`` and ``rule_high_frequency``.
 
     Later claims of one day follow the earlier ones by row index and are 0 days after them.
+    ``source`` is the same batch without columns added on the way, here and below:
+    its statistics then do not compute those columns.
     """
-    days = policy_days(df, policy, day).select(
+    days = policy_days(df if source is None else source, policy, day).select(
         F.col(policy).alias("_policy"), F.col(day).alias("_day"), "_first", "_gap", "claims_last_30d"
     )
     same = F.col(policy).eqNullSafe(F.col("_policy")) & (F.col(day) == F.col("_day"))
@@ -105,10 +109,11 @@ def policy_history(df: DataFrame, policy: str = "policy_number", day: str = "inc
     )
 
 
-def amount_zscore(df: DataFrame, column: str = "total_claim_amount") -> DataFrame:
+def amount_zscore(df: DataFrame, column: str = "total_claim_amount", source: DataFrame | None = None) -> DataFrame:
     """Add ``zscore_total_claim`` (sample deviation) and ``anomaly_zscore`` (beyond ±3)."""
     value = clean_number(column, df.schema[column].dataType)
-    stats = df.agg(F.struct(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).alias("stats"))
+    source = df if source is None else source
+    stats = source.agg(F.struct(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).alias("stats"))
     return (
         df.withColumn("_stats", stats.scalar())
         .withColumn("zscore_total_claim", F.try_divide(value - F.col("_stats.m"), F.col("_stats.s")))
@@ -117,21 +122,23 @@ def amount_zscore(df: DataFrame, column: str = "total_claim_amount") -> DataFram
     )
 
 
-def percentile_rank(df: DataFrame, column: str = "total_claim_amount") -> DataFrame:
+def ranked_amounts(df: DataFrame, column: str = "total_claim_amount") -> DataFrame:
+    """The distinct amounts of a batch with their counts and running counts."""
+    return with_running_totals(value_distribution(df, [column]))
+
+
+def percentile_rank(df: DataFrame, column: str = "total_claim_amount", ranked: DataFrame | None = None) -> DataFrame:
     """Add ``claim_percentile_rank``: average rank over the number of values."""
-    ranked = with_running_totals(value_distribution(df, [column]))
-    ranks = ranked.select(
-        F.col("value").alias("_value"),
-        ((F.col("n_before") + 1 + F.col("n_upto")) / 2.0 / F.col("n_total")).alias("claim_percentile_rank"),
-    )
+    ranked = ranked_amounts(df, column) if ranked is None else ranked
+    ranks = ranked.selectExpr("value AS _value", "(n_before + 1 + n_upto) / 2D / n_total AS claim_percentile_rank")
     return df.join(ranks, clean_number(column, df.schema[column].dataType) == F.col("_value"), "left").drop("_value")
 
 
-def iqr_flag(df: DataFrame, column: str = "total_claim_amount") -> DataFrame:
+def iqr_flag(df: DataFrame, column: str = "total_claim_amount", ranked: DataFrame | None = None) -> DataFrame:
     """Add ``iqr_flag``: outside 1.5 interquartile ranges of the batch."""
-    q = exact_quantiles(df, [column], {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= 4)
-    spread = 1.5 * (F.col("q3") - F.col("q1"))
-    limits = q.agg(F.first(F.struct((F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))).alias("b"))
+    ranked = ranked_amounts(df, column) if ranked is None else ranked
+    q = quantiles_of(ranked, {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= 4)
+    limits = q.agg(F.expr("first(named_struct('low', q1 - 1.5D * (q3 - q1), 'high', q3 + 1.5D * (q3 - q1))) AS b"))
     return (
         df.withColumn("_b", limits.scalar())
         .withColumn("iqr_flag", flag((F.col(column) < F.col("_b.low")) | (F.col(column) > F.col("_b.high"))))
@@ -155,8 +162,19 @@ def duplicate_amount(df: DataFrame, column: str = "total_claim_amount") -> DataF
 
 
 def dictionary_features(df: DataFrame) -> DataFrame:
-    """Every dictionary feature whose inputs exist, row-wise ones first."""
-    out = iqr_flag(amount_zscore(row_dictionary_features(df)))
+    """Every dictionary feature whose inputs exist.
+
+    One ranking of the amounts serves quartiles, percentile ranks and duplicates;
+    the last two come back in a single join.
+    """
+    column = "total_claim_amount"
+    ranked = ranked_amounts(df, column)
+    out = amount_zscore(iqr_flag(row_dictionary_features(df), column, ranked), column, source=df)
     if {"policy_number", "incident_date"}.issubset(df.columns):
-        out = policy_history(out)
-    return duplicate_amount(percentile_rank(out))
+        out = policy_history(out, source=df)
+    ranks = ranked.selectExpr(
+        "value AS _value",
+        "(n_before + 1 + n_upto) / 2D / n_total AS claim_percentile_rank",
+        "IF(n > 1, 1, 0) AS duplicate_amount",
+    )
+    return out.join(ranks, clean_number(column, df.schema[column].dataType) == F.col("_value"), "left").drop("_value")
