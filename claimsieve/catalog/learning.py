@@ -180,7 +180,7 @@ def _training(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    split = stored(balance.stratified_split(_training(spark, sf_dir), "id"), "split")
+    split = stored(balance.stratified_split(_training(spark, sf_dir), "id"), "split", "id")
     return split.where("is_test = 0").drop("is_test"), split.where("is_test = 1").drop("is_test")
 
 

@@ -183,7 +183,7 @@ def fit_isotonic(scored: DataFrame, score: str = "_score") -> IsotonicRegression
 
 def _folds(frame: DataFrame, folds: int) -> DataFrame:
     """Training rows with their fold, stored because every fold reads them again."""
-    return stored(stratified_folds(frame.select("id", "features", "label"), "id", folds), "folds")
+    return stored(stratified_folds(frame.select("id", "features", "label"), "id", folds), "folds", "id")
 
 
 def calibrate(name: str, frame: DataFrame, config: LearningConfig = LearningConfig()) -> Calibrated:
@@ -352,7 +352,7 @@ def train_ensemble(
     if not features:
         return None
     labelled = df.select(F.col(ROW_INDEX).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), *features)
-    split = stored(stratified_split(align_features(labelled, features, ["id", "label"]), "id"), "training")
+    split = stored(stratified_split(align_features(labelled, features, ["id", "label"]), "id"), "training", "id")
     if not training_guard(split).first()["trainable"]:
         return None
     fitted = scaling(split.where(F.col("is_test") == 0), features).first()["scaling"]
@@ -360,7 +360,7 @@ def train_ensemble(
     ensemble = Ensemble(features, scale, {}, {}, config)
     rows = ensemble.vectors(split.withColumn(ROW_INDEX, F.col("id"))).select("id", "label", "is_test", "features")
     train, test = rows.where("is_test = 0").drop("is_test"), rows.where("is_test = 1").drop("is_test")
-    balanced = stored((smote_tomek if clean_links else smote)(train).select("id", "features", "label"), "balanced")
+    balanced = stored((smote_tomek if clean_links else smote)(train).select("id", "features", "label"), "balanced", "id")
     ensemble.members = {name: fit_member(name, balanced, config) for name in config.members}
     if with_calibration:
         ensemble.calibrated = {name: calibrate(name, train, config) for name in config.members}

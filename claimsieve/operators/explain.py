@@ -177,9 +177,13 @@ def _first_present(df: DataFrame, names: tuple[str, ...]) -> Column | None:
     return next((F.col(n) for n in names if n in df.columns), None)
 
 
-def add_explanations(df: DataFrame, friendly: bool = False) -> DataFrame:
-    """Add cleaned ``top_indicators``, ``reason_1``, ``reason_2``, ``explanation`` and ``triggered_rules``."""
-    df = df.withColumn("top_indicators", parse_rules(df))
+def add_explanations(df: DataFrame, friendly: bool = False, parsed: bool = False) -> DataFrame:
+    """Add cleaned ``top_indicators``, ``reason_1``, ``reason_2``, ``explanation`` and ``triggered_rules``.
+
+    ``parsed`` says that ``top_indicators`` is clean already, as the rule engine gives it.
+    """
+    if not parsed:
+        df = df.withColumn("top_indicators", parse_rules(df))
     rules, key = F.col("top_indicators"), F.col("claim_id")
     band = _first_present(df, ("risk_band", "risk_level"))
     score = _first_present(df, ("final_risk_score", "risk_score"))

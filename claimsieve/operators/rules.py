@@ -65,17 +65,18 @@ def apply_rules(df: DataFrame) -> DataFrame:
     scored = with_expressions(
         flagged,
         {
-            "top_indicators": f"array_compact(array({names}))",
-            "combo_multiplier": f"greatest({pairs})",
+            "_indicators": f"array_compact(array({names}))",
+            "_multiplier": f"greatest({pairs})",
             "_points": points,
         },
     )
-    # The score leaves through a one-row generator. A filter on it then stays above
-    # this step; through plain projections the optimizer would push the filter down
-    # to the scan with every rule expanded into it, several times over.
-    kept = [f"`{c}`" for c in scored.columns if c not in ("_points", *fired.values())]
+    # The results leave through a one-row generator. Filters on them then stay above
+    # this step; through plain projections the optimizer would push them down to the
+    # scan with every rule expanded into them, several times over.
+    made = ("_indicators", "_multiplier", "_points", *fired.values())
+    kept = [f"`{c}`" for c in scored.columns if c not in made]
     return scored.selectExpr(
         *kept,
-        "array_join(top_indicators, ', ') AS triggered_rules",
-        "inline(array(named_struct('risk_score', least(_points * combo_multiplier, 100D))))",
+        "inline(array(named_struct('top_indicators', _indicators, 'combo_multiplier', _multiplier, "
+        "'triggered_rules', array_join(_indicators, ', '), 'risk_score', least(_points * _multiplier, 100D))))",
     )

@@ -111,7 +111,9 @@ def rule_counts(results: DataFrame) -> DataFrame:
         rules = F.col("top_indicators")
     else:
         rules = F.split("triggered_rules", ",")
-    exploded = results.select(F.explode(rules).alias("rule")).select(F.trim("rule").alias("rule"))
+    # The outer form: a plain explode would add a filter on the array's size and have
+    # the array computed once more for it.
+    exploded = results.select(F.explode_outer(rules).alias("rule")).select(F.trim("rule").alias("rule"))
     return exploded.where(F.col("rule") != "").groupBy("rule").agg(F.count("*").alias("n"))
 
 

@@ -41,7 +41,7 @@ def score_prepared(prepared: DataFrame, predict: Callable[[DataFrame], DataFrame
     else:
         scored = predict(scored)
     scored = decide(combine_predictions(scored)).withColumnRenamed("ml_fraud_prob", "ml_fraud_probability")
-    return add_explanations(scored)
+    return add_explanations(scored, parsed=True)
 
 
 def score_claims(

@@ -19,7 +19,10 @@ def hash_key(key: str) -> Column:
 
 
 def hash_cuts(df: DataFrame, label: str, key: str, shares: list[float]) -> DataFrame:
-    """``label, n, cut_0, cut_1, …``: the floor(share·n)-th smallest hash, null when that is 0."""
+    """``label, cut_0, cut_1, …``: the floor(share·n)-th smallest hash, null when that is 0.
+
+    A label none of whose cuts is above 0 has no row.
+    """
     keyed = df.select(F.col(label), hash_key(key).alias("_h")).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
     # Bounded: 16^PREFIX_DIGITS prefixes per label.
     sizes = keyed.groupBy(label, "_p").agg(F.count("*").alias("_c"))
@@ -38,16 +41,14 @@ def hash_cuts(df: DataFrame, label: str, key: str, shares: list[float]) -> DataF
     ranked = keyed.join(F.broadcast(wanted), [label, "_p"]).withColumn(
         "_rn", F.row_number().over(Window.partitionBy(label, "_i", "_p").orderBy("_h"))
     )
-    cuts = ranked.where("_rn = _pos").groupBy(label).agg(
+    return ranked.where("_rn = _pos").groupBy(label).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"cut_{i}") for i in range(len(shares))]
     )
-    counts = sizes.groupBy(label).agg(F.max("_n").alias("n"))
-    return counts.join(F.broadcast(cuts), label, "left")
 
 
 def assign_blocks(df: DataFrame, label: str, key: str, shares: list[float], output: str) -> DataFrame:
     """Add ``output``: index of the hash block a row falls into, ``len(shares)`` past the last cut."""
-    cuts = hash_cuts(df, label, key, shares).drop("n")
+    cuts = hash_cuts(df, label, key, shares)
     block = F.lit(len(shares))
     for i in reversed(range(len(shares))):
         block = F.when(hash_key(key) <= F.col(f"cut_{i}"), F.lit(i)).otherwise(block)

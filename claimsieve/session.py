@@ -44,13 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
     """Write a frame to the scratch folder and read it back.
 
     Used where a frame is read many times: later passes plan from a plain scan and
-    a lost executor costs no recomputation of what came before.
+    a lost executor costs no recomputation of what came before. ``spread_by`` hashes
+    rows evenly over files first, which pays off when every pass is compute-bound.
     """
     path = scratch_path(df.sparkSession, name)
+    df = df if spread_by is None else df.repartition(spread_by)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -19,4 +19,4 @@ from ..operators.rules import apply_rules
 def score_stream(claims: DataFrame) -> DataFrame:
     """Rule score, decision and texts for a stream of canonical claims; stateless."""
     scored = decide(apply_rules(row_features(clean_claims(claims))))
-    return add_explanations(scored.withColumn("ml_fraud_probability", F.lit(None).cast("double")))
+    return add_explanations(scored.withColumn("ml_fraud_probability", F.lit(None).cast("double")), parsed=True)
