@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..fixtures import claims_raw
 from ..operators import cleaning, features, fusion, mapping, policy, rules, views
-from ..plans.pipeline import prepare_claims
 from .base import (
     CLEANED,
     PREPARED,

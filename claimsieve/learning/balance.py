@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import exact_quantiles
-from ..plans.strata import assign_blocks, hash_key
+from ..plans.strata import assign_blocks
 from .neighbors import knn_join
 
 MIN_ROWS, MIN_POSITIVES = 50, 5
