@@ -99,16 +99,16 @@ def _shapiro(ranked: DataFrame, stats: DataFrame) -> DataFrame:
     steps = [
         {"_n": "CAST(n_total AS DOUBLE)", "_u": "1D / sqrt(CAST(n_total AS DOUBLE))"},
         {
-            "a_last": f"IF(n_total = 3, {double(math.sqrt(0.5))}, {polynomial('_u', LAST_WEIGHT)} + m_last / sqrt(m2))",
-            "a_next": f"{polynomial('_u', NEXT_WEIGHT)} + m_next / sqrt(m2)",
+            "a_last": f"IF(n_total = 3, {double(math.sqrt(0.5))}, {polynomial('_u', LAST_WEIGHT)} + try_divide(m_last, sqrt(m2)))",
+            "a_next": f"{polynomial('_u', NEXT_WEIGHT)} + try_divide(m_next, sqrt(m2))",
         },
         {
             "scale": "IF(n_total > 5, "
-            "(m2 - 2 * m_last * m_last - 2 * m_next * m_next) / (1 - 2 * a_last * a_last - 2 * a_next * a_next), "
+            "try_divide(m2 - 2 * m_last * m_last - 2 * m_next * m_next, 1 - 2 * a_last * a_last - 2 * a_next * a_next), "
             "try_divide(m2 - 2 * m_last * m_last, 1 - 2 * a_last * a_last))"
         },
         {
-            "numerator": "IF(n_total = 3, 0D, mx / sqrt(scale)) + a_last * (xn - x1) + IF(n_total > 5, a_next * (xm - x2), 0D)"
+            "numerator": "IF(n_total = 3, 0D, try_divide(mx, sqrt(scale))) + a_last * (xn - x1) + IF(n_total > 5, a_next * (xm - x2), 0D)"
         },
         {
             "shapiro_stat": f"CASE WHEN n_total >= 3 AND std >= {double(TINY_DEVIATION)} "
