@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality, simhash
-from .frames import id_remainder
+from . import bpe, language_id, mixing, multi_index, ngram_lm, onebit, quality, simhash, token_counts, warc
+from .frames import id_remainder, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,7 @@ def byte_bpe() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -76,3 +77,42 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_digest(ids: str):
     """SHA-256 of decimal ids joined by commas."""
     return F.expr(f"sha2(replace(trim(BOTH '[]' FROM CAST({ids} AS STRING)), ', ', ','), 256)")
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.section_token_counts(docs, byte_bpe(), ["doc_id"])
+
+
+@query
+def op6_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return onebit.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = id_remainder(F.col("doc_id"), 7)
+    return ngram_lm.score_documents(docs, part == 2, part == 3)
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark)))
+    return records.select(
+        F.col("page").cast("long").alias("page_id"), warc.payload_size(F.col("http")).alias("payload_bytes"),
+        "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return multi_index.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
