@@ -45,8 +45,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """A byte-level BPE vocabulary read from a tokenizer file in JSON."""
+class Vocabulary:
+    """The tokens of a byte-level BPE tokenizer file in JSON; enough to decode."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -57,27 +57,39 @@ class Codec:
         alphabet = byte_alphabet()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        if merged != sorted(merged):
-            raise ValueError(f"{path} ranks its merges in another order than its ids")
-        self.special = special
-        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        size = max([*ranks.values(), *special.values()]) + 1
-        self.token_bytes = [b""] * size
+        self.read(path, model, special, ranks)
+        self.token_bytes = [b""] * (max([*ranks.values(), *special.values()]) + 1)
         for token, i in ranks.items():
             self.token_bytes[i] = token
         for token, i in special.items():
             self.token_bytes[i] = token.encode()
-        self.byte_length = np.array([len(b) for b in self.token_bytes], np.int64)
-        self._kinds: dict[str, str] = {}
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all")
+    def read(self, path: str, model: dict, special: dict[str, int], ranks: dict[bytes, int]) -> None:
+        """What a subclass needs besides."""
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
+
+class Codec(Vocabulary):
+    """A vocabulary that encodes, too."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.byte_length = np.array([len(b) for b in self.token_bytes], np.int64)
+        self._kinds: dict[str, str] = {}
+
+    def read(self, path: str, model: dict, special: dict[str, int], ranks: dict[bytes, int]) -> None:
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{path} ranks its merges in another order than its ids")
+        self.special = special
+        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
+
     def kind(self, c: str) -> str:
         """L, N, P or S: letter, number, sign, blank."""
         found = self._kinds.get(c)
@@ -103,10 +115,15 @@ class Codec:
 
 @lru_cache(maxsize=4)
 def load_codec(path: str) -> Codec:
-    """One vocabulary per worker process."""
+    """One per worker process."""
     return Codec(path)
 
 
+@lru_cache(maxsize=4)
+def load_vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def char_distances(text: str, tokens: np.ndarray) -> np.ndarray:
     """For byte distances of token borders from the start of ``text``: distances in characters, -1 inside a character."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -208,8 +225,8 @@ def decode_ids(ids, tokenizer: str):
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = load_codec(tokenizer)
+        vocabulary = load_vocabulary(tokenizer)
         for rows in batches:
-            yield pd.Series([codec.decode(np.asarray(r, np.int64)) if r is not None else "" for r in rows], dtype=object)
+            yield pd.Series([vocabulary.decode(np.asarray(r, np.int64)) if r is not None else "" for r in rows], dtype=object)
 
     return decode(ids)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters handled per numpy step; bounds a task's memory whatever the length of a text.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ BITS = 16
 #: Features: hashed words, then hashed word pairs, then one for a word that repeats the one before.
 FEATURES = (1 << BITS) * 2 + 1
 #: Words remembered per task with their buckets, at most.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 class Buckets(dict):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.llm import bpe, language_id, mixing, quality, simhash
-from claimsieve.llm.frames import fresh
+from claimsieve.llm.frames import fresh, small_batches
 from claimsieve.llm.queries import byte_bpe, id_digest, table
 from claimsieve.session import stored
 
@@ -26,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The model is learnt from the labelled documents of the input. Null texts and texts without letters go.
     """
+    small_batches(spark)
     model = language_id.train_language_model(docs)
     name = fresh(docs, "language")
     found = language_id.predict_language(docs, model, into=name)
@@ -34,6 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier accepts; it is fitted on the labelled ones among them."""
+    small_batches(spark)
     model = quality.fit_classifier(docs, table(spark, sf_dir, "labels"))
     name = fresh(docs, "importance")
     return quality.weigh(docs, model, into=name).filter(f"{name}.accepted").select(docs.columns)
@@ -41,16 +43,19 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash component."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs, width=3).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    small_batches(spark)
     return mixing.take_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document of the mix: its ids and digests of ids and of the text decoded from them."""
+    small_batches(spark)
     encoded = bpe.encode_texts(docs, byte_bpe(), ["doc_id", "lang", "source"])
     decoded = bpe.decode_ids(F.col("ids"), byte_bpe())
     return encoded.select(
