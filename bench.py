@@ -30,8 +30,11 @@ HEADLINE = [
     "qq_points",
     "stratified_split",
     "knn_join",
+    "smote_tomek",
     "train_logistic",
     "train_random_forest",
+    "calibrate_lgb",
+    "ensemble_predict",
     "roc_auc",
     "feature_contributions",
     "lineitem_quality",

@@ -56,6 +56,27 @@ def infer_column_mapping(spark, sf_dir):
     return mapping.map_columns(upload, inferred).select("row_idx", *CORE)
 
 
+#: Without skipping, the first column with "claim" in its name serves both the id and the amount.
+SHARED = {**UPLOAD_NAMES, "total_claim_amount": "ClaimNumber"}
+
+
+@query(
+    "infer_column_mapping_shared",
+    oracle(
+        RAW,
+        " UNION ALL ".join(
+            f"SELECT '{f}' AS field, '{s}' AS source, count({'claim_id' if s == 'ClaimNumber' else f}) AS n FROM claims_raw" for f, s in SHARED.items()
+        ),
+    ),
+)
+def infer_column_mapping_shared(spark, sf_dir):
+    upload = _upload(spark, sf_dir)
+    inferred = mapping.infer_column_mapping([c for c in upload.columns if c != S.ROW_INDEX])
+    counts = upload.agg(*[F.count(source).alias(field) for field, source in inferred.items()])
+    rows = ", ".join(f"named_struct('field', '{f}', 'source', '{s}', 'n', `{f}`)" for f, s in inferred.items())
+    return counts.selectExpr(f"inline(array({rows}))")
+
+
 @query(
     "ensure_required",
     oracle(RAW, "SELECT row_idx, total_claim_amount, 'CLM_' || row_idx AS claim_id, CAST(12 AS BIGINT) AS incident_hour_of_the_day FROM claims_raw"),
@@ -75,15 +96,43 @@ def count_duplicate_ids(spark, sf_dir):
 
 
 # --- cleaning ----------------------------------------------------------------
-@query("clean_amount", oracle(RAW, "SELECT row_idx, total_claim_amount FROM claims_raw WHERE total_claim_amount > 0"))
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Claims as text, with values that are no usable number in some rows; the same SQL in both engines.
+EDGES = {
+    "total_claim_amount": ["abc", "NaN", "inf", "-inf", "-5", "0", "0.5", "9999.99", "300000.01", ""],
+    "incident_hour_of_the_day": ["-3", "40", "5.5", "x", "NaN", "inf", "23"],
+    "age": ["10", "140", "abc", "NaN", "24.5"],
+    "witnesses": ["-1", "99", "many", "inf", "10"],
+}
+
+
+def _edge_text(column, values):
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE row_idx % {41 + len(values)} {cases} ELSE CAST(CAST({column} AS BIGINT) AS STRING) END AS {column}"
+
+
+EDGED_SQL = f"SELECT row_idx, claim_id, {', '.join(_edge_text(c, v) for c, v in EDGES.items())} FROM {{claims}}"
+EDGED = f"""{RAW},
+edged AS ({EDGED_SQL.format(claims="claims_raw").replace("STRING", "VARCHAR")}),
+numbers AS (SELECT row_idx, {', '.join(f"CASE WHEN isfinite(TRY_CAST({c} AS DOUBLE)) THEN TRY_CAST({c} AS DOUBLE) END AS {c}" for c in EDGES)} FROM edged)"""
+
+
+def _edged(spark, sf_dir):
+    return spark.sql(EDGED_SQL, claims=claims_raw(spark, sf_dir))
+
+
+@query("clean_amount", oracle(EDGED, "SELECT row_idx, total_claim_amount FROM numbers WHERE total_claim_amount > 0"))
 def clean_amount(spark, sf_dir):
-    return cleaning.clean_amount(claims_raw(spark, sf_dir)).select("row_idx", "total_claim_amount")
+    return cleaning.clean_amount(_edged(spark, sf_dir)).select("row_idx", "total_claim_amount")
 
 
 def _clean(name, expression, column, clean):
-    @query(name, oracle(RAW, f"SELECT row_idx, CAST({expression} AS DOUBLE) AS {column} FROM claims_raw"))
+    @query(name, oracle(EDGED, f"SELECT row_idx, CAST({expression} AS DOUBLE) AS {column} FROM numbers"))
     def build(spark, sf_dir):
-        return clean(claims_raw(spark, sf_dir)).select("row_idx", column)
+        return clean(_edged(spark, sf_dir)).select("row_idx", column)
 
 
 _clean("clean_hour", "least(greatest(coalesce(incident_hour_of_the_day, 12), 0), 23)", "incident_hour_of_the_day", cleaning.clean_hour)
@@ -110,16 +159,17 @@ def prepare_claims_query(spark, sf_dir):
 @query(
     "validate_claims",
     oracle(
-        RAW,
-        f"""SELECT row_idx, CASE
-  WHEN claim_id IS NULL OR total_claim_amount IS NULL OR incident_hour_of_the_day IS NULL THEN '{cleaning.MISSING_FIELDS}'
-  WHEN total_claim_amount <= 0 THEN '{cleaning.NOT_POSITIVE}' END AS reject_reason,
-  CAST(coalesce(total_claim_amount > 0, false) AND claim_id IS NOT NULL AND incident_hour_of_the_day IS NOT NULL AS BIGINT) AS accepted
-FROM claims_raw""",
+        EDGED,
+        f"""SELECT row_idx, reject_reason, CAST(reject_reason IS NULL AS BIGINT) AS accepted FROM (SELECT e.row_idx, CASE
+  WHEN e.claim_id IS NULL OR e.total_claim_amount IS NULL OR e.incident_hour_of_the_day IS NULL THEN {_quoted(cleaning.MISSING_FIELDS)}
+  WHEN n.total_claim_amount <= 0 OR e.total_claim_amount = '-inf' THEN {_quoted(cleaning.NOT_POSITIVE)}
+  WHEN e.total_claim_amount IN ('NaN', 'inf') THEN {_quoted(cleaning.FILTERED_OUT)}
+  WHEN n.total_claim_amount IS NULL THEN {_quoted(cleaning.NOT_NUMERIC)} END AS reject_reason
+FROM edged e JOIN numbers n USING (row_idx))""",
     ),
 )
 def validate_claims(spark, sf_dir):
-    good, bad = cleaning.validate_claims(claims_raw(spark, sf_dir))
+    good, bad = cleaning.validate_claims(_edged(spark, sf_dir))
     return good.selectExpr("row_idx", "CAST(NULL AS STRING) AS reject_reason", "1 AS accepted").union(
         bad.selectExpr("row_idx", "reject_reason", "0 AS accepted")
     )
@@ -139,6 +189,27 @@ def numeric_features(spark, sf_dir):
     return features.align_features(frame, features.numeric_features(frame), ["row_idx"])
 
 
+PROFILE_ORDER = (
+    "total_claim_amount log_claim_amount is_round_amount incident_hour_of_the_day unusual_hour age young_driver "
+    "severity_numeric high_risk_state benford_anomaly_score amount_per_age high_amount_no_witnesses witnesses first_digit"
+).split()
+
+
+@query(
+    "profile_features",
+    oracle(
+        PREPARED,
+        " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature, round(CAST(sum({c}) AS DOUBLE) / count(*), 6) AS mean FROM prepared" for i, c in enumerate(PROFILE_ORDER)),
+    ),
+)
+def profile_features(spark, sf_dir):
+    """The numeric features in the order of the upload profile, with their means."""
+    frame = prepared(spark, sf_dir)
+    names = features.numeric_features(frame, S.PROFILE_FEATURES)
+    rows = ", ".join(f"named_struct('position', {i}, 'feature', '{c}', 'mean', `{c}`)" for i, c in enumerate(names))
+    return frame.agg(*[F.avg(c).alias(c) for c in names]).selectExpr(f"inline(array({rows}))")
+
+
 @query(
     "align_features",
     oracle(CLEANED, "SELECT row_idx, witnesses, CAST(0 AS DOUBLE) AS claim_frequency, age, total_claim_amount FROM cleaned"),

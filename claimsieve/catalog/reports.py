@@ -203,19 +203,35 @@ def quality_score(spark, sf_dir):
     return profile.quality_score(_upload(spark, sf_dir))
 
 
-@query("data_types")
+@query(
+    "data_types",
+    oracle(
+        RAW,
+        f"""SELECT m."column", round(missing_pct, 6) AS missing_pct, round(outlier_pct, 6) AS outlier_pct,
+  CASE t.data_type WHEN 'VARCHAR' THEN 'string' ELSE lower(t.data_type) END AS data_type
+FROM ({MISSING_SQL}) m LEFT JOIN ({OUTLIER_SQL}) o ON m."column" = o."column"
+JOIN (SELECT unnest([{', '.join(f"'{c}'" for c in UPLOAD)}]) AS "column", unnest([{', '.join(f'typeof(any_value({c}))' for c in UPLOAD)}]) AS data_type FROM claims_raw) t ON t."column" = m."column"
+""",
+    ),
+)
 def data_types(spark, sf_dir):
     # The types next to the measured shares, so the query works on the table itself.
     return profile.data_quality(_upload(spark, sf_dir))
 
 
+LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query(
     "lineitem_quality",
-    """SELECT 'l_extendedprice' AS "column", round(count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) / count(*) * 100, 6) AS outlier_pct
-FROM lineitem CROSS JOIN (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count(*) * 100, 6) AS outlier_pct
+FROM lineitem CROSS JOIN (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM lineitem)"""
+        for c in LINEITEM_NUMERIC
+    ),
 )
 def lineitem_quality(spark, sf_dir):
-    return profile.outlier_pct(table(spark, sf_dir, "lineitem"), ["l_extendedprice"])
+    return profile.outlier_pct(table(spark, sf_dir, "lineitem"), LINEITEM_NUMERIC)
 
 
 # --- dashboards and run history ----------------------------------------------
@@ -405,16 +421,33 @@ def label_match(spark, sf_dir):
     "export_join",
     oracle(
         SCORED,
-        """SELECT coalesce(u.uid, s.claim_id) AS claim_id, u.row_idx, u.total_claim_amount, s.total_claim_amount AS result_total_claim_amount,
+        """SELECT coalesce(u.claim_id, s.claim_id) AS claim_id, u.row_idx, u.total_claim_amount, s.total_claim_amount AS result_total_claim_amount,
   round(s.final_risk_score, 6) AS final_risk_score, s.risk_level
-FROM (SELECT *, CASE WHEN (SELECT count(*) > count(DISTINCT claim_id) FROM claims_raw) THEN claim_id || '_' || row_idx ELSE claim_id END AS uid FROM claims_raw) u
-FULL OUTER JOIN scored s ON u.uid = s.claim_id""",
+FROM deduped u FULL OUTER JOIN scored s ON u.claim_id = s.claim_id""",
     ),
 )
 def export_join(spark, sf_dir):
+    return joins.export_join(*_export_sides(spark, sf_dir))
+
+
+def _export_sides(spark, sf_dir):
     upload = claims_raw(spark, sf_dir).select("row_idx", "claim_id", "total_claim_amount")
     shown = scored(spark, sf_dir).select("row_idx", "claim_id", "total_claim_amount", "final_risk_score", "risk_level")
-    return joins.export_join(upload, shown)
+    return upload, shown
+
+
+@query(
+    "export_join_unique",
+    oracle(
+        SCORED,
+        """SELECT 'U' || u.row_idx AS claim_id, u.row_idx, u.total_claim_amount, s.total_claim_amount AS result_total_claim_amount,
+  round(s.final_risk_score, 6) AS final_risk_score, s.risk_level
+FROM claims_raw u FULL OUTER JOIN scored s ON u.row_idx = s.row_idx""",
+    ),
+)
+def export_join_unique(spark, sf_dir):
+    unique = [side.withColumn("claim_id", F.concat(F.lit("U"), "row_idx")) for side in _export_sides(spark, sf_dir)]
+    return joins.export_join(*unique, literal_ids=True)
 
 
 @query(
@@ -571,60 +604,120 @@ def outlier_flags(spark, sf_dir):
     return flagged.select("row_idx", "outlier_method", "is_outlier")
 
 
+@query(
+    "outlier_flags_zscore",
+    oracle(
+        VALUES,
+        """SELECT row_idx, 'zscore' AS outlier_method, CAST(coalesce(abs((log_claim_amount - m) / s) > 3, false) AS BIGINT) AS is_outlier
+FROM prepared CROSS JOIN (SELECT m, s FROM moments WHERE col = 'log_claim_amount')""",
+    ),
+)
+def outlier_flags_zscore(spark, sf_dir):
+    flagged = normality.outlier_flags(prepared(spark, sf_dir), "log_claim_amount", method="zscore")
+    return flagged.select("row_idx", "outlier_method", "is_outlier")
+
+
 # --- sources and sinks -------------------------------------------------------
-EXPORTED = """SELECT claim_id, total_claim_amount, round(final_risk_score, 6) AS final_risk_score, risk_level, fraud_prediction,
-  CAST(NULL AS DOUBLE) AS ml_fraud_probability FROM scored"""
+BANDS = "CASE WHEN score >= 70 THEN 'High' WHEN score >= 30 THEN 'Medium' ELSE 'Low' END"
+EXPORTED = f"""SELECT claim_id, total_claim_amount, round(score, 6) AS final_risk_score, {BANDS} AS risk_level,
+  CASE WHEN score >= 70 THEN 'Fraud' ELSE 'Legitimate' END AS fraud_prediction, round(p, 6) AS ml_fraud_probability, explanation FROM worded"""
 
+#: Every fiftieth claim has a type with quotes and a line break.
+BROKEN_TYPE = "CASE WHEN row_idx % 50 = 0 THEN incident_type || {feed} || '\"second\" line' ELSE incident_type END"
 
-@query("read_claims_csv", oracle(CLEANED, "SELECT row_idx, claim_id, CAST(CAST(total_claim_amount AS BIGINT) AS VARCHAR) AS total_claim_amount, incident_type FROM claims_raw"))
+
+@query(
+    "read_claims_csv",
+    oracle(
+        CLEANED,
+        f"SELECT row_idx, claim_id, CAST(CAST(total_claim_amount AS BIGINT) AS VARCHAR) AS total_claim_amount, {BROKEN_TYPE.format(feed='chr(10)')} AS incident_type FROM claims_raw",
+    ),
+)
 def read_claims_csv(spark, sf_dir):
     path = scratch_path(spark, "upload")
-    # Files in upload order: the row index of the read must give the order back.
-    upload = claims_raw(spark, sf_dir).repartitionByRange(8, "row_idx").sortWithinPartitions("row_idx")
-    upload.select("claim_id", F.col("total_claim_amount").cast("bigint").alias("total_claim_amount"), "incident_type").write.option("header", True).csv(path)
-    return files.read_claims_csv(spark, path)
+    upload = claims_raw(spark, sf_dir).selectExpr(
+        "row_idx", "claim_id", "CAST(total_claim_amount AS BIGINT) AS total_claim_amount", BROKEN_TYPE.format(feed="char(10)") + " AS incident_type"
+    )
+    half = upload.agg((F.max("row_idx") / 2).alias("h")).scalar()
+    # Two folders whose headers differ in order; files in upload order, so the row index must give the order back.
+    orders = {"1": ("<", ["claim_id", "total_claim_amount", "incident_type"]), "2": (">=", ["incident_type", "claim_id", "total_claim_amount"])}
+    for folder, (side, columns) in orders.items():
+        part = upload.where(F.col("row_idx") < half if side == "<" else F.col("row_idx") >= half)
+        part = part.repartitionByRange(4, "row_idx").sortWithinPartitions("row_idx")
+        part.select(*columns).write.options(header=True, escape='"').csv(f"{path}/{folder}")
+    return files.read_claims_csv(spark, f"{path}/*", multi_line=True)
 
 
-@query("write_results_csv", oracle(SCORED, EXPORTED))
+@query("write_results_csv", oracle(MODELLED, EXPORTED))
 def write_results_csv(spark, sf_dir):
     path = scratch_path(spark, "results-csv")
-    files.write_results_csv(scored(spark, sf_dir), path)
-    return files.read_results_csv(spark, path).drop("explanation")
+    files.write_results_csv(scored_with_model(spark, sf_dir), path)
+    return files.read_results_csv(spark, path)
 
 
-@query("write_results_json", oracle(SCORED, EXPORTED))
+@query("write_results_json", oracle(MODELLED, EXPORTED))
 def write_results_json(spark, sf_dir):
     path = scratch_path(spark, "results-json")
-    exported = files.results_columns(scored(spark, sf_dir)).drop("explanation")
+    exported = files.results_columns(scored_with_model(spark, sf_dir))
     files.write_results_json(exported, path)
     return files.read_results_json(spark, path, exported.schema)
 
 
+RECORD = """count(*) AS claims_count, count(*) FILTER (risk_level = 'High') AS high_risk_count,
+  count(*) FILTER (risk_level = 'Medium') AS medium_risk_count, count(*) FILTER (risk_level = 'Low') AS low_risk_count,
+  round(coalesce(avg(final_risk_score), 0), 6) AS avg_risk_score, count(*) FILTER (fraud_prediction = 'Fraud') AS fraud_predictions"""
+
+
 @query(
     "store_run",
     oracle(
         SCORED,
-        """SELECT 'all' AS run_id, count(*) AS claims_count, count(*) FILTER (risk_level = 'High') AS high_risk_count,
-  count(*) FILTER (risk_level = 'Medium') AS medium_risk_count, count(*) FILTER (risk_level = 'Low') AS low_risk_count,
-  round(avg(final_risk_score), 6) AS avg_risk_score, count(*) FILTER (fraud_prediction = 'Fraud') AS fraud_predictions,
-  CAST(1.5 AS DOUBLE) AS runtime FROM scored""",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS run_id, {RECORD}, CAST({runtime} AS DOUBLE) AS runtime FROM scored WHERE {rows}"
+            for name, runtime, rows in (("007", 1.5, "risk_level = 'High'"), ("run1", 2.5, "risk_level <> 'High'"), ("empty", 0.5, "false"))
+        ),
     ),
 )
 def store_run(spark, sf_dir):
     path = scratch_path(spark, "runs")
-    files.store_run(scored(spark, sf_dir), path, "all", 1.5)
+    frame = scored(spark, sf_dir)
+    files.store_run(frame.where("risk_level = 'High'"), path, "007", 1.5)
+    files.store_run(frame.where("risk_level <> 'High'"), path, "run1", 2.5)
+    files.store_run(frame.where("false"), path, "empty", 0.5)
     return files.read_runs(spark, path).drop("timestamp")
 
 
-@query("append_results", oracle(SCORED, EXPORTED))
+@query("append_results", oracle(MODELLED, EXPORTED))
 def append_results(spark, sf_dir):
     path = scratch_path(spark, "appended")
-    exported = files.results_columns(scored(spark, sf_dir)).drop("explanation")
+    exported = files.results_columns(scored_with_model(spark, sf_dir))
     files.append_results(exported.where("risk_level = 'High'"), path)
     files.append_results(exported.where("risk_level <> 'High'"), path)
     return files.all_results(spark, path)
 
 
-@query("export_session_json")
+KEPT = f"""{RUNS},
+kept AS (SELECT * FROM runs ORDER BY runs.timestamp DESC, run_id DESC LIMIT 50)"""
+
+
+@query(
+    "export_session_json",
+    oracle(
+        KEPT,
+        f"""SELECT '2024-02-01 00:00:00' AS exported, (SELECT count(*) FROM kept) AS total_analyses, (SELECT CAST(sum(claims_count) AS BIGINT) FROM kept) AS total_claims,
+  (SELECT round(sum(runtime), 6) FROM kept) AS total_runtime, (SELECT round(sum(high_risk_count) / sum(claims_count) * 100, 6) FROM kept) AS high_risk_rate,
+  row_number() OVER (ORDER BY kept.timestamp) AS place, {STAMP}, {COUNTS}, round(runtime, 6) AS runtime FROM kept""",
+    ),
+)
 def export_session_json(spark, sf_dir):
-    return history.export_session_json(runs(spark, sf_dir), now=F.expr(f"timestamp {quoted(NOW)}"))
+    exported = history.export_session_json(runs(spark, sf_dir), now=F.expr(f"timestamp {quoted(NOW)}"))
+    # The text is read back, so that each of its values can be compared.
+    record = "timestamp timestamp, claims_count long, high_risk_count long, medium_risk_count long, low_risk_count long, avg_risk_score double, fraud_predictions long, runtime double"
+    stats = "total_analyses long, total_claims long, total_runtime double, high_risk_rate double"
+    parsed = exported.select(F.from_json("session_json", f"export_timestamp timestamp, session_statistics struct<{_fields(stats)}>, analysis_history array<struct<{_fields(record)}>>").alias("j"))
+    listed = parsed.select(F.date_format("j.export_timestamp", "yyyy-MM-dd HH:mm:ss").alias("exported"), "j.session_statistics.*", F.posexplode("j.analysis_history").alias("pos", "run"))
+    return _stamped(listed.select("exported", "total_analyses", "total_claims", "total_runtime", "high_risk_rate", (F.col("pos") + 1).alias("place"), "run.*"))
+
+
+def _fields(columns: str) -> str:
+    return ", ".join(": ".join(c.split()) for c in columns.split(", "))

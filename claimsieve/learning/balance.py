@@ -19,13 +19,14 @@ SMOTE_CHUNK = 10_000
 def pseudo_labels(df: DataFrame, score: str = "risk_score", rules: str = "triggered_rules") -> DataFrame:
     """Add ``label``: score above 70 with at least three rules.
 
-    When that finds nobody, scores above the 0.9 quantile. Both are scalar subqueries.
+    When that finds nobody, scores above the 0.9 quantile; only then is the quantile computed.
     """
     commas = F.length(rules) - F.length(F.replace(F.col(rules), F.lit(","), F.lit("")))
     strict = F.coalesce((F.col(score) > 70) & (commas >= 2), F.lit(False))
-    positives = df.agg(F.count_if(strict).alias("n")).scalar()
+    if df.where(strict).limit(1).count():
+        return df.withColumn("label", strict.cast("int"))
     cut = exact_quantiles(df, [score], {"q90": 0.9}).select("q90").scalar()
-    return df.withColumn("label", F.when(positives > 0, strict).otherwise(F.col(score) > cut).cast("int"))
+    return df.withColumn("label", F.coalesce(F.col(score) > cut, F.lit(False)).cast("int"))
 
 
 def training_guard(df: DataFrame, label: str = "label") -> DataFrame:
@@ -69,6 +70,11 @@ def standardize(df: DataFrame, columns: list[str], train: DataFrame | None = Non
     return scale_with(df, columns, scaling(df if train is None else train, columns).scalar())
 
 
+def _hash_number(purpose: str) -> Column:
+    text = F.concat_ws(":", F.col("id").cast("string"), F.col("_copy").cast("string"), F.lit(purpose))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def smote(
     df: DataFrame,
     id_column: str = "id",
@@ -107,8 +113,9 @@ def smote(
         made = made.repartition("id", "_from")
     last = F.least(F.col("_from") + SMOTE_CHUNK, F.col("_copies")) - 1
     made = made.withColumn("_copy", F.explode(F.sequence(F.col("_from"), last)))
-    pick = F.pmod(F.xxhash64("id", "_copy", F.lit("neighbour")), F.size("near")).cast("int")
-    u = F.pmod(F.xxhash64("id", "_copy", F.lit("position")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    # Eight hex digits of md5(id:copy:purpose), so that any SQL can follow the choice.
+    pick = (_hash_number("neighbour") % F.size("near")).cast("int")
+    u = _hash_number("position") / F.lit(float(1 << 32))
     mixed = made.withColumns({"_near": F.col("near")[pick]["t_vec"], "_u": u})
     synthetic = mixed.select(
         (-(F.col("id") * F.lit(share + 1) + F.col("_copy")) - 1).alias("id"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -19,6 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ from .contributions import mean_importance
 from .metrics import average_precision, classification_metrics, f1_scores, roc_auc
 from .neighbors import knn_probability
 
-UNTRAINED = 0.5
+
+#: Bounded training rows per task of a fit.
+FIT_TASK_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -54,6 +59,32 @@ class LearningConfig:
     calibration_folds: int = 3
     validation_folds: int = 5
     seed: int = 42
+    #: Labelled rows a training uses at most, and rows the neighbour member keeps at most, chosen by hash; None: all.
+    label_rows: int | None = None
+    knn_rows: int | None = 200_000
+    #: Independent fits that run at the same time.
+    fit_threads: int = 8
+
+
+def bounded_rows(frame: DataFrame, rows: int | None, key: str = "id") -> DataFrame:
+    """About ``rows`` rows at most, the same ones every time."""
+    if rows is None:
+        return frame
+    share = min(1.0, rows / max(1, frame.count()))
+    return frame if share == 1.0 else frame.where(F.pmod(F.xxhash64(F.lit("bounded"), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
+def fit_frame(frame: DataFrame, name: str, config: LearningConfig) -> DataFrame:
+    """Rows to fit on, stored because every fit reads them many times; bounded rows are few enough for few tasks."""
+    if config.label_rows is None:
+        return stored(frame, name, "id")
+    return stored(frame.repartition(max(1, config.label_rows // FIT_TASK_ROWS)), name)
+
+
+def fit_together(jobs: list, spark: SparkSession, threads: int) -> list:
+    """Results of independent fits, in order; each mostly waits for small Spark jobs of its own."""
+    with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs])
 
 
 def weights_for(members: tuple[str, ...]) -> dict[str, float]:
@@ -124,7 +155,8 @@ class NeighborModel:
 
 
 def train_knn(frame: DataFrame, config: LearningConfig = LearningConfig(), **options) -> NeighborModel:
-    return NeighborModel(frame.select("id", "features", "label"), config.knn_k, options)
+    rows = bounded_rows(frame.select("id", "features", "label"), config.knn_rows)
+    return NeighborModel(rows, config.knn_k, options)
 
 
 def fit_member(name: str, frame: DataFrame, config: LearningConfig):
@@ -181,32 +213,38 @@ def fit_isotonic(scored: DataFrame, score: str = "_score") -> IsotonicRegression
     return IsotonicRegression(featuresCol=score, labelCol="label", weightCol="weight", predictionCol="_cal").fit(points)
 
 
-def _folds(frame: DataFrame, folds: int) -> DataFrame:
-    """Training rows with their fold, stored because every fold reads them again."""
-    return stored(stratified_folds(frame.select("id", "features", "label"), "id", folds), "folds", "id")
+def _folds(frame: DataFrame, folds: int, config: LearningConfig) -> DataFrame:
+    """Training rows with their fold."""
+    return fit_frame(stratified_folds(frame.select("id", "features", "label"), "id", folds), "folds", config)
 
 
-def calibrate(name: str, frame: DataFrame, config: LearningConfig = LearningConfig()) -> Calibrated:
-    """Per fold: fit on the others, map the held-out scores isotonically to labels."""
-    folded = _folds(frame, config.calibration_folds)
-    pairs = []
-    for i in range(config.calibration_folds):
-        model = fit_member(name, folded.where(F.col("fold") != i), config)
+def calibrate(name: str, frame: DataFrame, config: LearningConfig = LearningConfig(), folded: DataFrame | None = None) -> Calibrated:
+    """Per fold: fit on the others, map the held-out scores isotonically to labels.
+
+    ``folded`` are the rows with their fold, if they are stored already.
+    """
+    folded = _folds(frame, config.calibration_folds, config) if folded is None else folded
+
+    def one(i: int) -> tuple:
+        model = fit_member(name, folded.where(F.col("fold") != i).drop("fold"), config)
         held_out = add_probability(model, folded.where(F.col("fold") == i), "_score")
-        pairs.append((model, fit_isotonic(held_out)))
-    return Calibrated(pairs)
+        return model, fit_isotonic(held_out)
+
+    return Calibrated(fit_together([partial(one, i) for i in range(config.calibration_folds)], frame.sparkSession, config.fit_threads))
 
 
 def cross_validate(frame: DataFrame, members: tuple[str, ...], config: LearningConfig = LearningConfig()) -> DataFrame:
     """``model, cv_f1``: mean F1 over stratified folds."""
-    folded = _folds(frame, config.validation_folds)
-    parts = None
-    for name in members:
-        for i in range(config.validation_folds):
-            model = fit_member(name, folded.where(F.col("fold") != i), config)
-            scored = add_probability(model, folded.where(F.col("fold") == i), "probability")
-            part = scored.select(F.lit(name).alias("model"), "fold", "label", "probability")
-            parts = part if parts is None else parts.unionByName(part)
+    folded = _folds(frame, config.validation_folds, config)
+
+    def one(name: str, i: int) -> DataFrame:
+        model = fit_member(name, folded.where(F.col("fold") != i).drop("fold"), config)
+        scored = add_probability(model, folded.where(F.col("fold") == i), "probability")
+        return scored.select(F.lit(name).alias("model"), "fold", "label", "probability")
+
+    jobs = [partial(one, name, i) for name in members for i in range(config.validation_folds)]
+    parts = fit_together(jobs, frame.sparkSession, config.fit_threads)
+    parts = reduce(DataFrame.unionByName, parts)
     hit, actual = F.col("probability") > 0.5, F.col("label") == 1
     tp, wrong = F.count_if(hit & actual), F.count_if(hit != actual)
     per_fold = parts.groupBy("model", "fold").agg(F.coalesce(F.try_divide(2 * tp, 2 * tp + wrong), F.lit(0.0)).alias("f1"))
@@ -313,11 +351,6 @@ def _load_model(spark: SparkSession, name: str, path: str, config: LearningConfi
     return kinds.get(name, GBTClassificationModel).load(path)
 
 
-def untrained_probability(df: DataFrame, output: str = "ml_fraud_prob") -> DataFrame:
-    """What an ensemble without training answers."""
-    return df.withColumn(output, F.lit(UNTRAINED))
-
-
 def evaluate(scored: DataFrame, members: list[str]) -> dict:
     """Metrics of the blended ``probability`` and F1 of each ``p_<member>``, as plain values."""
     metrics = classification_metrics(scored).first().asDict()
@@ -352,6 +385,7 @@ def train_ensemble(
     if not features:
         return None
     labelled = df.select(F.col(ROW_INDEX).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), *features)
+    labelled = bounded_rows(labelled, config.label_rows)
     split = stored(stratified_split(align_features(labelled, features, ["id", "label"]), "id"), "training", "id")
     if not training_guard(split).first()["trainable"]:
         return None
@@ -360,10 +394,13 @@ def train_ensemble(
     ensemble = Ensemble(features, scale, {}, {}, config)
     rows = ensemble.vectors(split.withColumn(ROW_INDEX, F.col("id"))).select("id", "label", "is_test", "features")
     train, test = rows.where("is_test = 0").drop("is_test"), rows.where("is_test = 1").drop("is_test")
-    balanced = stored((smote_tomek if clean_links else smote)(train).select("id", "features", "label"), "balanced", "id")
-    ensemble.members = {name: fit_member(name, balanced, config) for name in config.members}
+    balanced = fit_frame((smote_tomek if clean_links else smote)(train).select("id", "features", "label"), "balanced", config)
+    spark, names = df.sparkSession, config.members
+    ensemble.members = dict(zip(names, fit_together([partial(fit_member, n, balanced, config) for n in names], spark, config.fit_threads)))
     if with_calibration:
-        ensemble.calibrated = {name: calibrate(name, train, config) for name in config.members}
+        folded = _folds(train, config.calibration_folds, config)
+        jobs = [partial(calibrate, n, train, config, folded) for n in names]
+        ensemble.calibrated = dict(zip(names, fit_together(jobs, spark, config.fit_threads)))
     ensemble.importances = feature_importance(ensemble.members, features)
     scored = stored(ensemble.blend(ensemble.member_probabilities(test, calibrated=False), "probability").drop("features"), "test")
     ensemble.metrics = evaluate(scored, list(config.members))

@@ -4,8 +4,8 @@ Two ways with equal results:
 
 * The reference side fits a byte limit (it is counted first): it is broadcast and
   each task compares its query batches with it. No shuffle.
-* Otherwise both sides are partitioned into Voronoi cells of a bounded number of
-  pivots. A query first searches its own cell; its k-th distance there bounds the
+* Otherwise both sides are partitioned into Voronoi cells of about as many pivots as
+  the root of the reference rows. A query first searches its own cell; its k-th distance there bounds the
   true one, and only cells that the triangle inequality and the bisector bound
   cannot exclude are searched as well. Cells are cut into blocks of reference rows
   and chunks of queries, so a crowded cell becomes many tasks.
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-MAX_PIVOTS = 256
+#: Cells of the partitioned way: about the root of the reference rows, so cells and their size grow alike.
+MIN_PIVOTS, MAX_PIVOTS = 16, 4096
+#: Reference rows compared at a time.
+TILE_ROWS = 16384
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 32768
 #: Query rows of one distance matrix; keeps it near 16 MB.
@@ -68,6 +71,16 @@ def nearest_in_block(q_ids, q, t_ids, t, k: int, exclude_self: bool) -> pd.DataF
     return pd.concat(found, ignore_index=True)
 
 
+def nearest_in_tiles(q_ids, q, t_ids, t, k: int, exclude_self: bool) -> pd.DataFrame:
+    """:func:`nearest_in_block` over any number of reference rows, TILE_ROWS at a time; query ids are unique."""
+    parts = [
+        nearest_in_block(q_ids, q, t_ids[a : a + TILE_ROWS], t[a : a + TILE_ROWS], k, exclude_self) for a in range(0, max(len(t), 1), TILE_ROWS)
+    ]
+    if len(parts) == 1:
+        return parts[0]
+    return pd.concat(parts).sort_values(["q_id", "distance", "t_id"]).groupby("q_id").head(k)
+
+
 def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
 
@@ -92,7 +105,7 @@ def knn_join(
     vector: str = "features",
     exclude_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    pivots: int = 64,
+    pivots: int | None = None,
 ) -> DataFrame:
     """``q_id, t_id, distance, rank`` of the k nearest reference rows of each query.
 
@@ -102,14 +115,17 @@ def knn_join(
     # Of identical vectors only the k smallest ids can be among the k nearest (one
     # more when the query itself may be one of them).
     reference = _smallest(_side(reference, id_column, vector, "t"), ["t_vec"], ["t_id"], k + int(exclude_self))
-    queries = _side(queries, id_column, vector, "q")
+    # Both are read several times.
+    reference = stored(reference, "knn-reference")
+    queries = stored(_side(queries, id_column, vector, "q"), "knn-queries", "q_id")
     size = reference.agg(F.count("*").alias("n"), F.max(F.size("t_vec")).alias("d")).first()
     if not size["n"]:
         return queries.sparkSession.createDataFrame([], OUT + ", rank int")
     if size["n"] * (size["d"] * 8 + 8) <= broadcast_bytes:
         found = _search_broadcast(queries, reference, k, exclude_self)
     else:
-        found = _search_cells(queries, reference, k, exclude_self, min(pivots, MAX_PIVOTS))
+        count = pivots or round(size["n"] ** 0.5)
+        found = _search_cells(queries, reference, k, exclude_self, min(max(count, 1 if pivots else MIN_PIVOTS), MAX_PIVOTS))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "t_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -123,7 +139,7 @@ def _search_broadcast(queries: DataFrame, reference: DataFrame, k: int, exclude_
         t_ids, t = shared.value
         for batch in batches:
             if len(batch):
-                yield nearest_in_block(batch["q_id"].to_numpy("int64"), _matrix(batch["q_vec"]), t_ids, t, k, exclude_self)
+                yield nearest_in_tiles(batch["q_id"].to_numpy("int64"), _matrix(batch["q_vec"]), t_ids, t, k, exclude_self)
 
     return queries.mapInPandas(search, OUT)
 
@@ -169,7 +185,7 @@ def _search_cells(queries: DataFrame, reference: DataFrame, k: int, exclude_self
                 yield batch.assign(cell=homes[d.argmin(axis=1)].astype("int32"))
 
     with_cell = "q_id bigint, q_vec array<double>, cell int"
-    at_home = queries.mapInPandas(home, with_cell)
+    at_home = stored(queries.mapInPandas(home, with_cell), "knn-starts")
     first = _smallest(_search_blocks(at_home, placed, blocks, k, exclude_self), ["q_id"], ["distance", "t_id"], k)
     first = stored(first, "knn-home")
     reach = first.groupBy("q_id").agg(F.count("*").alias("got"), F.max("distance").alias("kth"))
@@ -198,7 +214,7 @@ def _search_cells(queries: DataFrame, reference: DataFrame, k: int, exclude_self
                 }
             )
 
-    further = at_home.join(reach, "q_id", "left").mapInPandas(others, with_cell)
+    further = stored(at_home.join(reach, "q_id", "left").mapInPandas(others, with_cell), "knn-further")
     second = _search_blocks(further, placed, blocks, k, exclude_self)
     return first.unionByName(second)
 

@@ -23,8 +23,9 @@ def combine_predictions(df: DataFrame, probability: str = "ml_fraud_prob") -> Da
 
 
 def join_predictions(df: DataFrame, predictions: DataFrame, probability: str = "ml_fraud_prob") -> DataFrame:
-    """Attach one probability per claim id (left join), then blend."""
-    return combine_predictions(df.join(predictions.select("claim_id", probability), "claim_id", "left"), probability)
+    """Attach one probability per claim id (left join), then blend; of several predictions of an id the highest counts."""
+    one = predictions.groupBy("claim_id").agg(F.max(probability).alias(probability))
+    return combine_predictions(df.join(one, "claim_id", "left"), probability)
 
 
 def risk_level(score: Column) -> Column:
@@ -33,7 +34,8 @@ def risk_level(score: Column) -> Column:
 
 
 def fraud_prediction(score: Column, positive: str = "Fraud", negative: str = "Legitimate") -> Column:
-    return F.when(score >= 70, positive).otherwise(negative)
+    """Null stays null."""
+    return F.when(score >= 70, positive).when(score < 70, negative)
 
 
 def resolve_final_score(df: DataFrame) -> Column:
@@ -75,7 +77,8 @@ def next_step(level: Column, single: bool = False) -> Column:
 
 
 def triage_action(score: Column) -> Column:
-    return F.when(score >= 70, "ESCALATE").when(score >= 40, "VERIFY").otherwise("APPROVE")
+    """Null stays null."""
+    return F.when(score >= 70, "ESCALATE").when(score >= 40, "VERIFY").when(score < 40, "APPROVE")
 
 
 # --- fixed values: recommended action per band -------------------------------

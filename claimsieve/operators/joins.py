@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ROW_INDEX
-from .mapping import has_repeated_ids
+from .mapping import dedupe_claim_ids, has_repeated_ids
 from .views import normalize_fraud_label
 
 
@@ -35,14 +35,20 @@ def _unique_ids(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.when(has_repeated_ids(df, key), suffixed).otherwise(F.col(key).cast("string")))
 
 
-def export_join(upload: DataFrame, results: DataFrame, key: str = "claim_id", prefix: str = "result_") -> DataFrame:
+def export_join(upload: DataFrame, results: DataFrame, key: str = "claim_id", prefix: str = "result_", literal_ids: bool = False) -> DataFrame:
     """Full outer join of upload and results on the claim id.
 
-    A side with repeated ids gets ``_<row index>`` appended to each of its ids, so
-    keys are unique on both sides. Result columns that clash take ``prefix``.
+    Repeated ids of the upload are told apart as :func:`dedupe_claim_ids` does before
+    scoring, so every scored claim meets its upload row. With ``literal_ids`` a side with repeated ids
+    gets ``_<row index>`` appended to each of its ids instead, which matches nothing as soon as
+    one id repeats. Result columns that clash take ``prefix``.
     """
-    left = _unique_ids(upload, key)
-    right = _unique_ids(results, "claim_id").drop(*([ROW_INDEX] if ROW_INDEX in results.columns else []))
+    if literal_ids:
+        left, right = _unique_ids(upload, key), _unique_ids(results, "claim_id")
+    else:
+        left = dedupe_claim_ids(upload.withColumnRenamed(key, "claim_id")).withColumnRenamed("claim_id", key)
+        right = results
+    right = right.drop(*([ROW_INDEX] if ROW_INDEX in results.columns else []))
     right = right.select(
         F.col("claim_id").alias("_rid"),
         *[F.col(c).alias(prefix + c if c in upload.columns else c) for c in right.columns if c != "claim_id"],

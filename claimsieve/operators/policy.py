@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.numbers import bin_text, clean_number, digit_text, flag
 from ..functions.text import lookup, with_expressions
-from ..plans.ordered import quantiles_of, value_distribution, with_running_totals
+from ..plans.ordered import exact_quantiles, quantiles_of, value_distribution, with_running_totals
 
 UNKNOWN = "UNKNOWN"
 FREQUENT_CLAIMS, FREQUENT_DAYS = 3, 30
@@ -136,8 +136,9 @@ def percentile_rank(df: DataFrame, column: str = "total_claim_amount", ranked: D
 
 def iqr_flag(df: DataFrame, column: str = "total_claim_amount", ranked: DataFrame | None = None) -> DataFrame:
     """Add ``iqr_flag``: outside 1.5 interquartile ranges of the batch."""
-    ranked = ranked_amounts(df, column) if ranked is None else ranked
-    q = quantiles_of(ranked, {"q1": 0.25, "q3": 0.75}).where(F.col("n") >= 4)
+    shares = {"q1": 0.25, "q3": 0.75}
+    q = exact_quantiles(df, [column], shares) if ranked is None else quantiles_of(ranked, shares)
+    q = q.where(F.col("n") >= 4)
     limits = q.agg(F.expr("first(named_struct('low', q1 - 1.5D * (q3 - q1), 'high', q3 + 1.5D * (q3 - q1))) AS b"))
     return (
         df.withColumn("_b", limits.scalar())

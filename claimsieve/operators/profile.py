@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import clean_number
 from ..functions.text import quoted
-from ..plans.ordered import approximate_quantiles, numeric_columns, quantiles_of, value_distribution, with_running_totals
+from ..plans.ordered import approximate_quantiles, exact_quantiles, numeric_columns
 
 
 def _missing_counts(df: DataFrame) -> DataFrame:
@@ -46,30 +47,27 @@ def profile_upload(df: DataFrame) -> DataFrame:
 def outlier_pct(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """``column, outlier_pct``: rows outside 1.5 interquartile ranges, nulls count as rows.
 
-    Exact quartiles come from the value distribution, and so do the outlier counts:
-    the table is scanned once for both. ``approx`` takes sketched quartiles.
+    With the quartiles known, one scan counts the rows outside; no value is shuffled for
+    that. ``approx`` takes sketched quartiles.
     """
     columns = columns or numeric_columns(df)
     shares = {"q1": 0.25, "q3": 0.75}
-    rows = df.agg(F.count("*").alias("n")).scalar()
-    dist = value_distribution(df, columns)
-    if approx:
-        quartiles = approximate_quantiles(df, columns, shares)
-    else:
-        quartiles = quantiles_of(with_running_totals(dist), shares)
-    bounds = quartiles.select(
-        "column",
-        (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"),
-        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"),
-    )
-    # One row per column: bounded by the schema.
-    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    return (
-        dist.join(F.broadcast(bounds), "column")
-        .groupBy("column")
-        .agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("o"))
-        .select("column", (F.try_divide(F.col("o"), rows) * 100).alias("outlier_pct"))
+    quartiles = approximate_quantiles(df, columns, shares) if approx else exact_quantiles(df, columns, shares)
+    bound = F.struct(
+        (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high")
     )
+    # One entry per column of the table.
+    bounds = quartiles.agg(F.map_from_entries(F.collect_list(F.struct("column", bound))).alias("b")).scalar()
+    dtypes = {f.name: f.dataType for f in df.schema}
+    values = df.select(*[clean_number(c, dtypes[c]).alias(f"v{i}") for i, c in enumerate(columns)]).withColumn("_b", bounds)
+    outside = [
+        F.count_if((F.col(f"v{i}") < F.col("_b")[c]["low"]) | (F.col(f"v{i}") > F.col("_b")[c]["high"])).alias(f"o{i}") for i, c in enumerate(columns)
+    ]
+    present = [F.count(f"v{i}").alias(f"p{i}") for i in range(len(columns))]
+    counts = values.agg(F.count("*").alias("n"), *outside, *present)
+    # A column without numbers has no row.
+    rows = ", ".join(f"named_struct('column', {quoted(c)}, 'outlier_pct', IF(p{i} > 0, o{i} / n * 100, NULL))" for i, c in enumerate(columns))
+    return counts.selectExpr(f"inline(array({rows}))").where("outlier_pct IS NOT NULL") if columns else counts.selectExpr("'' AS column", "0D AS outlier_pct").limit(0)
 
 
 def data_types(df: DataFrame) -> DataFrame:

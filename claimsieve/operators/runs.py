@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import exact_quantiles
+from ..session import stored
 
 KEEP_RUNS = 50
 POSITIVE = ("Fraud", "Y")
@@ -150,28 +151,30 @@ def performance_metrics(runs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def fraud_patterns(results: DataFrame) -> DataFrame:
-    """Long table ``pattern, item, value``: top-10 rules, band counts, top-5 hours, amount percentiles."""
+    """Long table ``pattern, item, value``: top-10 rules, band counts, top-5 hours, amount percentiles.
+
+    The four columns it needs are stored once, so what makes the results runs once. All counts come
+    from one aggregate over (pattern, item).
+    """
+    rules = F.col("top_indicators") if "top_indicators" in results.columns else F.split("triggered_rules", ",")
+    narrow = stored(
+        results.select(rules.alias("rules"), "risk_level", "incident_hour_of_the_day", F.col("total_claim_amount").cast("double").alias("total_claim_amount")), "patterns"
+    )
+    items = (
+        "concat(transform(coalesce(rules, array()), r -> named_struct('pattern', 'most_common_rules', 'item', trim(r))), "
+        "array(named_struct('pattern', 'risk_distribution', 'item', risk_level), "
+        "named_struct('pattern', 'peak_fraud_hours', 'item', CAST(CAST(incident_hour_of_the_day AS INT) AS STRING))))"
+    )
+    counts = narrow.selectExpr(f"inline({items})").where("NOT (pattern = 'most_common_rules' AND item = '')").groupBy("pattern", "item").agg(F.count("*").alias("n"))
+    # Rules and bands are few, hours are 24: a small table from here on.
+    number = F.when(F.col("pattern") == "peak_fraud_hours", F.col("item").cast("int"))
+    order = Window.partitionBy("pattern").orderBy(F.desc("n"), number, "item")
+    most = F.when(F.col("pattern") == "most_common_rules", 10).when(F.col("pattern") == "peak_fraud_hours", 5)
+    kept = counts.withColumn("_place", F.row_number().over(order)).where(most.isNull() | (F.col("_place") <= most))
     shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    amounts = exact_quantiles(results, ["total_claim_amount"], shares)
+    amounts = exact_quantiles(narrow, ["total_claim_amount"], shares)
     quartiles = F.array(*[F.struct(F.lit(q).alias("item"), F.col(q).alias("value")) for q in shares])
-    hours = (
-        results.groupBy("incident_hour_of_the_day")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "incident_hour_of_the_day")
-        .limit(5)
-    )
-    parts = [
-        top_rules(results, 10).select(F.lit("most_common_rules").alias("pattern"), F.col("rule").alias("item"), F.col("n").cast("double").alias("value")),
-        risk_distribution(results).select(F.lit("risk_distribution"), F.col("risk_level"), F.col("n").cast("double")),
-        hours.select(
-            F.lit("peak_fraud_hours"), F.col("incident_hour_of_the_day").cast("int").cast("string"), F.col("n").cast("double")
-        ),
-        amounts.select(F.lit("amount_quartiles"), F.inline(quartiles)),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return kept.select("pattern", "item", F.col("n").cast("double").alias("value")).union(amounts.select(F.lit("amount_quartiles"), F.inline(quartiles)))
 
 
 def export_session_json(runs: DataFrame, now: Column | None = None) -> DataFrame:

@@ -23,18 +23,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def value_distribution(
-    df: DataFrame,
-    columns: list[str],
-    measures: dict[str, Column] | None = None,
-    buckets: int | None = None,
-) -> DataFrame:
-    """One row per (column, distinct value): ``column, bucket, value, n`` and the measure sums.
+#: Value ranges counted per column to find a quantile.
+QUANTILE_BUCKETS = 256
 
-    ``measures`` are row expressions summed per value. Nulls, NaN and infinities
-    are left out.
-    """
-    measures = measures or {}
+
+def bucketed_cells(df: DataFrame, columns: list[str], measures: dict[str, Column], buckets: int | None = None) -> DataFrame:
+    """``column, bucket, value`` and the measures, one row per cell with a number; nothing is shuffled."""
     dtypes = {f.name: f.dataType for f in df.schema}
     values = [clean_number(c, dtypes[c]).alias(f"v{i}") for i, c in enumerate(columns)]
     frame = df.select(*values, *[m.alias(name) for name, m in measures.items()])
@@ -52,12 +46,23 @@ def value_distribution(
     cells = ", ".join(
         f"named_struct('column', {quoted(c)}, 'bucket', CAST(b{i} AS INT), 'value', v{i})" for i, c in enumerate(columns)
     )
-    return (
-        frame.selectExpr(f"inline(array({cells}))", *measures)
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "bucket", "value")
-        .agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures])
-    )
+    return frame.selectExpr(f"inline(array({cells}))", *measures).where(F.col("value").isNotNull())
+
+
+def value_distribution(
+    df: DataFrame,
+    columns: list[str],
+    measures: dict[str, Column] | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """One row per (column, distinct value): ``column, bucket, value, n`` and the measure sums.
+
+    ``measures`` are row expressions summed per value. Nulls, NaN and infinities
+    are left out.
+    """
+    measures = measures or {}
+    cells = bucketed_cells(df, columns, measures, buckets)
+    return cells.groupBy("column", "bucket", "value").agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures])
 
 
 def with_running_totals(dist: DataFrame, totals: list[str] = ["n"], descending: bool = False) -> DataFrame:
@@ -101,7 +106,30 @@ def quantiles_of(ranked: DataFrame, probabilities: dict[str, float]) -> DataFram
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]) -> DataFrame:
-    return quantiles_of(with_running_totals(value_distribution(df, columns)), probabilities)
+    """Linear-interpolation quantiles per column: ``column, n, <names>``.
+
+    Rows are counted per value range first, at most QUANTILE_BUCKETS numbers per column and task. Only
+    the ranges that hold a wanted rank have their values shuffled and ranked.
+    """
+    cells = bucketed_cells(df, columns, {}, QUANTILE_BUCKETS)
+    per_column = Window.partitionBy("column")
+    sizes = cells.groupBy("column", "bucket").agg(F.count("*").alias("_n")).select(
+        "column", "bucket", "_n",
+        F.coalesce(F.sum("_n").over(per_column.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(per_column).alias("n_total"),
+    )
+    wanted = F.lit(False)
+    for p in probabilities.values():
+        position = (F.col("n_total") - 1) * F.lit(p)
+        for rank in (F.floor(position), F.ceil(position)):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")))
+    needed = sizes.where(wanted).select("column", "bucket", "_before", "n_total")
+    # At most two ranges per quantile and column.
+    inside = cells.join(F.broadcast(needed), ["column", "bucket"])
+    inside = inside.groupBy("column", "bucket", "value", "_before", "n_total").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("n_upto", F.col("_before") + F.sum("n").over(within)).withColumn("n_before", F.col("n_upto") - F.col("n"))
+    return quantiles_of(ranked, probabilities)
 
 
 def approximate_quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float], error: float = 1e-3) -> DataFrame:

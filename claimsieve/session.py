@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are designed for. Every one can be overridden by the cluster.
@@ -27,21 +29,41 @@ def build_session(app_name: str = "claimsieve", master: str | None = None, **con
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, so its functions run where only the driver has it installed."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    target = Path(SparkFiles.getRootDirectory()) / f"{package.name}-package.zip"
+    if any(name.endswith(target.name) for name in context.listFiles):
+        return
+    # The driver serves this file from its own Spark folder, which goes when the session ends.
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This session's scratch folder, below ``spark.checkpoint.dir`` or else below the warehouse; executors share either."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{root.rstrip('/')}/claimsieve-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path below :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Only a local session without that setting falls back to a temporary folder
-    of this machine; a cluster session must name the shared folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="claimsieve-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this session has stored; frames that read it can't be used afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:

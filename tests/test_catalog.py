@@ -61,6 +61,19 @@ def test_scan_reads_needed_columns_only(spark):
     assert "ReadSchema: struct<l_extendedprice:double>" in plan
 
 
+def test_quantiles_shuffle_only_the_ranges_they_need(spark):
+    from claimsieve.operators.profile import outlier_pct
+    from claimsieve.plans.ordered import exact_quantiles
+
+    lines = table(spark, SMALL, "lineitem")
+    # The outlier count itself has no shuffle but the aggregate's, and no value is grouped over the whole table.
+    plan = plan_text(outlier_pct(lines, ["l_extendedprice"], approx=True)).split("== Physical Plan ==")[1]
+    assert "hashpartitioning" not in plan
+    found = exact_quantiles(lines, ["l_extendedprice"], {"q1": 0.25}).first()
+    expected = spark.sql("SELECT percentile(l_extendedprice, 0.25) AS q FROM {t}", t=lines).first()[0]
+    assert found["q1"] == pytest.approx(expected)
+
+
 def test_filters_reach_the_scan(spark):
     frame = clean_claims(table(spark, SMALL, "lineitem").selectExpr("l_extendedprice AS total_claim_amount", "l_orderkey AS row_idx"))
     assert "PushedFilters: [IsNotNull(l_orderkey), EqualTo(l_orderkey,7)]" in plan_text(frame.where("row_idx = 7"))

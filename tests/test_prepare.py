@@ -159,8 +159,11 @@ def test_export_join_keeps_unmatched_rows(spark):
     results = spark.createDataFrame([(0, "b", 9.0), (1, "z", 8.0)], "row_idx long, claim_id string, amount double")
     found = {r["claim_id"]: (r["amount"], r["result_amount"]) for r in export_join(upload, results).collect()}
     assert found == {"a": (1.0, None), "b": (2.0, 9.0), "z": (None, 8.0)}
-    repeated = export_join(spark.createDataFrame([(0, "b", 1.0), (1, "b", 2.0)], upload.schema), results)
-    assert {r["claim_id"] for r in repeated.collect()} == {"b_0", "b_1", "b", "z"}
+    twice = spark.createDataFrame([(0, "b", 1.0), (1, "b", 2.0)], upload.schema)
+    repeated = {r["claim_id"]: (r["amount"], r["result_amount"]) for r in export_join(twice, results).collect()}
+    assert repeated == {"b": (1.0, 9.0), "b_dup_1": (2.0, None), "z": (None, 8.0)}
+    literal = export_join(twice, results, literal_ids=True)
+    assert {r["claim_id"] for r in literal.collect()} == {"b_0", "b_1", "b", "z"}
 
 
 def test_repeat_union(spark):
