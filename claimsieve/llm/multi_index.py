@@ -84,7 +84,7 @@ def fit_index(nodes: DataFrame, total: int, d: int, threshold: float, recall: fl
     """
     rows = unit(matrix(hashed_share(nodes, FIT_ROWS, total, 1).select("vec").toPandas()["vec"], d))
     if not len(rows):
-        rows = unit(np.ones((1, d)))
+        rows = unit(np.ones((1, max(d, 1))))
     size = int(np.clip(round((total / CELL_ROWS) ** 0.5), 2, max(2, len(rows) // 8)))
     half = max(1, d // 2)
     index = MultiIndex(codebook(rows[:, :half], size), codebook(rows[:, half:], size) if d > 1 else np.zeros((1, 0)))

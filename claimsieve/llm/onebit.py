@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .frames import col
-from .vectors import dimension, matrix, usable
+from .vectors import dimension, lengths, matrix, unit, usable
 
 #: Width of the error bound in standard deviations of an estimate, about.
 EPSILON = 1.9
@@ -39,44 +39,52 @@ def rotation(d: int, seed: int = 29) -> np.ndarray:
 
 def encode(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, lengths, and inner products of directions with their codes."""
-    scale = np.abs(rows).max(axis=1, keepdims=True)
-    length = (np.linalg.norm(rows / scale, axis=1, keepdims=True) * scale).ravel()
-    turned = (rows / scale) @ turn.T
-    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
-    bits = turned > 0
-    return np.packbits(bits, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(rows.shape[1])
+    turned = unit(rows) @ turn.T
+    return np.packbits(turned > 0, axis=1), lengths(rows), np.abs(turned).sum(axis=1) / np.sqrt(rows.shape[1])
 
 
-def estimates(bits: np.ndarray, length: np.ndarray, f: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(queries, vectors) estimated inner products and the error bounds per vector for a query of length 1."""
+def estimates(bits: np.ndarray, f: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, vectors) estimated inner products of directions, and the error bound of each vector."""
     d = queries.shape[1]
-    turned = (queries @ turn.T).astype(np.float32)
+    turned = (unit(queries) @ turn.T).astype(np.float32)
     codes = np.unpackbits(bits, axis=1, count=d).astype(np.float32)
+    # The code is 2 * bit - 1, over the root of d.
     products = (2 * turned @ codes.T - turned.sum(axis=1, keepdims=True)) / np.float32(np.sqrt(d))
-    bound = length * np.sqrt(np.maximum(1 - f**2, 0)) / f * EPSILON / np.sqrt(max(d - 1, 1))
-    return products * (length / f).astype(np.float32), bound
+    bound = np.sqrt(np.maximum(1 - f**2, 0)) / f * EPSILON / np.sqrt(max(d - 1, 1))
+    return products / f.astype(np.float32), bound
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores of different ids, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    first_of_id = np.sort(np.unique(ids[order], return_index=True)[1])
+    return order[first_of_id][:k]
 
 
 def search_block(ids, rows, bits, length, f, query_ids, queries, turn, k) -> pd.DataFrame:
     """The k best of a block for each query, with exact scores."""
-    guess, bound = estimates(bits, length, f, queries, turn)
-    sizes = np.linalg.norm(queries, axis=1)
+    guess, bound = estimates(bits, f, queries, turn)
+    sizes = lengths(queries)
     out = []
     for i, (name, q) in enumerate(zip(query_ids, queries)):
         able = ids != name
-        row = np.where(able, guess[i], -np.inf)
+        # Products of huge lengths may overflow; what can't be compared is computed exactly.
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = length * sizes[i]
+            row = np.where(able, np.nan_to_num(guess[i] * reach, nan=np.inf), -np.inf)
+            upper = (guess[i] + bound) * reach
         look = min(FIRST_LOOK * k, len(ids))
         first = np.argpartition(-row, look - 1)[:look] if look < len(ids) else np.arange(len(ids))
         first = first[able[first]]
         if not len(first):
             continue
-        exact = rows[first] @ q
-        if len(first) >= k:
-            needed = np.partition(exact, len(exact) - k)[len(exact) - k]
-            more = np.flatnonzero(able & (guess[i] + bound * sizes[i] >= needed))
-            more = np.setdiff1d(more, first, assume_unique=True)
-            first, exact = np.append(first, more), np.append(exact, rows[more] @ q)
-        best = np.lexsort((ids[first], -exact))[:k]
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = rows[first] @ q
+            best = best_of(ids[first], exact, k)
+            if len(best) == k:
+                more = np.setdiff1d(np.flatnonzero(able & ~(upper < exact[best[-1]])), first, assume_unique=True)
+                first, exact = np.append(first, more), np.append(exact, rows[more] @ q)
+                best = best_of(ids[first], exact, k)
         out.append(pd.DataFrame({"query_id": name, "vec_id": ids[first][best], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

@@ -24,10 +24,20 @@ def usable(vector: Column, d: int) -> Column:
 
 def matrix(vectors, d: int) -> np.ndarray:
     """Rows of doubles from a pandas column of arrays."""
-    return np.array([np.asarray(v, np.float64) for v in vectors]).reshape(-1, d)
+    return np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), d)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1, however large or small their components."""
+    if not rows.size:
+        return rows
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Length of each row without an overflow on the way."""
+    if not rows.size:
+        return np.zeros(len(rows))
+    scale = np.abs(rows).max(axis=1)
+    return np.linalg.norm(rows / scale[:, None], axis=1) * scale
