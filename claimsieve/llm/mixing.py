@@ -23,7 +23,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents rounded in one group; a large source is dealt over many groups.
 GROUP_ROWS = 500
 STEPS = 80
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,7 +62,9 @@ def balance(cells: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     The sums are of exact decimals, so their order, and with it a rerun, can't change a digit.
     """
     step = sources.filter("target > 0").selectExpr(
-        "sid", "target", "scale", "0D AS m", f"ln({most}D) * scale / least_size AS high",
+        "sid", "target", "scale",
+        # A source that gives all it may is solved by the multiplier that takes its smallest document to the limit.
+        f"IF(target >= {most}D * source_size * (1 - 1e-12D), ln({most}D) * scale / least_size, 0D) AS m", f"ln({most}D) * scale / least_size AS high",
         "least(0D, ln(target / source_size)) * scale / least_size AS low",
     )
     step = stored(step, "mix-step")
