@@ -112,6 +112,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Base32 of a SHA-1: each five hex digits are four of its characters.
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(digest, {5 * group + 1}, 5) AS BIGINT) >> {shift}) & 31), 1)"
+    for group in range(8)
+    for shift in (15, 10, 5, 0)
+)
+ORACLES["op8_warc"] = f"""WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM digests"""
+
+
 @query
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
