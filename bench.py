@@ -33,8 +33,7 @@ HEADLINE = [
     "smote_tomek",
     "train_logistic",
     "train_random_forest",
-    "calibrate_lgb",
-    "ensemble_predict",
+    "calibrate_lr",
     "roc_auc",
     "feature_contributions",
     "lineitem_quality",
