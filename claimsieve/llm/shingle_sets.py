@@ -1,0 +1,146 @@
+"""Near copies by the Jaccard similarity of word-shingle sets.
+
+Candidates come from MinHash bands: sets that agree in all four values of one of 20 bands
+meet, which two sets of similarity 0.8 miss with a probability of 3 in 100,000. Whatever
+meets is compared exactly, so no link is below the threshold. Bands that bring the same
+sets together are compared once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import stored
+from .components import connected_components
+from .frames import col
+from .simhash import SEED, keep_smallest
+
+BANDS = 20
+BAND_ROWS = 4
+#: Sets and shingles of one side of a block; a band with more is cut into blocks that all meet each other.
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1 << 21
+#: Shingles per numpy step of the MinHash values.
+STEP = 1 << 12
+
+_RANDOM = np.random.default_rng(SEED)
+_FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+_TERMS = _RANDOM.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a whole text's word shingles; a shorter text is one shingle, a wordless one has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - width + 1)))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed number per band, of its place and its MinHash values; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for start in range(0, len(hashes), STEP):
+        mixed = hashes[None, start : start + STEP] * _FACTORS[:, None] + _TERMS[:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    values = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(v.tobytes(), b) for b, v in enumerate(values)], np.uint64).astype(np.int64).tolist()
+
+
+def linked_sets(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets have at least the threshold's Jaccard similarity."""
+    sizes_left, sizes_right = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    values, owner = np.concatenate(left), np.repeat(np.arange(len(left)), sizes_left)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    shared = np.zeros((len(left), len(right)), np.int64)
+    for k, other in enumerate(right):
+        first, last = np.searchsorted(values, other, "left"), np.searchsorted(values, other, "right")
+        n = last - first
+        places = np.repeat(first - np.append(0, n.cumsum()[:-1]), n) + np.arange(n.sum())
+        shared[:, k] = np.bincount(owner[places], minlength=len(left))
+    return shared >= threshold * (sizes_left[:, None] + sizes_right[None, :] - shared) - 1e-9
+
+
+def spanning_links(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to connect what ``linked`` connects."""
+    root: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while root.setdefault(n, n) != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    out = []
+    for i, k in zip(*np.nonzero(linked)):
+        a, b = find(int(left[i])), find(int(right[k]))
+        if a != b:
+            root[a] = b
+            out.append((int(left[i]), int(right[k])))
+    return out
+
+
+def compare_block(block: pd.DataFrame, width: int, threshold: float) -> pd.DataFrame:
+    """Links between the sets of both sides of a block; within one chunk both sides are the same."""
+    hashes = [shingle_set(t, width) for t in block["text"]]
+    own, nodes = block["chunk"].to_numpy() == block["x"].to_numpy(), block["node"].to_numpy()
+    left = np.flatnonzero(own)
+    right = left if (block["x"] == block["y"]).all() else np.flatnonzero(~own)
+    links = []
+    if len(left) and len(right):
+        links = spanning_links(linked_sets([hashes[i] for i in left], [hashes[i] for i in right], threshold), nodes[left], nodes[right])
+    return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)
+
+
+def shingle_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: (id, text_hash, root, component_id).
+
+    Components of the links of at least ``threshold``. Null, empty and wordless texts are alike, as in SimHash. Only id and text are read.
+    """
+
+    @F.pandas_udf("node long, size long, bands array<long>")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set(t, width) for t in texts]
+            nodes = np.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], np.uint64).astype(np.int64)
+            yield pd.DataFrame({"node": nodes, "size": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+
+    whole = col(text).cast("string")
+    rows = docs.select(col(key).alias("id"), F.xxhash64(whole).alias("text_hash"), digest(whole).alias("set"))
+    rows = stored(rows.select("id", "text_hash", "set.*"), "shingle-sets")
+    sets = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = stored(sets, "distinct-sets")
+    keyed = stored(sets.select("node", "text_hash", "size", F.explode("bands").alias("band")), "bands")
+    # Bands with the same members are known by their number and two sums of hashes.
+    members = [F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), *members).filter("n > 1")
+    shared = shared.groupBy("n", "shingles", "s1", "s2").agg(F.min("band").alias("band"))
+    chunks = f"CAST(ceil(greatest(n / {BLOCK_SETS}, shingles / {BLOCK_SHINGLES})) AS INT) AS m"
+    shared = stored(shared.selectExpr("band", chunks), "shared-bands")
+    meeting = keyed.join(shared, "band").selectExpr("band", "node", "text_hash", "m", "CAST(pmod(xxhash64(7, node), m) AS INT) AS chunk")
+    meeting = meeting.selectExpr("*", "explode(sequence(0, m - 1)) AS other")
+    meeting = stored(meeting.selectExpr("band", "node", "text_hash", "chunk", "least(chunk, other) AS x", "greatest(chunk, other) AS y"), "meeting-sets")
+    wanted = meeting.select("text_hash").distinct()
+    texts = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("text")).join(wanted, "text_hash", "left_semi")
+    texts = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
+    blocks = meeting.join(texts, "text_hash").select("band", "node", "chunk", "x", "y", "text")
+    links = blocks.groupBy("band", "x", "y").applyInPandas(lambda block: compare_block(block, width, threshold), "a long, b long")
+    roots = connected_components(stored(links, "set-links")).selectExpr("node", "component")
+    rooted = stored(sets.select("node", "least").join(roots, "node", "left").selectExpr("node", "least", "coalesce(component, node) AS root"), "rooted-sets")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "text_hash", "node").join(rooted.join(smallest, "root").select("node", "root", "component_id"), "node").drop("node")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Keep one row of each component, chosen as SimHash does. Columns and their order stay as they are."""
+    return keep_smallest(docs, shingle_classes(docs, key, text, width, threshold), key, text)

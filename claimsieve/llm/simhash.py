@@ -140,7 +140,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Of rows alike in id and text one stays. Columns and their order stay as they are.
     """
-    classes = simhash_classes(docs, key, text, width)
+    return keep_smallest(docs, simhash_classes(docs, key, text, width), key, text)
+
+
+def keep_smallest(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """The row of each ``root`` with the smallest id (nulls last), then the smallest hash of its text; of equal ones, one."""
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("best"))
     chosen = best.select(F.col("best.id").alias("id"), F.col("best.text_hash").alias("text_hash"))
     copies = classes.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
