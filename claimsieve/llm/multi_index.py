@@ -4,7 +4,7 @@ Two codebooks, one for each half of a vector, form a product grid of cells. Each
 vector is stored in the cell of its nearest two centroids and visits the cells
 nearest to it in the order of a multi-sequence traversal, that is by the sum of both squared
 distances. How many cells are visited comes from a sample whose links are known
-from comparing it with all vectors. Within a cell all visitors are compared exactly.
+from comparing it with all vectors; where it has few, also from partners placed at the threshold. Within a cell all visitors are compared exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from .vectors import dimension, matrix, unit, usable
 #: Vectors the codebooks are fitted on, and sample vectors for the number of visited cells.
 FIT_ROWS = 20_000
 SAMPLE_ROWS = 400
+#: Linked sample vectors from which their links alone set the number of visited cells; placed partners per sample vector.
+ENOUGH_LINKED = 400
+PARTNERS = 8
 #: Vectors per cell aimed at; visited cells at most considered; vectors per block of a crowded cell.
 CELL_ROWS = 64
 MOST_CELLS = 128
@@ -76,11 +79,38 @@ def hashed_share(nodes: DataFrame, rows: int, total: int, seed: int) -> DataFram
     return nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "h1"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
 
 
+def placed_partners(sample: np.ndarray, threshold: float, count: int, seed: int = 9) -> np.ndarray:
+    """``count`` unit vectors per row of ``sample``, row after row, at a cosine of ``threshold`` in random directions."""
+    near = np.repeat(sample, count, axis=0)
+    aside = np.random.default_rng(seed).standard_normal(near.shape)
+    aside -= (aside * near).sum(axis=1, keepdims=True) * near
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = float(np.clip(threshold, -1, 1))
+    placed = cosine * near + (1 - cosine**2) ** 0.5 * aside / np.maximum(length, 1e-300)
+    return np.where(length > 1e-9, placed, near)
+
+
+def link_ranks(cells: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Place of the first visit that brings both ends of a link together, either way; MOST_CELLS for none."""
+    there, here = cells == back[:, :1], back == cells[:, :1]
+    return np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), MOST_CELLS), np.where(here.any(axis=1), here.argmax(axis=1), MOST_CELLS))
+
+
+def enough_visits(counts: np.ndarray, recall: float) -> int:
+    """Visits that reach the recall over all links and on average over vectors; ``counts`` has (vector, rank) link numbers."""
+    counts = counts[counts.sum(axis=1) > 0]
+    overall = counts.sum(axis=0).cumsum() / counts.sum()
+    each = (counts.cumsum(axis=1) / counts.sum(axis=1, keepdims=True)).mean(axis=0)
+    enough = np.flatnonzero((overall >= recall) & (each >= recall))
+    return int(min(enough[0] + 1 if len(enough) else MOST_CELLS, MOST_CELLS))
+
+
 def fit_index(nodes: DataFrame, total: int, d: int, threshold: float, recall: float) -> MultiIndex:
     """Codebooks from about FIT_ROWS vectors; visited cells from about SAMPLE_ROWS compared with all vectors.
 
     A link counts as found if either vector visits the other's cell. The recall must
-    hold over all links of the sample and on average over its vectors.
+    hold over all links of the sample and on average over its vectors. If fewer than ENOUGH_LINKED
+    sample vectors have links, it must also hold for partners placed at the threshold.
     """
     rows = unit(matrix(hashed_share(nodes, FIT_ROWS, total, 1).select("vec").toPandas()["vec"], d))
     if not len(rows):
@@ -104,22 +134,20 @@ def fit_index(nodes: DataFrame, total: int, d: int, threshold: float, recall: fl
                 continue
             linked, place = np.unique(v, return_inverse=True)
             back = book.ranked(every[linked], MOST_CELLS)
-            there = cells[s] == back[place][:, :1]
-            here = back[place] == cells[s][:, :1]
-            rank = np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), MOST_CELLS), np.where(here.any(axis=1), here.argmax(axis=1), MOST_CELLS))
+            rank = link_ranks(cells[s], back[place])
             yield pd.DataFrame({"s": s, "rank": rank, "n": 1}).groupby(["s", "rank"], as_index=False).sum()
 
     found = nodes.select("node", "vec").mapInPandas(compare, "s long, rank long, n long").groupBy("s", "rank").agg(F.sum("n").alias("n")).toPandas()
-    if found.empty:
-        index.visits = 1
-        return index
     counts = np.zeros((len(sample), MOST_CELLS + 1))
-    np.add.at(counts, (found["s"].to_numpy(), found["rank"].to_numpy()), found["n"].to_numpy())
-    counts = counts[counts.sum(axis=1) > 0]
-    overall = counts.sum(axis=0).cumsum() / counts.sum()
-    each = (counts.cumsum(axis=1) / counts.sum(axis=1, keepdims=True)).mean(axis=0)
-    enough = np.flatnonzero((overall >= recall) & (each >= recall))
-    index.visits = int(min(enough[0] + 1 if len(enough) else MOST_CELLS, MOST_CELLS, order.shape[1]))
+    np.add.at(counts, (found["s"].to_numpy(int), found["rank"].to_numpy(int)), found["n"].to_numpy(float))
+    linked = int((counts.sum(axis=1) > 0).sum())
+    visits = enough_visits(counts, recall) if linked else 1
+    if linked < ENOUGH_LINKED:
+        s = np.repeat(np.arange(len(sample)), PARTNERS)
+        placed = np.zeros_like(counts)
+        np.add.at(placed, (s, link_ranks(order[s], index.ranked(placed_partners(sample, threshold, PARTNERS), MOST_CELLS))), 1)
+        visits = max(visits, enough_visits(placed, recall))
+    index.visits = min(visits, order.shape[1])
     return index
 
 

@@ -82,3 +82,17 @@ def test_recall_on_the_table(spark):
     assert all(r.n_links <= degree[r.vec_id] for r in found)
     assert sum(r.n_links for r in found) >= 0.97 * sum(degree.values())
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
+
+
+def test_rare_links_are_found(spark):
+    """0.2% linked vectors at a cosine just above the threshold: a sample of 400 sees few of them or none."""
+    rng = np.random.default_rng(11)
+    rows = rng.standard_normal((40_000, 32))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    aside = rng.standard_normal((80, 32))
+    aside -= (aside * rows[:80]).sum(axis=1, keepdims=True) * rows[:80]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    rows[80:160] = 0.905 * rows[:80] + (1 - 0.905**2) ** 0.5 * aside
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(8)
+    kept = {r.vec_id: r.kept for r in multi_index.similar_vectors(frame).collect()}
+    assert sum(not kept[k] for k in range(80, 160)) >= 78
