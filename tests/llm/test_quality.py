@@ -64,3 +64,15 @@ def test_classifier_on_labelled_rows(spark):
     assert sum(not r.accepted for r in bad) / len(bad) > 0.9
     assert sum(r.accepted for r in good) / len(good) > 0.98
     assert all(math.isclose(r.mean_log_weight * r.n_features, r.log_weight, abs_tol=1e-6) for r in found)
+
+
+def test_toxic_words_in_ordinary_prose_are_rejected(spark):
+    """Toxic texts of quality 1 among the labels that were kept out of the fit."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1")
+    rows = QUERIES["op4_quality"](spark, folder).join(labels, "doc_id").select("accepted", "toxic", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held")).collect()
+    toxic = [r for r in rows if r.held and r.toxic == 1]
+    good = [r for r in rows if r.toxic == 0]
+    print("figures", sum(not r.accepted for r in toxic), len(toxic), sum(not r.accepted for r in rows if r.toxic == 1), sum(r.toxic for r in rows), sum(not r.accepted for r in good), len(good))
+    assert sum(not r.accepted for r in toxic) / len(toxic) > 0.5
+    assert sum(r.accepted for r in good) / len(good) > 0.995
