@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, multi_index, ngram_lm, onebit, quality, simhash, token_counts, warc
+from ..session import scratch_path
+from . import bpe, language_id, mixing, multi_index, ngram_lm, onebit, quality, simhash, term_pipeline, token_counts, token_files, vertical_scan, warc
 from .frames import id_remainder, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,55 @@ SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = f
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return multi_index.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into token files, and read back from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_token_files(docs, scratch_path(spark, "tokens"), byte_bpe(), end_id=2)
+    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return term_pipeline.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+#: Terms of a text, and the score's integer arithmetic.
+ORACLES["op12_term_pipeline"] = r"""WITH words AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sizes AS (SELECT doc, doc_id, len(terms) AS n FROM words WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM sizes),
+counts AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM words) GROUP BY ALL),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * max(t.documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals t GROUP BY term),
+scored AS (SELECT item_id, doc_id, doc, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * t.documents) // t.occurrences)))) AS score
+  FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc), totals t GROUP BY item_id, doc_id, doc),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op13_vertical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return vertical_scan.hard_negatives(vectors, F.col("vec_id") % 50 == 0, label)
+
+
+ORACLES["op13_vertical_scan"] = """WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank,
+    s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3"""
