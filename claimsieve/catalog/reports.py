@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import claims_raw, table
+from ..fixtures import claims_raw, table, timestamp_by_quarter
 from ..functions.normal import normal_cdf, normal_ppf
 from ..functions.text import quoted
 from ..operators import cleaning, explain, joins, profile, views
 from ..operators import runs as history
 from ..session import scratch_path
 from ..sources import files
+from ..sources.run_store import RunStore
 from ..stats import normality
 from .base import (
     CLEANED,
@@ -624,28 +625,43 @@ EXPORTED = f"""SELECT claim_id, total_claim_amount, round(score, 6) AS final_ris
 
 #: Every fiftieth claim has a type with quotes and a line break.
 BROKEN_TYPE = "CASE WHEN row_idx % 50 = 0 THEN incident_type || {feed} || '\"second\" line' ELSE incident_type END"
+#: All columns of an upload as text; {kind} is the text type, {feed} a line feed.
+UPLOAD_COLUMNS = {
+    "claim_id": "claim_id", "policy_number": "policy_number", "total_claim_amount": "CAST(CAST(total_claim_amount AS BIGINT) AS {kind})",
+    "incident_hour_of_the_day": "CAST(incident_hour_of_the_day AS {kind})", "incident_ts": "CAST(CAST(incident_ts AS DATE) AS {kind}) || '_' || CAST(minute(incident_ts) AS {kind})",
+    "incident_date": "CAST(incident_date AS {kind})", "age": "CAST(age AS {kind})", "incident_state": "incident_state", "incident_severity": "incident_severity",
+    "incident_type": BROKEN_TYPE, "witnesses": "CAST(witnesses AS {kind})", "police_report_available": "police_report_available",
+    "authorities_contacted": "authorities_contacted", "property_damage": "property_damage", "policy_bind_year": "CAST(policy_bind_year AS {kind})",
+    "injury_claim": "CAST(CAST(injury_claim AS BIGINT) AS {kind})", "property_claim": "CAST(CAST(property_claim AS BIGINT) AS {kind})",
+    "vehicle_claim": "CAST(CAST(vehicle_claim AS BIGINT) AS {kind})", "fraud_reported": "fraud_reported",
+}
 
 
-@query(
-    "read_claims_csv",
-    oracle(
-        CLEANED,
-        f"SELECT row_idx, claim_id, CAST(CAST(total_claim_amount AS BIGINT) AS VARCHAR) AS total_claim_amount, {BROKEN_TYPE.format(feed='chr(10)')} AS incident_type FROM claims_raw",
-    ),
-)
-def read_claims_csv(spark, sf_dir):
+def _upload_columns(kind: str, feed: str) -> list[str]:
+    return [f"{value.format(kind=kind, feed=feed)} AS {name}" for name, value in UPLOAD_COLUMNS.items()]
+
+
+def _written_upload(spark, sf_dir, feed: str) -> str:
+    """The upload as CSV in two folders whose headers differ in order; files in upload order, so the row index must give the order back."""
     path = scratch_path(spark, "upload")
-    upload = claims_raw(spark, sf_dir).selectExpr(
-        "row_idx", "claim_id", "CAST(total_claim_amount AS BIGINT) AS total_claim_amount", BROKEN_TYPE.format(feed="char(10)") + " AS incident_type"
-    )
+    upload = claims_raw(spark, sf_dir).selectExpr("row_idx", *_upload_columns("STRING", feed))
     half = upload.agg((F.max("row_idx") / 2).alias("h")).scalar()
-    # Two folders whose headers differ in order; files in upload order, so the row index must give the order back.
-    orders = {"1": ("<", ["claim_id", "total_claim_amount", "incident_type"]), "2": (">=", ["incident_type", "claim_id", "total_claim_amount"])}
-    for folder, (side, columns) in orders.items():
-        part = upload.where(F.col("row_idx") < half if side == "<" else F.col("row_idx") >= half)
-        part = part.repartitionByRange(4, "row_idx").sortWithinPartitions("row_idx")
-        part.select(*columns).write.options(header=True, escape='"').csv(f"{path}/{folder}")
-    return files.read_claims_csv(spark, f"{path}/*", multi_line=True)
+    names = list(UPLOAD_COLUMNS)
+    for folder, rows, columns in (("1", F.col("row_idx") < half, names), ("2", F.col("row_idx") >= half, names[::-1])):
+        part = upload.where(rows).repartitionByRange(4, "row_idx").sortWithinPartitions("row_idx")
+        part.select(*columns).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{folder}")
+    return f"{path}/*"
+
+
+@query("read_claims_csv", oracle(RAW, f"SELECT row_idx, {', '.join(_upload_columns('VARCHAR', 'chr(10)'))} FROM claims_raw"))
+def read_claims_csv(spark, sf_dir):
+    # Ranges smaller than the files, so that many begin inside a record.
+    return files.read_claims_csv(spark, _written_upload(spark, sf_dir, "char(10)"), multi_line=True, range_bytes=1 << 20)
+
+
+@query("read_claims_csv_lines", oracle(RAW, f"SELECT row_idx, {', '.join(_upload_columns('VARCHAR', 'chr(9)'))} FROM claims_raw"))
+def read_claims_csv_lines(spark, sf_dir):
+    return files.read_claims_csv(spark, _written_upload(spark, sf_dir, "char(9)"), range_bytes=1 << 20)
 
 
 @query("write_results_csv", oracle(MODELLED, EXPORTED))
@@ -682,8 +698,11 @@ def store_run(spark, sf_dir):
     path = scratch_path(spark, "runs")
     frame = scored(spark, sf_dir)
     files.store_run(frame.where("risk_level = 'High'"), path, "007", 1.5)
+    # A run stored twice, and one that broke off before its commit.
+    files.store_run(frame.where("risk_level = 'Low'"), path, "run1", 9.5)
     files.store_run(frame.where("risk_level <> 'High'"), path, "run1", 2.5)
     files.store_run(frame.where("false"), path, "empty", 0.5)
+    frame.selectExpr("*", "'broken' AS run_id").limit(1).write.parquet(f"{path}/data/broken")
     return files.read_runs(spark, path).drop("timestamp")
 
 
@@ -691,11 +710,79 @@ def store_run(spark, sf_dir):
 def append_results(spark, sf_dir):
     path = scratch_path(spark, "appended")
     exported = files.results_columns(scored_with_model(spark, sf_dir))
-    files.append_results(exported.where("risk_level = 'High'"), path)
-    files.append_results(exported.where("risk_level <> 'High'"), path)
+    for batch, rows in (("high", "risk_level = 'High'"), ("others", "risk_level <> 'High'"), ("high", "risk_level = 'High'")):
+        files.append_results(exported.where(rows), path, batch)
     return files.all_results(spark, path)
 
 
+#: Runs that are stored one after another, with the rows of each.
+STORED_RUNS = {"north": "incident_state = 'OH'", "east": "incident_state = 'NY'", "west": "incident_state = 'CA'", "south": "incident_state IN ('TX', 'IN')"}
+
+
+def _store(spark, sf_dir) -> RunStore:
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    frame = timestamp_by_quarter(scored(spark, sf_dir)).drop("run_id")
+    for place, (name, rows) in enumerate(STORED_RUNS.items()):
+        store.store(frame.where(rows), name, 1.0, F.timestamp_seconds(F.lit(place)))
+    return store
+
+
+@query(
+    "retain_stored_runs",
+    oracle(SCORED, "SELECT row_idx, CASE WHEN incident_state = 'CA' THEN 'west' ELSE 'south' END AS run_id, round(final_risk_score, 6) AS final_risk_score FROM scored WHERE incident_state IN ('CA', 'TX', 'IN')"),
+)
+def retain_stored_runs(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.compact()
+    store.retain(2)
+    store.compact()
+    store.vacuum(older_than=0)
+    return store.results().select("row_idx", "run_id", "final_risk_score")
+
+
+@query(
+    "rollup_counts",
+    oracle(
+        RESULTS,
+        """SELECT 'day' AS kind, strftime(timestamp, '%Y-%m-%d') AS item, count(*) AS n FROM results GROUP BY 2
+UNION ALL SELECT 'band', risk_level, count(*) FROM results GROUP BY 2
+UNION ALL SELECT 'rule', rule, count(*) FROM (SELECT unnest(indicators) AS rule FROM results) GROUP BY 2""",
+    ),
+)
+def rollup_counts(spark, sf_dir):
+    rolled = _store(spark, sf_dir).rollup()
+    parts = [history.rollup_counts(rolled, kind, "item").select(F.lit(kind).alias("kind"), "item", "n") for kind in ("day", "band", "rule")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    "rollup_kpis",
+    oracle(
+        SCORED,
+        """SELECT count(*) AS total_analyzed, count(*) FILTER (risk_level = 'High') AS flagged_count, round(avg(final_risk_score), 6) AS avg_risk_score,
+  count(*) FILTER (risk_level = 'High') AS high_risk_count, round(count(*) FILTER (risk_level = 'High') / count(*) * 100, 6) AS fraud_rate FROM scored""",
+    ),
+)
+def rollup_kpis(spark, sf_dir):
+    return history.rollup_kpis(_store(spark, sf_dir).rollup())
+
+
+#: A quantile from sketches is right if its rank in all values is.
+@query("rollup_quantiles", oracle(RAW, "SELECT c.col, true AS close_25, true AS close_50, true AS close_95 FROM (VALUES ('total_claim_amount'), ('final_risk_score')) c(col)"))
+def rollup_quantiles(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    shares = {"q25": 0.25, "q50": 0.5, "q95": 0.95}
+    found = history.rollup_quantiles(store.rollup(), shares)
+    results = store.results()
+    values = results.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in history.SKETCHED])))
+    joined = values.join(found, "col")
+    close = [
+        (((F.count_if(F.col("value") < F.col(q)) / F.count("*")) <= share + 0.01) & ((F.count_if(F.col("value") <= F.col(q)) / F.count("*")) >= share - 0.01)).alias(f"close_{q[1:]}")
+        for q, share in shares.items()
+    ]
+    return joined.groupBy("col").agg(*close)
+
+
 KEPT = f"""{RUNS},
 kept AS (SELECT * FROM runs ORDER BY runs.timestamp DESC, run_id DESC LIMIT 50)"""
 

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ordered import exact_quantiles
 from ..session import stored
 
 KEEP_RUNS = 50
 POSITIVE = ("Fraud", "Y")
+#: Size of a quantile sketch; its ranks are off by less than 0.5 percent of the rows in 99 of 100 cases.
+SKETCH_SIZE = 800
+#: Columns that get a sketch.
+SKETCHED = ["total_claim_amount", "final_risk_score"]
+#: Counts of one run that add up over runs.
+ROLLUP = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("item", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("sketch", T.BinaryType()),
+])
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -199,3 +209,61 @@ def export_session_json(runs: DataFrame, now: Column | None = None) -> DataFrame
             )
         ).alias("session_json")
     )
+
+
+def rollup(results: DataFrame) -> DataFrame:
+    """What the dashboards need of each run, in a form that adds up over runs: (run_id, kind, item, n, total, sketch).
+
+    Kinds are "all" (rows, and the sum of the scores), "band", "day", "rule" (rows per item) and "sketch" (a mergeable quantile
+    sketch per column). Days and rules are left out where the results have none.
+    """
+    score = F.col("final_risk_score").cast("double")
+    item = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("item"))
+    items = [item("all", F.lit("")), item("band", F.col("risk_level"))]
+    if "timestamp" in results.columns:
+        items.append(item("day", F.date_format("timestamp", "yyyy-MM-dd")))
+    every = F.array(*items)
+    rules = F.col("top_indicators") if "top_indicators" in results.columns else F.split("triggered_rules", ",") if "triggered_rules" in results.columns else None
+    if rules is not None:
+        named = F.filter(F.transform(F.coalesce(rules, F.array()), F.trim), lambda r: r != "")
+        every = F.concat(every, F.transform(named, lambda r: item("rule", r)))
+    rows = results.select(F.col("run_id").cast("string").alias("run_id"), score.alias("score"), F.inline(every))
+    counts = rows.groupBy("run_id", "kind", "item").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "all", F.col("score"))).alias("total"))
+    counts = counts.withColumn("sketch", F.lit(None).cast("binary"))
+    columns = [c for c in SKETCHED if c in results.columns]
+    if not columns:
+        return counts
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    sketched = results.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(*[F.kll_sketch_agg_double(value[c], F.lit(SKETCH_SIZE)).alias(c) for c in columns])
+    long = sketched.select("run_id", F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("sketch")) for c in columns])))
+    return counts.unionByName(long.select("run_id", F.lit("sketch").alias("kind"), "item", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"), "sketch"))
+
+
+def rollup_counts(rolled: DataFrame, kind: str, name: str) -> DataFrame:
+    """(name, n): rows per item of one kind over all runs of a rollup."""
+    return rolled.where(F.col("kind") == kind).groupBy(F.col("item").alias(name)).agg(F.sum("n").alias("n"))
+
+
+def rollup_kpis(rolled: DataFrame) -> DataFrame:
+    """:func:`dashboard_kpis` from rollups."""
+    every, high = F.col("kind") == "all", (F.col("kind") == "band") & (F.col("item") == "High")
+    rows, flagged = F.coalesce(F.sum(F.when(every, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(high, F.col("n"))), F.lit(0))
+    return rolled.agg(
+        rows.alias("total_analyzed"),
+        flagged.alias("flagged_count"),
+        F.coalesce(F.try_divide(F.sum("total"), rows), F.lit(0.0)).alias("avg_risk_score"),
+        flagged.alias("high_risk_count"),
+        (_ratio(flagged, rows) * 100).alias("fraud_rate"),
+    )
+
+
+def rollup_top_rules(rolled: DataFrame, k: int = 10) -> DataFrame:
+    """:func:`top_rules` from rollups."""
+    return rollup_counts(rolled, "rule", "rule").orderBy(F.desc("n"), "rule").limit(k)
+
+
+def rollup_quantiles(rolled: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(col, one column per share): quantiles over all runs from their merged sketches; no claim is read."""
+    merged = rolled.where("kind = 'sketch' AND sketch IS NOT NULL").groupBy(F.col("item").alias("col")).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    full = F.kll_sketch_get_n_double("sketch") > 0
+    return merged.select("col", *[F.when(full, F.kll_sketch_get_quantile_double("sketch", F.lit(share))).alias(name) for name, share in shares.items()])

@@ -9,85 +9,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.runs import run_records
+from ..operators.runs import KEEP_RUNS
 from ..schema import RESULT_SCHEMA, ROW_INDEX
-
-
-#: File splits whose offsets are kept as one small table; more of them need an order key.
-MAX_SPLITS = 1_000_000
-
-
-def with_file_row_index(frames: list[DataFrame], columns: list[str]) -> DataFrame:
-    """Unite file scans by name and add the running row number over all their files (by path, then position).
-
-    Each frame must sit directly on a file scan. Rows of a file split are read in order within
-    one task, so counting rows per split gives every split its offset. The counts (one row
-    per split, not per upload row) come to the driver, which checks their number, and go out as one
-    broadcast table; the upload itself is neither sorted nor shuffled.
-    """
-    placed = [
-        f.withColumns(
-            {"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id(), "_group": F.lit(i)}
-        )
-        for i, f in enumerate(frames)
-    ]
-    counted = _united([f.groupBy("_path", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("first")) for f in placed])
-    found = counted.limit(MAX_SPLITS + 1).collect()
-    if len(found) > MAX_SPLITS:
-        raise ValueError(f"more than {MAX_SPLITS} file splits: name a column that holds the row order")
-    offsets, before = [], 0
-    for split in sorted(found, key=lambda r: (r["_path"], r["_start"])):
-        offsets.append((split["_path"], split["_start"], before - split["first"]))
-        before += split["n"]
-    table = frames[0].sparkSession.createDataFrame(offsets, "_path string, _start long, _shift long")
-    numbered = _united(placed).join(F.broadcast(table), ["_path", "_start"])
-    return numbered.select(*[F.col(f"`{c}`") for c in columns], (F.col("_id") + F.col("_shift")).alias(ROW_INDEX))
+from .records import RANGE_BYTES, number_ranges, read_records
+from .run_store import RunStore
 
 
 def _united(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by the columns of their header line; a repeated name gets its position appended."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id")
-    )
-    firsts = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "id").alias("line"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in firsts.orderBy("file").toLocalIterator():
-        names = next(csv.reader([row["line"]]), [])
-        header = tuple(n if names.index(n) == i else f"{n}{i}" for i, n in enumerate(names))
-        groups.setdefault(header, []).append(row["file"])
-    return groups
+def header_columns(line: str) -> list[str]:
+    """Names in a header line; a repeated name gets its position appended."""
+    names = next(csv.reader([line]), [])
+    return [n if names.index(n) == i else f"{n}{i}" for i, n in enumerate(names)]
 
 
-def read_claims_csv(spark: SparkSession, path: str, order_key: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_claims_csv(spark: SparkSession, path: str, order_key: str | None = None, multi_line: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Header CSV with every column as text plus ``row_idx``; cleaning converts later.
 
-    Files may have their columns in different orders or lack some, which are null then: files of
-    one header are read together, and the groups are united by name. ``multi_line`` allows line
-    breaks in quoted values; a file is one split then. Without it a quote left open at the end of a
-    line is an error. ``order_key`` names a column that already holds the position.
+    ``row_idx`` is the running number of a row over all files by path. It is settled when this function is called, for
+    byte ranges of the files, so later settings or a changing number of executors can't move it. Files may
+    have their columns in different orders or lack some, which are null then. ``multi_line`` allows line
+    breaks in quoted values, wherever a range begins; every quote must then belong to a quoted value. Without
+    it a quote left open at the end of a line is an error. ``order_key`` names a column
+    that already holds the position.
     """
-    groups = csv_headers(spark, path)
-    if not groups:
-        raise ValueError(f"no header line in {path}")
+    ranges = number_ranges(spark, path, multi_line, range_bytes)
     if not multi_line:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        open_line = spark.read.text(path).where(quotes % 2 == 1).first()
+        open_line = ranges.where("open_line IS NOT NULL").first()
         if open_line is not None:
-            raise ValueError(f"a quoted value goes on in the next line, read with multi_line=True: {open_line['value'][:200]}")
-    frames = [
-        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
-        .options(header=True, escape='"', multiLine=multi_line)
-        .csv(files)
-        for header, files in groups.items()
-    ]
-    columns = list(dict.fromkeys(c for header in groups for c in header))
+            raise ValueError(f"a quoted value goes on in the next line, read with multi_line=True: {open_line['open_line'][:200]}")
+    headers = [r["header"] for r in ranges.where("header IS NOT NULL").groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()]
+    if not headers:
+        raise ValueError(f"no header line in {path}")
+    frames, columns = [], {}
+    for header in headers:
+        names = header_columns(header)
+        columns |= dict.fromkeys(names)
+        schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+        records = read_records(ranges.where(F.col("header") == header), multi_line)
+        parsed = F.from_csv("record", schema, {"escape": '"', "multiLine": str(multi_line).lower()})
+        frames.append(records.select(parsed.alias("_row"), F.col("number").alias(ROW_INDEX)).select("_row.*", ROW_INDEX))
+    united = _united(frames).select(*[F.col(f"`{c.replace('`', '``')}`") for c in columns], ROW_INDEX)
     if order_key is not None:
-        return _united(frames).select(*[F.col(f"`{c}`") for c in columns]).withColumn(ROW_INDEX, F.col(order_key).cast("bigint"))
-    return with_file_row_index(frames, columns)
+        return united.withColumn(ROW_INDEX, F.col(order_key).cast("bigint"))
+    return united
 
 
 def write_results_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -111,36 +78,31 @@ def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
-def store_run(scored: DataFrame, path: str, run_id: str, runtime: float, timestamp: Column | None = None) -> None:
-    """Append one run: its results (partitioned by ``run_id``), then its record.
+def store_run(scored: DataFrame, path: str, run_id: str, runtime: float, timestamp: Column | None = None, on_repeat: str = "replace") -> None:
+    """Store one run, results and record together; see :class:`RunStore`. A repeated call replaces the run, unless told otherwise."""
+    RunStore(scored.sparkSession, path).store(scored, run_id, runtime, timestamp, on_repeat)
 
-    The record is computed from the stored partition, so the scoring plan runs once. A run
-    without claims has a record of zeros.
-    """
-    spark = scored.sparkSession
-    when = F.current_timestamp() if timestamp is None else timestamp
-    stored = scored.drop("run_id").withColumn("run_id", F.lit(run_id))
-    stored.write.mode("append").partitionBy("run_id").parquet(f"{path}/results")
-    # With the schema given, an id such as 007 stays text, and only this run's folder is listed.
-    kept = spark.read.schema(stored.schema).parquet(f"{path}/results").where(F.col("run_id") == run_id)
-    counts = run_records(kept, []).fillna(0.0, ["avg_risk_score"])
-    record = counts.select(F.lit(run_id).alias("run_id"), *counts.columns, when.alias("timestamp"), F.lit(float(runtime)).alias("runtime"))
-    record.write.mode("append").parquet(f"{path}/runs")
+
+def read_runs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One record per stored run."""
+    return RunStore(spark, path).runs(version)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/runs")
+def read_stored_results(spark: SparkSession, path: str, run_ids: list[str] | None = None, version: int | None = None) -> DataFrame:
+    """Results of all stored runs, or of some."""
+    return RunStore(spark, path).results(run_ids, version)
 
 
-def read_stored_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Results of all stored runs; ``schema`` is that of a run's results."""
-    fields = [f for f in schema if f.name != "run_id"]
-    return spark.read.schema(T.StructType([*fields, T.StructField("run_id", T.StringType())])).parquet(f"{path}/results")
+def retain_stored_runs(spark: SparkSession, path: str, keep: int = KEEP_RUNS) -> None:
+    """Keep the newest stored runs only. Files stay until ``RunStore.vacuum``, for readers of an earlier version."""
+    RunStore(spark, path).retain(keep)
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    results.write.mode("append").parquet(path)
+def append_results(results: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of results. A repeated call with the same batch name replaces it."""
+    RunStore(results.sparkSession, path).store(results, batch, 0.0)
 
 
 def all_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Results of all batches, with their types as written."""
+    return RunStore(spark, path).results().drop("run_id")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from claimsieve.operators import runs
 from claimsieve.plans.pipeline import score_claims
-from claimsieve.sources import files
+from claimsieve.sources import files, records
+from claimsieve.sources.run_store import CommitConflict, RunStore
 from claimsieve.streaming.scoring import score_stream
 
 #: Ten claims and the scores that the rule weights give them by hand.
@@ -90,7 +91,7 @@ def test_run_ids_stay_text_and_empty_runs_are_zeros(spark, upload, tmp_path):
     found = {r["run_id"]: (r["claims_count"], r["high_risk_count"], r["avg_risk_score"], r["runtime"]) for r in files.read_runs(spark, path).collect()}
     assert found["none"] == (0, 0, 0.0, 0.5)
     assert found["007"][:2] == (10, 1) and found["007"][2] == pytest.approx(sum(SCORES) / 10)
-    stored = files.read_stored_results(spark, path, scored.schema)
+    stored = files.read_stored_results(spark, path)
     assert {r[0] for r in stored.select("run_id").distinct().collect()} == {"007"} and stored.count() == 10
 
 
@@ -110,9 +111,177 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert [tuple(r) for r in found] == [("A", "one\ntwo", 0), ("B", "x", 1)]
 
 
+AWKWARD = (
+    'id,a,b,c\n1,x,,""\n2,"say ""hi""","q,r",z\r\n\n   \n3,short\n4,a,b,c,extra\n5," lead",trail ,"é"\n'
+    '6,"multi\nline","two\r\nbreaks\n\nblank",x\n7,,,\n8,"1,""\n9,2",y,z'
+)
+AWKWARD_ROWS = [
+    ("1", "x", None, None), ("2", 'say "hi"', "q,r", "z"), ("3", "short", None, None), ("4", "a", "b", "c"), ("5", " lead", "trail ", "é"),
+    ("6", "multi\nline", "two\r\nbreaks\n\nblank", "x"), ("7", None, None, None), ("8", '1,"\n9,2', "y", "z"),
+]
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 7, 64, 1 << 20])
+def test_ranges_may_begin_anywhere(spark, tmp_path, range_bytes):
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + AWKWARD.encode())
+    (tmp_path / "b.csv").write_bytes(b"")
+    (tmp_path / "c.csv").write_text("\n \nid,a,b,c\n")
+    (tmp_path / "d.csv").write_text("id,a,b,c\nlast,1,2,3\n\n")
+    found = files.read_claims_csv(spark, str(tmp_path), multi_line=True, range_bytes=range_bytes).orderBy("row_idx").collect()
+    assert [tuple(r) for r in found] == [(*r, i) for i, r in enumerate([*AWKWARD_ROWS, ("last", "1", "2", "3")])]
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_index_holds_when_splits_change_after_the_call(spark, tmp_path, multi_line):
+    path = str(tmp_path / "many")
+    spark.range(1000).repartitionByRange(3, "id").sortWithinPartitions("id").selectExpr("id", "repeat('x', 50) AS pad").write.option("header", True).csv(path)
+    name = "spark.sql.files.maxPartitionBytes"
+    for before, after in (("4096", "128m"), ("128m", "4096")):
+        spark.conf.set(name, before)
+        found = files.read_claims_csv(spark, path, multi_line=multi_line, range_bytes=5000)
+        spark.conf.set(name, after)
+        try:
+            assert found.count() == 1000 and found.where("row_idx <> CAST(id AS BIGINT)").count() == 0
+        finally:
+            spark.conf.unset(name)
+
+
+def test_pieces_of_a_range_and_open_quotes(spark, tmp_path, monkeypatch):
+    import io
+
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    monkeypatch.setattr(records, "PIECE_BYTES", 5)
+    monkeypatch.setattr(records, "TAIL_BYTES", 3)
+    source = Source(AWKWARD.encode())
+    size, whole = source.size(), [r for part in records.solid_records(source, 0, source.size(), False, True) for r in part]
+    assert len(whole) == 1 + len(AWKWARD_ROWS)
+    for cut in range(size + 1):
+        inside = AWKWARD.encode()[:cut].count(b'"') % 2 == 1
+        first = [r for part in records.solid_records(source, 0, cut, False, True) for r in part] if cut else []
+        second = [r for part in records.solid_records(source, cut, size, inside, True) for r in part] if cut else whole
+        assert first + second == whole
+        if cut:
+            quotes, outside, _ = records.tally_range(source, 0, cut, True)
+            assert (quotes % 2 == 1, outside) == (inside, len(first))
+            assert records.tally_range(source, cut, size, True)[2 if inside else 1] == len(second)
+    monkeypatch.setattr(records, "MOST_RECORD_BYTES", 20)
+    with pytest.raises(ValueError, match="left open"):
+        list(records.find_records(Source(b'a,"' + b"x" * 50), 0, 10, False, True))
+
+
 def test_upload_is_not_shuffled_for_its_index(upload):
     plan = upload._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
+    assert "Join" not in plan and "Window" not in plan and "Sort " not in plan
+
+
+# --- stored runs ----------------------------------------------------------------
+def ids(frame):
+    return sorted(r[0] for r in frame.select("claim_id").collect())
+
+
+def test_a_repeated_call_replaces_keeps_or_is_refused(spark, upload, tmp_path):
+    store, scored = RunStore(spark, str(tmp_path / "store")), score_claims(upload)
+    store.store(scored, "a", 1.0)
+    store.store(scored.where("row_idx < 4"), "a", 2.0)
+    assert store.results().count() == 4
+    assert [(r["claims_count"], r["runtime"]) for r in store.runs().collect()] == [(4, 2.0)]
+    assert store.store(scored, "a", 3.0, on_repeat="keep") == 2
+    with pytest.raises(ValueError, match="there is a run a"):
+        store.store(scored, "a", 3.0, on_repeat="refuse")
+    assert store.versions() == [1, 2] and store.results().count() == 4
+    # Readers of the first version still have it.
+    assert store.results(version=1).count() == 10
+
+
+def test_data_without_a_commit_is_not_read(spark, upload, tmp_path, monkeypatch):
+    store, scored = RunStore(spark, str(tmp_path / "store")), score_claims(upload)
+    store.store(scored, "a", 1.0)
+
+    def broken(*_):
+        raise OSError("the writer dies")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(RunStore, "_commit", broken)
+        with pytest.raises(OSError):
+            store.store(scored, "b", 1.0)
+    assert store.runs().count() == 1 and store.results().count() == 10
+    assert store.vacuum(older_than=3600) == 0
+    assert store.vacuum(older_than=0) == 2
+    store.store(scored, "b", 1.0)
+    assert store.runs().count() == 2 and store.results().count() == 20
+
+
+def test_two_writers_at_a_time(spark, upload, tmp_path, monkeypatch):
+    first, second, scored = RunStore(spark, str(tmp_path / "store")), RunStore(spark, str(tmp_path / "store")), score_claims(upload)
+    commit, late = RunStore._commit, []
+
+    def slow(self, version, entries):
+        if self is first and not late:
+            late.append(version)
+            second.store(scored, "second", 2.0)
+        commit(self, version, entries)
+
+    monkeypatch.setattr(RunStore, "_commit", slow)
+    first.store(scored, "first", 1.0)
+    assert late == [1] and first.versions() == [1, 2]
+    assert {r["run_id"] for r in first.runs().collect()} == {"first", "second"}
+    with pytest.raises(CommitConflict):
+        commit(first, 2, [])
+
+
+def test_retention_merging_and_cleaning(spark, upload, tmp_path):
+    store, scored = RunStore(spark, str(tmp_path / "store")), score_claims(upload)
+    for i in range(4):
+        store.store(scored.where(f"row_idx % 4 = {i}"), f"run{i}", 1.0, F.timestamp_seconds(F.lit(i)))
+    all_rows, files_before = ids(store.results()), len(store.results().inputFiles())
+    store.compact()
+    assert ids(store.results()) == all_rows and len(store.results().inputFiles()) == 1 < files_before
+    version = store.retain(2)
+    assert sorted(e["run_id"] for e in store.entries()) == ["run2", "run3"]
+    assert ids(store.results()) == ids(scored.where("row_idx % 4 > 1"))
+    assert ids(store.results(version=version - 1)) == all_rows
+    # A run replaced after merging: its old rows stay in the merged files, unseen.
+    store.store(scored.where("row_idx = 0"), "run2", 1.0, F.timestamp_seconds(F.lit(2)))
+    assert ids(store.results(["run2"])) == ids(scored.where("row_idx = 0"))
+    assert runs.rollup_kpis(store.rollup()).first()["total_analyzed"] == 1 + scored.where("row_idx % 4 = 3").count()
+    store.vacuum(older_than=0)
+    assert len(store.versions()) == 1 and ids(store.results()) == ids(scored.where("row_idx = 0 OR row_idx % 4 = 3"))
+
+
+def test_runs_with_other_columns(spark, upload, tmp_path):
+    store, scored = RunStore(spark, str(tmp_path / "store")), score_claims(upload)
+    store.store(scored, "a", 1.0)
+    store.store(scored.withColumn("note", F.lit("x")), "b", 1.0)
+    found = store.results()
+    assert found.where("run_id = 'a' AND note IS NULL").count() == 10 and found.where("note = 'x'").count() == 10
+    with pytest.raises(ValueError, match="no such run"):
+        store.results(["c"])
+
+
+def test_rollups_add_up(spark, upload, tmp_path):
+    store, scored = RunStore(spark, str(tmp_path / "store")), score_claims(upload).withColumn("timestamp", F.timestamp_seconds(F.col("row_idx") * 40_000))
+    store.store(scored.where("row_idx < 3"), "a", 1.0)
+    store.store(scored.where("row_idx >= 3"), "b", 1.0)
+    rolled = store.rollup()
+    assert runs.rollup_kpis(rolled).first() == runs.dashboard_kpis(scored).first()
+    assert runs.rollup_top_rules(rolled, 4).collect() == runs.top_rules(scored, 4).collect()
+    assert {tuple(r) for r in runs.rollup_counts(rolled, "day", "day").collect()} == {tuple(r) for r in runs.daily_claim_counts(scored).collect()}
+    assert runs.rollup_kpis(rolled.where("false")).first() == runs.dashboard_kpis(scored.where("false")).first()
+
+
+def test_sketches_of_many_runs_keep_their_error_bound(spark):
+    rows = spark.range(50_000).selectExpr("CAST(id % 20 AS STRING) AS run_id", "pow(hash(id) % 1000, 2) AS total_claim_amount", "IF(id % 7 = 0, NULL, id % 101) AS final_risk_score", "'Low' AS risk_level")
+    rolled = runs.rollup(rows)
+    assert rolled.where("kind = 'sketch'").count() == 40
+    shares = {"q10": 0.1, "q50": 0.5, "q99": 0.99}
+    for found in runs.rollup_quantiles(rolled, shares).collect():
+        values = sorted(r[0] for r in rows.select(found["col"]).dropna().collect())
+        for name, share in shares.items():
+            below, upto = sum(v < found[name] for v in values) / len(values), sum(v <= found[name] for v in values) / len(values)
+            assert below - 0.005 <= share <= upto + 0.005
 
 
 def test_no_runs_give_zeros(spark):
