@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .shared_files import open_file
 
 #: Bytes of a range, of a read within it, and of a read for the end of a range's last record.
 RANGE_BYTES = 1 << 26
@@ -36,17 +36,6 @@ QUOTE, LINE_FEED, RETURN, BLANK = ord('"'), ord("\n"), ord("\r"), ord(" ")
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
-def open_file(uri: str):
-    """A file by its URI, for random access. s3a is the same store as s3."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + uri[5:].lstrip("/"))
-    for hadoop in ("s3a://", "s3n://"):
-        if uri.startswith(hadoop):
-            uri = "s3://" + uri[len(hadoop) :]
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
-
-
 def find_records(source, start: int, end: int, inside: bool, multi_line: bool) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """Records that begin in a range: (bytes, begins, ends), some at a time.
 
