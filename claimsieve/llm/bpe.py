@@ -179,9 +179,10 @@ def encode_texts(docs: DataFrame, tokenizer: str, keys: list[str], text: str = "
 
     Equal to the tokenizer's own ids without special tokens added; a special token's
     string in a text becomes that token. A null or empty text has no ids. Rows may
-    repeat and keys may be null; other columns are left out, so they can't clash.
+    repeat and keys may be null; other columns are left out, and where a key has the name ``into`` an underscore goes before it.
     ``tokenizer`` is a JSON file of a byte-level BPE vocabulary that every executor can read.
     """
+    into = fresh(docs.select(*[col(k) for k in keys]), into)
     rows = docs.select(*[col(k) for k in keys], F.coalesce(col(text).cast("string"), F.lit("")).alias(name := fresh(docs.select(*[col(k) for k in keys]), "text")))
 
     @F.pandas_udf("array<int>")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import col, fresh, text_blocks
+from .frames import BLOCK_CHARS, col, fresh, text_blocks
 
 UNDETERMINED = "und"
 
@@ -41,10 +41,11 @@ def fold_table() -> np.ndarray:
     return table
 
 
-def hashed_ngrams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+def hashed_ngrams(points: np.ndarray, orders: tuple[int, ...], bits: int, carried: int = 0) -> np.ndarray:
     """(n-grams, one row per order) buckets at each position; bucket 2**bits for none.
 
-    An n-gram never reaches over the end of a piece (code point 0), and blanks alone are none.
+    An n-gram never reaches over the end of a text (code point 0), and blanks alone are none. The first ``carried`` points
+    stood at the end of the block before; n-grams that lie within them are none here.
     """
     none = np.uint32(1 << bits)
     out = np.full((len(orders), len(points)), none, np.uint32)
@@ -64,21 +65,37 @@ def hashed_ngrams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.
             mixed = rolled ^ (rolled >> np.uint32(15))
             mixed = (mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
             mixed[closed | blank] = none
+            mixed[: max(0, carried - order + 1)] = none
             out[orders.index(order), :m] = mixed
     return out
 
 
-def letter_blocks(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of texts with letters lower-cased and each run of other characters as one blank.
+def letters_of(points: np.ndarray, before: int = 0) -> np.ndarray:
+    """Letters in lower case, and each run of other characters as one blank; ``before`` is the folded point before."""
+    folded = fold_table()[points]
+    after = np.concatenate([np.array([before], np.uint32), folded[:-1]])
+    return folded[(folded != 32) | (after != 32)]
 
-    A text of more than ``BLOCK_CHARS`` characters is cut there; no n-gram spans such a cut.
+
+def letter_blocks(texts, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Folded texts in blocks: (rows, points, carried).
+
+    A text longer than a block comes in several blocks of its own, each with the last ``reach`` points of the one before in
+    front, so that no n-gram is lost or counted twice.
     """
-    table = fold_table()
-    for rows, points in text_blocks(texts):
-        folded = table[points]
-        keep = np.ones(len(folded), bool)
-        keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
-        yield rows, folded[keep]
+    long = [isinstance(t, str) and len(t) > BLOCK_CHARS for t in texts]
+    for rows, points in text_blocks([None if is_long else t for t, is_long in zip(texts, long)]):
+        yield rows, letters_of(points), 0
+    for row, text in enumerate(texts):
+        if not long[row]:
+            continue
+        carry = np.zeros(0, np.uint32)
+        for start in range(0, len(text), BLOCK_CHARS):
+            piece = text[start : start + BLOCK_CHARS].replace("\0", " ")
+            folded = letters_of(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32), int(carry[-1]) if len(carry) else 0)
+            whole = np.concatenate([carry, folded])
+            yield np.array([row]), np.append(whole, np.uint32(0)), len(carry)
+            carry = whole[len(whole) - min(reach, len(whole)) :] if reach else whole[-1:]
 
 
 def train_language_model(
@@ -100,8 +117,8 @@ def train_language_model(
             for lang, part in batch.groupby("label", sort=False):
                 total = totals.setdefault(lang, np.zeros(buckets + 1, np.int64))
                 seen[lang] = seen.get(lang, 0) + len(part)
-                for _, points in letter_blocks(part["text"]):
-                    for row in hashed_ngrams(points, orders, bits):
+                for _, points, carried in letter_blocks(list(part["text"]), max(orders) - 1):
+                    for row in hashed_ngrams(points, orders, bits, carried):
                         total += np.bincount(row, minlength=buckets + 1)
         for lang, total in totals.items():
             cells = np.flatnonzero(total[:buckets])
@@ -130,9 +147,9 @@ def score_texts(texts, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros((len(texts), len(model.languages)))
     letters = np.zeros(len(texts), np.int64)
     none = 1 << model.bits
-    for rows, points in letter_blocks(texts):
+    for rows, points, carried in letter_blocks(texts, max(model.orders) - 1):
         starts = np.append(0, np.flatnonzero(points == 0)[:-1] + 1)
-        for buckets in hashed_ngrams(points, model.orders, model.bits):
+        for buckets in hashed_ngrams(points, model.orders, model.bits, carried):
             for i in range(len(model.languages)):
                 np.add.at(total[:, i], rows, np.add.reduceat(model.log_prob[:, i][buckets], starts))
             np.add.at(letters, rows, np.add.reduceat((buckets != none).astype(np.int64), starts))

@@ -43,15 +43,16 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[f
     listed = F.array(*[F.lit(float(w)) for w in weights])
     ranked = sizes.withColumn("sid", F.row_number().over(by_name))
     ranked = ranked.withColumn("weight", F.element_at(listed, ((F.col("sid") - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("stop", F.col("source_size") * F.lit(float(most)))
-    by_room = W.orderBy(F.col("stop") / F.col("weight"), "sid")
+    # A source without weight gets nothing and comes last, so it moves no level.
+    ranked = ranked.withColumn("stop", F.when(F.col("weight") > 0, F.col("source_size") * F.lit(float(most))).otherwise(0.0))
+    room = F.try_divide("stop", "weight")
+    by_room = W.orderBy(room.asc_nulls_last(), "sid")
     before = by_room.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    ranked = ranked.withColumn("level", level)
+    left = F.sum("source_size").over(everything) * share - F.coalesce(F.sum("stop").over(before), F.lit(0.0))
+    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    ranked = ranked.withColumn("level", F.when(F.col("weight") > 0, F.try_divide(left, weight_left)))
     # The level is right at the first source that it doesn't fill; the formula goes wrong behind that.
-    first_open = F.when(F.col("stop") > F.col("level") * F.col("weight"), F.struct(F.col("stop") / F.col("weight"), "sid", "level"))
+    first_open = F.when(F.col("stop") > F.col("level") * F.col("weight"), F.struct(room.alias("room"), "sid", "level"))
     ranked = ranked.withColumn("level", F.min(first_open).over(everything)["level"])
     return ranked.withColumn("target", F.least("stop", F.coalesce(F.col("level") * F.col("weight"), F.col("stop")))).drop("level", "stop")
 
@@ -112,7 +113,7 @@ def mix_sources(
     """One row per row of ``docs``: (id, text_hash, size, source_size, target, rate, copies).
 
     Sources in code point order, null last, have the ``weights`` in turn and share ``share``
-    times all words. No target is above ``most`` times its source's words. Documents without
+    times all words; a weight of 0 gives a target of 0. No target is above ``most`` times its source's words. Documents without
     words have rate 1. Rows alike in id, text and source are used equally often. An empty
     table gives no rows. Only id, text and source are read; the result is the same in every run.
     """
@@ -131,7 +132,8 @@ def mix_sources(
     multipliers = balance(cells, sources, float(most))
     rated = placed.join(multipliers, "sid", "left").selectExpr(
         "id", "text_hash", "size", "alike", "sid", "source_size", "target",
-        f"IF(size = 0, 1D, coalesce(least({float(most)}D, exp(m * size / scale)), 0D)) AS rate",
+        # A source without multiplier has a target of 0.
+        f"CASE WHEN size = 0 THEN 1D WHEN m IS NULL THEN 0D ELSE least({float(most)}D, exp(m * size / scale)) END AS rate",
         f"pmod(xxhash64(text_hash, id), greatest(1L, CAST(ceil(docs / {GROUP_ROWS}) AS BIGINT))) AS bucket",
     )
     names = [f.name for f in rated.schema.fields]

@@ -28,9 +28,9 @@ SAMPLE_ROWS = 400
 #: Linked sample vectors from which their links alone set the number of visited cells; placed partners per sample vector.
 ENOUGH_LINKED = 400
 PARTNERS = 8
-#: Vectors per cell aimed at; visited cells at most considered; vectors per block of a crowded cell.
+#: Vectors per cell aimed at; visited cells considered at first, and twice as many while the recall isn't reached; vectors per block of a crowded cell.
 CELL_ROWS = 64
-MOST_CELLS = 128
+FIRST_CELLS = 128
 BLOCK_ROWS = 2048
 
 
@@ -38,7 +38,7 @@ BLOCK_ROWS = 2048
 class MultiIndex:
     first: np.ndarray
     second: np.ndarray
-    visits: int = MOST_CELLS
+    visits: int = FIRST_CELLS
 
     def ranked(self, rows: np.ndarray, visits: int) -> np.ndarray:
         """The ``visits`` nearest cells of each row, nearest first; ties to the smaller cell.
@@ -91,18 +91,21 @@ def placed_partners(sample: np.ndarray, threshold: float, count: int, seed: int
 
 
 def link_ranks(cells: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Place of the first visit that brings both ends of a link together, either way; MOST_CELLS for none."""
-    there, here = cells == back[:, :1], back == cells[:, :1]
-    return np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), MOST_CELLS), np.where(here.any(axis=1), here.argmax(axis=1), MOST_CELLS))
+    """Place of the first visit that brings both ends of a link together, either way; the number of visits for none."""
+    there, here, none = cells == back[:, :1], back == cells[:, :1], cells.shape[1]
+    return np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), none), np.where(here.any(axis=1), here.argmax(axis=1), none))
 
 
-def enough_visits(counts: np.ndarray, recall: float) -> int:
-    """Visits that reach the recall over all links and on average over vectors; ``counts`` has (vector, rank) link numbers."""
+def enough_visits(counts: np.ndarray, recall: float) -> int | None:
+    """Visits that reach the recall over all links and on average over vectors; None if these many don't.
+
+    ``counts`` has the number of links by (vector, rank), those not found in the last column.
+    """
     counts = counts[counts.sum(axis=1) > 0]
     overall = counts.sum(axis=0).cumsum() / counts.sum()
     each = (counts.cumsum(axis=1) / counts.sum(axis=1, keepdims=True)).mean(axis=0)
     enough = np.flatnonzero((overall >= recall) & (each >= recall))
-    return int(min(enough[0] + 1 if len(enough) else MOST_CELLS, MOST_CELLS))
+    return int(enough[0]) + 1 if len(enough) and enough[0] < counts.shape[1] - 1 else None
 
 
 def fit_index(nodes: DataFrame, total: int, d: int, threshold: float, recall: float) -> MultiIndex:
@@ -122,33 +125,45 @@ def fit_index(nodes: DataFrame, total: int, d: int, threshold: float, recall: fl
     if picked.empty:
         return index
     sample, names = unit(matrix(picked["vec"], d)), picked["node"].to_numpy()
-    order = index.ranked(sample, MOST_CELLS)
+    grid, cells = len(index.first) * len(index.second), FIRST_CELLS
+    while True:
+        cells = min(cells, grid)
+        visits = visits_needed(nodes, index, sample, names, d, threshold, recall, cells)
+        if visits is not None or cells == grid:
+            # Visiting the whole grid compares all vectors with all.
+            index.visits = visits or grid
+            return index
+        cells *= 2
+
+
+def visits_needed(nodes: DataFrame, index: MultiIndex, sample: np.ndarray, names: np.ndarray, d: int, threshold: float, recall: float, cells: int) -> int | None:
+    """Visits, of at most ``cells``, that reach the recall for the sample; None if more are needed."""
+    order = index.ranked(sample, cells)
     shared = nodes.sparkSession.sparkContext.broadcast((index, sample, names, order))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, probes, own, cells = shared.value
+        book, probes, own, visited = shared.value
         for batch in batches:
             every, nodes_here = unit(matrix(batch["vec"], d)), batch["node"].to_numpy()
             s, v = np.nonzero((probes @ every.T >= threshold) & (own[:, None] != nodes_here[None, :]))
             if not len(s):
                 continue
             linked, place = np.unique(v, return_inverse=True)
-            back = book.ranked(every[linked], MOST_CELLS)
-            rank = link_ranks(cells[s], back[place])
+            back = book.ranked(every[linked], cells)
+            rank = link_ranks(visited[s], back[place])
             yield pd.DataFrame({"s": s, "rank": rank, "n": 1}).groupby(["s", "rank"], as_index=False).sum()
 
     found = nodes.select("node", "vec").mapInPandas(compare, "s long, rank long, n long").groupBy("s", "rank").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(sample), MOST_CELLS + 1))
+    counts = np.zeros((len(sample), cells + 1))
     np.add.at(counts, (found["s"].to_numpy(int), found["rank"].to_numpy(int)), found["n"].to_numpy(float))
     linked = int((counts.sum(axis=1) > 0).sum())
-    visits = enough_visits(counts, recall) if linked else 1
+    needed = [enough_visits(counts, recall) if linked else 1]
     if linked < ENOUGH_LINKED:
         s = np.repeat(np.arange(len(sample)), PARTNERS)
         placed = np.zeros_like(counts)
-        np.add.at(placed, (s, link_ranks(order[s], index.ranked(placed_partners(sample, threshold, PARTNERS), MOST_CELLS))), 1)
-        visits = max(visits, enough_visits(placed, recall))
-    index.visits = min(visits, order.shape[1])
-    return index
+        np.add.at(placed, (s, link_ranks(order[s], index.ranked(placed_partners(sample, threshold, PARTNERS), cells))), 1)
+        needed.append(enough_visits(placed, recall))
+    return None if None in needed else max(needed)
 
 
 def local_components(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

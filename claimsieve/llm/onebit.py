@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..session import stored
 from .frames import col
@@ -54,6 +55,11 @@ def estimates(bits: np.ndarray, f: np.ndarray, queries: np.ndarray, turn: np.nda
     return products / f.astype(np.float32), bound
 
 
+def inner(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in doubles, summed row by row: equal rows give equal products, whatever rows stand beside them."""
+    return (rows.astype(np.float64) * q).sum(axis=1)
+
+
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best scores of different ids, ties to the smaller id."""
     order = np.lexsort((ids, -scores))
@@ -79,11 +85,11 @@ def search_block(ids, rows, bits, length, f, query_ids, queries, turn, k) -> pd.
         if not len(first):
             continue
         with np.errstate(over="ignore", invalid="ignore"):
-            exact = rows[first] @ q
+            exact = inner(rows[first], q)
             best = best_of(ids[first], exact, k)
             if len(best) == k:
                 more = np.setdiff1d(np.flatnonzero(able & ~(upper < exact[best[-1]])), first, assume_unique=True)
-                first, exact = np.append(first, more), np.append(exact, rows[more] @ q)
+                first, exact = np.append(first, more), np.append(exact, inner(rows[more], q))
                 best = best_of(ids[first], exact, k)
         out.append(pd.DataFrame({"query_id": name, "vec_id": ids[first][best], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -92,12 +98,14 @@ def search_block(ids, rows, bits, length, f, query_ids, queries, turn, k) -> pd.
 def block_index(good: DataFrame, d: int, blocks: int) -> DataFrame:
     """The index, written as a table: a row per block with ids, vectors, packed codes, lengths and code products."""
     turn = rotation(d)
+    kind = np.float32 if good.schema["vec"].dataType.elementType == FloatType() else np.float64
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rows = matrix(part["vec"], d)
         bits, length, f = encode(rows, turn)
+        # Originals as wide as they came; products are taken in doubles.
         return pd.DataFrame({
-            "block": [int(key[0])], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rows": [rows.tobytes()],
+            "block": [int(key[0])], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rows": [rows.astype(kind).tobytes()],
             "bits": [bits.tobytes()], "length": [length.tobytes()], "f": [f.tobytes()],
         })
 
@@ -133,7 +141,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         for batch in batches:
             for b in batch.itertuples(index=False):
                 ids = np.frombuffer(b.ids, np.int64)
-                rows = np.frombuffer(b.rows).reshape(-1, d)
+                rows = np.frombuffer(b.rows, np.float32 if len(b.rows) == 4 * d * len(ids) else np.float64).reshape(-1, d)
                 bits = np.frombuffer(b.bits, np.uint8).reshape(len(ids), -1)
                 yield search_block(
                     ids, rows, bits, np.frombuffer(b.length), np.frombuffer(b.f),

@@ -60,7 +60,10 @@ class ImportanceModel:
 
     def toxicity(self, found: np.ndarray) -> float:
         """Sum over a text's distinct features; nearly all add 0, so ordinary prose around a few doesn't dilute them."""
-        return float(self.toxic_ratio[np.unique(found)].sum()) if self.toxic_ratio is not None else 0.0
+        if self.toxic_ratio is None:
+            return 0.0
+        telling = found[self.toxic_ratio[found] > 0]
+        return float(self.toxic_ratio[np.unique(telling)].sum()) if len(telling) else 0.0
 
 
 def count_features(docs: DataFrame, text: str, group: str, once: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -29,14 +30,23 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .frames import col
 
-#: Documents of a block and items of a group; their product bounds a bundle.
-BLOCK_DOCS = 4096
-GROUP_ITEMS = 256
-#: Postings after which a block ends early.
-BLOCK_POSTINGS = 1 << 21
-STAGES = 4
-#: Slots of the map that tells which words can be terms of an item. A word that only shares a slot is left out by the exact join later.
-SLOTS = 1 << 22
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of what one task holds; results don't depend on them.
+
+    A bundle has at most ``block_docs`` times ``group_items`` cells, or a few more, since items are dealt to groups by hash. A block ends early at
+    ``block_postings`` postings. ``slots`` is the size of the map that tells which words can be terms of an
+    item; a word that only shares a slot with a term is left out by the exact join later.
+    """
+
+    block_docs: int = 4096
+    block_postings: int = 1 << 21
+    group_items: int = 256
+    stages: int = 4
+    slots: int = 1 << 22
+
+
 #: Fixed values of the score: saturation scale, and the parts of a document's length measure.
 SCALE, FLOOR, SHARE, LENGTH_WEIGHT = 10**9, 100 - 90, 90, 8
 
@@ -64,17 +74,17 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     return pairs.select(F.col("item").cast("long").alias("item"), "term")
 
 
-def slot_map(terms: DataFrame) -> bytearray:
+def slot_map(terms: DataFrame, slots: int) -> bytes:
     """A byte per slot, 1 if a term falls there; of fixed size whatever the number of terms."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = np.zeros(SLOTS, np.uint8)
+        marks = np.zeros(slots, np.uint8)
         for batch in batches:
-            marks[[crc32(t) % SLOTS for t in batch["term"]]] = 1
+            marks[[crc32(t) % slots for t in batch["term"]]] = 1
         yield pd.DataFrame({"marks": [np.packbits(marks).tobytes()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS // 8, np.uint8)
+        total = np.zeros(slots // 8, np.uint8)
         for batch in batches:
             for marks in batch["marks"]:
                 total |= np.frombuffer(marks, np.uint8)
@@ -82,33 +92,34 @@ def slot_map(terms: DataFrame) -> bytearray:
 
     # A few maps merge into one per round, so no task takes many.
     maps = terms.coalesce(64).mapInPandas(mark, "marks binary").coalesce(8).mapInPandas(merge, "marks binary")
-    total = np.zeros(SLOTS // 8, np.uint8)
+    total = np.zeros(slots // 8, np.uint8)
     for row in maps.toLocalIterator():
         total |= np.frombuffer(row["marks"], np.uint8)
-    return bytearray(np.unpackbits(total).tobytes())
+    return np.unpackbits(total).tobytes()
 
 
-def block_postings(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+def block_postings(docs: DataFrame, terms: DataFrame, key: str, text: str, sizes: Sizes) -> DataFrame:
     """Blocks of documents and their postings, written as a table.
 
     A row (block, term, df, most, places, counts) has the places of a term's documents in the block, two bytes
     each, and its occurrences there, four bytes each. The row without term has the ids of the block's documents
     and their lengths in terms. Blocks are made where the documents are read; nothing is shuffled.
     """
-    slots = docs.sparkSession.sparkContext.broadcast(slot_map(terms))
+    slots = docs.sparkSession.sparkContext.broadcast(slot_map(terms, sizes.slots))
+    most_docs, most_postings, slot_count = sizes.block_docs, sizes.block_postings, sizes.slots
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marked, part, number = slots.value, TaskContext.get().partitionId(), 0
         places: dict[bytes, array] = {}
         counts: dict[bytes, array] = {}
         ids: list[int | None] = []
-        sizes: list[int] = []
+        lengths: list[int] = []
         held = 0
 
         def block() -> pd.DataFrame:
             names = list(places)
             rows = [(t, len(places[t]), max(counts[t]), places[t].tobytes(), counts[t].tobytes()) for t in names]
-            size = np.array(sizes, np.int64)
+            size = np.array(lengths, np.int64)
             rows.append((None, int((size > 0).sum()), int(size.sum()), pack_ids(ids), size.tobytes()))
             frame = pd.DataFrame(rows, columns=["term", "df", "most", "places", "counts"])
             frame.insert(0, "block", (part << 32) + number)
@@ -119,17 +130,17 @@ def block_postings(docs: DataFrame, terms: DataFrame, key: str, text: str) -> Da
                 words = terms_of(body)
                 place = len(ids)
                 ids.append(int(name) if isinstance(name, str) else None)
-                sizes.append(len(words))
+                lengths.append(len(words))
                 for term, n in Counter(words).items():
-                    if marked[crc32(term) % SLOTS]:
+                    if marked[crc32(term) % slot_count]:
                         if term not in places:
                             places[term], counts[term] = array("H"), array("I")
                         places[term].append(place)
                         counts[term].append(n)
                         held += 1
-                if len(ids) == BLOCK_DOCS or held >= BLOCK_POSTINGS:
+                if len(ids) == most_docs or held >= most_postings:
                     yield block()
-                    places, counts, ids, sizes, held, number = {}, {}, [], [], 0, number + 1
+                    places, counts, ids, lengths, held, number = {}, {}, [], [], 0, number + 1
         if ids:
             yield block()
 
@@ -137,10 +148,10 @@ def block_postings(docs: DataFrame, terms: DataFrame, key: str, text: str) -> Da
     return stored(rows.mapInPandas(index, "block long, term binary, df long, most long, places binary, counts binary"), "postings")
 
 
-def weighted_terms(pairs: DataFrame, postings: DataFrame, documents: int) -> DataFrame:
+def weighted_terms(pairs: DataFrame, postings: DataFrame, documents: int, sizes: Sizes) -> DataFrame:
     """(grp, place, item, term, w, owner, gain): each term of each item with its weight, owner and largest contribution."""
     names = pairs.select(F.col("item").alias("name")).distinct()
-    groups = max(1, -(-names.count() // GROUP_ITEMS))
+    groups = max(1, -(-names.count() // sizes.group_items))
     names = names.withColumn("grp", F.pmod(F.xxhash64("name"), F.lit(groups)).cast("int"))
     names = names.withColumn("place", F.row_number().over(W.partitionBy("grp").orderBy("name")) - 1)
     placed = pairs.join(names, F.col("item").eqNullSafe(F.col("name"))).drop("name")
@@ -149,7 +160,7 @@ def weighted_terms(pairs: DataFrame, postings: DataFrame, documents: int) -> Dat
     w = F.floor(F.lit(1000.0) * F.log(F.lit(n) / (2 * F.col("df") + 1).cast("double"))).cast("long")
     found = placed.join(totals, "term").withColumn("w", w)
     top = 1000.0 * math.log(n)
-    owner = F.greatest(F.lit(0), F.least(F.lit(STAGES - 1), F.floor((1 - F.col("w") / top) * STAGES))).cast("int")
+    owner = F.greatest(F.lit(0), F.least(F.lit(sizes.stages - 1), F.floor((1 - F.col("w") / top) * sizes.stages))).cast("int")
     gain = F.expr(f"w * (({SCALE} * most) DIV (1000 * most + {LENGTH_WEIGHT * FLOOR}))")
     return found.select("grp", "place", "item", "term", "w", owner.alias("owner"), gain.alias("gain"))
 
@@ -185,7 +196,8 @@ def kth_best(sums: np.ndarray, k: int) -> np.ndarray:
 def run_stage(bundle, postings: pd.DataFrame, stage: int, k: int, corpus: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Accumulators (cells, sums) of a bundle after one owner's contributions; ``corpus`` is (documents, occurrences)."""
     measures = length_measures(np.frombuffer(bundle.sizes, np.int64), *corpus)
-    potential = np.frombuffer(bundle.potential, np.int64).reshape(STAGES + 1, -1)
+    width = len(bundle.items) // 9
+    potential = np.frombuffer(bundle.potential, np.int64).reshape(-1, width)
     sums = np.zeros((potential.shape[1], len(measures)), np.int64)
     sums.ravel()[np.frombuffer(bundle.cells, np.uint32)] = np.frombuffer(bundle.sums, np.int64)
     # An item is closed if what is left can't lift a new document to its k-th best.
@@ -216,7 +228,7 @@ def best_cells(bundle, cells: np.ndarray, sums: np.ndarray, k: int) -> pd.DataFr
     return pd.DataFrame({"item_id": nullable(items[item], ~given[item]), "doc_id": nullable(names[place], ~known[place]), "score": sums})
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents with a score above 0 of each item, ties to the smaller id.
 
     Keys are integers. Rows of ``items`` with one id, null included, are one item with the terms of all of them; each row
@@ -224,14 +236,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
     terms. Other columns are not read. An item without a document is not in the result.
     """
     pairs = stored(item_terms(items, item_key, item_text), "item-terms")
-    postings = block_postings(docs, pairs.select("term"), key, text)
+    postings = block_postings(docs, pairs.select("term"), key, text, sizes)
     blocks = postings.filter("term IS NULL")
     corpus = tuple(int(x or 0) for x in blocks.agg(F.sum("df"), F.sum("most")).first())
-    weighted = stored(weighted_terms(pairs, postings, corpus[0]), "weighted-terms")
+    weighted = stored(weighted_terms(pairs, postings, corpus[0], sizes), "weighted-terms")
+
+    stages = sizes.stages
 
     def potential_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         width = int(part["place"].max()) + 1
-        gains, names = np.zeros((STAGES + 1, width), np.int64), [None] * width
+        gains, names = np.zeros((stages + 1, width), np.int64), [None] * width
         for place, item, owner, gain in zip(part["place"], part["item"], part["owner"], part["gain"]):
             gains[owner, place] += int(gain)
             names[place] = int(item) if isinstance(item, str) else None
@@ -261,12 +275,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
             bundle = next(left.itertuples(index=False))
             return best_cells(bundle, *run_stage(bundle, right, stage, k, corpus), k)
 
-        return finish if stage == STAGES - 1 else add
+        return finish if stage == stages - 1 else add
 
-    for stage in range(STAGES):
+    for stage in range(stages):
         # Aliases, since the bundles come from the same table.
         postings_here = owned.filter(F.col("owner") == stage).select(F.col("block").alias("block"), F.col("grp").alias("grp"), "w", "items", "places", "counts")
-        after = "item_id long, doc_id long, score long" if stage == STAGES - 1 else BUNDLE
+        after = "item_id long, doc_id long, score long" if stage == stages - 1 else BUNDLE
         bundles = bundles.groupBy("block", "grp").cogroup(postings_here.groupBy("block", "grp")).applyInPandas(advance(stage), after)
 
     by_score = W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

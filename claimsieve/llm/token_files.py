@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
+from ..sources.shared_files import open_folder, qualified
 from . import elias_fano
 from .bpe import Codec, join_tree, load_codec
 from .frames import col, fresh
-from .shared_files import open_folder, qualified
 
 MAGIC = b"TOKNFILE"
 #: Magic, version, bytes of an id, documents, documents without key, ids, first key, bytes of ends, bytes of keys, crc32 of ids, of ends and keys.

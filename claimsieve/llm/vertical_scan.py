@@ -64,7 +64,7 @@ class Block:
         return self.parts[label]
 
 
-def scan(block: Block, anchor: np.ndarray, alive: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(block: Block, anchor: np.ndarray, alive: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, step: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of all candidates that can be among the first n of a window.
 
     Window i has the scores from low[i] to high[i]; ``alive`` is the bitmap of candidates to begin with.
@@ -77,8 +77,8 @@ def scan(block: Block, anchor: np.ndarray, alive: np.ndarray, low: np.ndarray, h
     reach = np.sort(block.ends[:, order] * anchor[order], axis=0)
     # least[r], most[r]: what the columns from place r on can add.
     least, most = np.pad(reach[:, ::-1].cumsum(axis=1)[:, ::-1], ((0, 0), (0, 1)))
-    for read in range(0, len(order), COLUMNS):
-        chunk = order[read : read + COLUMNS]
+    for read in range(0, len(order), step):
+        chunk = order[read : read + step]
         for j in chunk:
             column = block.columns[j]
             sums += anchor[j] * (column if len(live) == len(column) else column[live]).astype(np.int64)
@@ -96,10 +96,10 @@ def scan(block: Block, anchor: np.ndarray, alive: np.ndarray, low: np.ndarray, h
     return live, sums
 
 
-def best_positives(block: Block, name: int, label: int, anchor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def best_positives(block: Block, name: int, label: int, anchor: np.ndarray, n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the n best of the anchor's label, ties to the smaller id."""
     own = block.of_label(label)
-    places, scores = scan(own, anchor, own.ids != name, np.array([LEAST]), np.array([MOST]), n)
+    places, scores = scan(own, anchor, own.ids != name, np.array([LEAST]), np.array([MOST]), n, step)
     order = np.lexsort((own.ids[places], -scores))[:n]
     return own.ids[places[order]], scores[order]
 
@@ -109,12 +109,12 @@ def window_of(positive: np.ndarray, least: int, most: int) -> tuple[np.ndarray,
     return -((-least * positive) // 100), (most * positive) // 100
 
 
-def best_negatives(block: Block, name: int, label: int, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def best_negatives(block: Block, name: int, label: int, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, step: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(window, ids, scores): the n best of other labels in each window, ties to the smaller id."""
     alive = block.ids != name
     alive[block.rows_of(label)] = False
     open_windows = np.flatnonzero(low <= high)
-    places, scores = scan(block, anchor, alive, low[open_windows], high[open_windows], n)
+    places, scores = scan(block, anchor, alive, low[open_windows], high[open_windows], n, step)
     order = np.lexsort((block.ids[places], -scores))
     places, scores = places[order], scores[order]
     found = []
@@ -161,6 +161,7 @@ def unpack_block(row, d: int) -> Block:
 def hard_negatives(
     vectors: DataFrame, is_anchor: Column, label: Column, key: str = "vec_id", vector: str = "embedding",
     positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95), scale: int = 256,
+    block_rows: int = BLOCK_ROWS, anchor_rows: int = ANCHOR_ROWS, step: int = COLUMNS,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
@@ -175,10 +176,10 @@ def hard_negatives(
     chosen = vectors.filter(is_anchor).filter(col(key).isNotNull()).select(col(key).cast("long").alias("id")).distinct()
     rows = stored(rows, "integer-vectors")
     total = rows.count()
-    numbers = max(1, -(-total // BLOCK_ROWS))
+    numbers = max(1, -(-total // block_rows))
     blocks = pack_blocks(rows, d, numbers)
     anchors = stored(rows.join(chosen, "id", "left_semi"), "anchors")
-    groups = max(1, -(-anchors.count() // ANCHOR_ROWS))
+    groups = max(1, -(-anchors.count() // anchor_rows))
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         found = {"names": part["id"].to_numpy(np.int64), "own": part["label"].to_numpy(np.int64), "vecs": np.array(part["vec"].tolist(), np.int64)}
@@ -207,7 +208,7 @@ def hard_negatives(
     def look_for_positives(block: Block, row) -> pd.DataFrame:
         found = []
         for name, own, anchor in each_anchor(row):
-            ids, scores = best_positives(block, name, own, anchor, positives)
+            ids, scores = best_positives(block, name, own, anchor, positives, step)
             found.append(pd.DataFrame({"id": name, "positive_id": ids, "score": scores}))
         return pd.concat(found)
 
@@ -217,7 +218,7 @@ def hard_negatives(
         for (name, own, anchor), end, count in zip(each_anchor(row), ends, np.frombuffer(row.counts, np.int64)):
             asked = slice(end - count, end)
             low, high = window_of(scores[asked], *window)
-            for i, places, sums in best_negatives(block, name, own, anchor, low, high, negatives):
+            for i, places, sums in best_negatives(block, name, own, anchor, low, high, negatives, step):
                 found.append(pd.DataFrame({"anchor_id": name, "positive_id": ids[asked][i], "positive_score": scores[asked][i], "negative_id": places, "negative_score": sums}))
         names = ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
         return pd.concat(found) if found else pd.DataFrame({n: np.zeros(0, np.int64) for n in names})

@@ -15,12 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
+from ..sources.shared_files import open_folder, qualified
 from .frames import col
 
 READ_BYTES = 1 << 18
@@ -53,14 +53,19 @@ def clean(value: str) -> str:
     return "".join(" " if ord(c) < 32 or ord(c) == 127 else c for c in value)
 
 
-def record_bytes(page: str, url: str, payload: bytes, payload_digest: str, refers_to: str | None) -> Iterator[bytes]:
+def record_id(page: str | None) -> str:
+    """Made of the page's id; a page without one gets an id of its own."""
+    return f"<{uuid.uuid4().urn}>" if page is None else RECORD_ID.format(page)
+
+
+def record_bytes(page: str | None, url: str, payload: bytes, payload_digest: str, refers_to: str | None) -> Iterator[bytes]:
     """One record as a gzip member: a response with its payload, or a revisit with the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = payload if refers_to is None else b""
     block = hashlib.sha1(http)
     block.update(body)
     lines = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", RECORD_ID.format(page)), ("WARC-Date", DATE),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page)), ("WARC-Date", DATE),
         ("WARC-Target-URI", clean(url)), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"),
         ("WARC-Block-Digest", "sha1:" + base64.b32encode(block.digest()).decode()), ("Content-Length", str(len(http) + len(body))),
     ]
@@ -162,22 +167,18 @@ def read_records(source) -> Iterator[Record]:
         yield Record(headers, http, body, expected[5:] or computed)
 
 
-def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder given as URI or as plain path."""
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-    return fs.LocalFileSystem(), path
-
-
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write a record per row below ``folder`` (one all executors share) and return the manifest (path, records, bytes).
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, the one with the smallest id
     is a response and the others are revisits of it; without any id, or if several rows
-    have that id, all of these are responses. A null html is an empty payload, a null url an empty one.
+    have that id, all of these are responses. A null html is an empty payload, a null url an empty one; a row
+    without id reads back without one. ``folder`` is a path as Spark understands it: a plain one belongs to
+    the cluster's default file system.
     Each task attempt writes a file of its own; only what the manifest lists counts, so a lost
     executor leaves no half archive behind. Other columns are not read.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(
         col(key).cast("string").alias("page"), col(key).alias("id"), F.coalesce(col(url).cast("string"), F.lit("")).alias("url"),
         F.coalesce(col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
@@ -197,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             for page, link, payload, sha1, refers_to in zip(batch["page"], batch["url"], batch["payload"], batch["sha1"], batch["refers_to"]):
                 sink = sink or system.open_output_stream(f"{root}/{name}", compression=None)
                 encoded = base64.b32encode(bytes.fromhex(sha1)).decode()
-                page, refers_to = page if isinstance(page, str) else "", refers_to if isinstance(refers_to, str) else None
+                page, refers_to = page if isinstance(page, str) else None, refers_to if isinstance(refers_to, str) else None
                 for piece in record_bytes(page, link, payload, encoded, refers_to):
                     sink.write(piece)
                     size += len(piece)

@@ -63,3 +63,9 @@ def test_query(spark, sf_dir, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_key_with_the_name_of_the_result(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "x" * 70_000)], "ids long, text string")
+    found = bpe.encode_texts(docs, byte_bpe(), ["ids"])
+    assert found.columns == ["ids", "_ids"] and {r.ids for r in found.collect()} == {1, 2}

@@ -27,9 +27,28 @@ def test_ngrams_match_a_plain_version():
     texts = ["Ab c!d", "", "é", "  x  yz "]
     for text in texts:
         found = []
-        for _, points in language_id.letter_blocks([text]):
-            found += [b for row in language_id.hashed_ngrams(points, (1, 2, 3), 16) for b in row if b != 1 << 16]
-        assert Counter(found) == Counter(bucket(g) for g in plain_grams(text))
+        assert Counter(grams_of(text)) == Counter(bucket(g) for g in plain_grams(text))
+
+
+def grams_of(text, orders=(1, 2, 3)):
+    found = []
+    for _, points, carried in language_id.letter_blocks([text], max(orders) - 1):
+        found += [b for row in language_id.hashed_ngrams(points, orders, 16, carried) for b in row.tolist() if b != 1 << 16]
+    return found
+
+
+def test_no_ngram_is_lost_where_a_long_text_is_cut(monkeypatch):
+    text = "ab  c, d" * 9 + "é!?? \0" * 5 + "   " * 4 + "xyz"
+    for size in range(1, 40):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", size)
+        for orders in ((1, 2, 3), (2,), (1,), (1, 4)):
+            assert Counter(grams_of(text, orders)) == Counter(bucket(g) for g in plain_grams(text, orders)), (size, orders)
+
+
+def test_a_text_above_the_block_size():
+    text = "the quick brown fox, " * 30_000
+    assert len(text) > 2 * language_id.BLOCK_CHARS
+    assert Counter(grams_of(text)) == Counter(bucket(g) for g in plain_grams(text))
 
 
 def test_blocks_hold_all_characters_of_long_texts():

@@ -87,3 +87,19 @@ def test_awkward_rows(spark):
     assert taken.columns == docs.columns
     assert taken.count() == sum(r.copies for r in mixed)
     assert mixing.take_mix(docs.limit(0)).count() == 0
+
+
+def test_nothing_is_taken_from_sources_without_share_or_weight(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 1), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    assert {r.copies for r in mixing.mix_sources(docs, share=0.0).collect()} == {0}
+    found = mixing.mix_sources(docs, weights=(3.0, 0.0, 2.0)).collect()
+    by_source = {r.doc_id: r.source for r in docs.collect()}
+    taken, target = {}, {}
+    for r in found:
+        taken[by_source[r.id]] = taken.get(by_source[r.id], 0) + r.size * r.copies
+        target[by_source[r.id]] = r.target
+    total = sum(r.size for r in found)
+    assert taken["b"] == 0 and target["b"] == 0
+    assert abs(target["a"] + target["c"] - min(1.5 * total, 2 * total * 2 / 3)) < 1e-6 * total
+    assert all(abs(taken[s] - target[s]) <= 10 for s in "ac")
+    assert {r.copies for r in mixing.mix_sources(docs, weights=(0.0,)).collect()} == {0}

@@ -96,3 +96,33 @@ def test_rare_links_are_found(spark):
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(8)
     kept = {r.vec_id: r.kept for r in multi_index.similar_vectors(frame).collect()}
     assert sum(not kept[k] for k in range(80, 160)) >= 78
+
+
+def test_more_cells_are_considered_until_the_recall_holds(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "FIRST_CELLS", 1)
+    monkeypatch.setattr(multi_index, "CELL_ROWS", 1)
+    rng = np.random.default_rng(6)
+    # Pairs at a cosine of about 0.3, which cells of a fine grid keep apart.
+    base = rng.standard_normal((150, 8))
+    near = 0.35 * base + rng.standard_normal((150, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, needed = [], multi_index.visits_needed
+
+    def watch(*arguments):
+        seen.append((arguments[-1], needed(*arguments)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(multi_index, "visits_needed", watch)
+    found = sorted(tuple(r) for r in multi_index.similar_vectors(frame, threshold=0.3, recall=1.0).collect())
+    cells = [c for c, _ in seen]
+    assert cells[0] == 1 and max(cells) > 128 and all(b <= 2 * a for a, b in zip(cells, cells[1:]))
+    assert all(v is None for _, v in seen[:-1])
+    links = plain_links(rows, 8, 0.3)
+    assert sum(r[1] for r in found) == 2 * len(links)
+
+
+def test_the_recall_is_not_taken_for_reached():
+    counts = np.array([[3.0, 0, 1], [2, 0, 0]])
+    assert multi_index.enough_visits(counts, 0.7) == 1
+    assert multi_index.enough_visits(counts, 0.9) is None

@@ -68,3 +68,24 @@ def test_recall_over_several_blocks(spark, monkeypatch):
     assert hits / len(found) >= 0.97
     for r in found:
         assert np.isclose(r.score, rows[r.query_id] @ rows[r.vec_id], rtol=1e-12)
+
+
+@pytest.mark.parametrize("block_rows", [7, 43, 8192])
+def test_equal_vectors_score_equally_and_stand_by_id(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(onebit, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(4)
+    copy = rng.standard_normal(24).astype(np.float32).tolist()
+    rows = [(i, copy if i % 4 else rng.standard_normal(24).astype(np.float32).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for k in (5, 20, 59):
+        found = onebit.nearest(frame, F.col("vec_id") % 5 == 0, k=k).collect()
+        by_query = {}
+        for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+            by_query.setdefault(r.query_id, []).append(r)
+        vectors = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+        for q, hits in by_query.items():
+            assert len({h.score for h in hits if h.vec_id % 4}) <= 1
+            assert [h.rank for h in hits] == list(range(1, len(hits) + 1)) and len(hits) == k
+            assert [(-h.score, h.vec_id) for h in hits] == sorted((-h.score, h.vec_id) for h in hits)
+            exact = sorted((-float((vectors[i] * vectors[q]).sum()), i) for i, _ in rows if i != q)[:k]
+            assert [h.vec_id for h in hits] == [i for _, i in exact]

@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter
 
 from helpers import doc_table
@@ -76,3 +77,56 @@ def test_toxic_words_in_ordinary_prose_are_rejected(spark):
     print("figures", sum(not r.accepted for r in toxic), len(toxic), sum(not r.accepted for r in rows if r.toxic == 1), sum(r.toxic for r in rows), sum(not r.accepted for r in good), len(good))
     assert sum(not r.accepted for r in toxic) / len(toxic) > 0.5
     assert sum(r.accepted for r in good) / len(good) > 0.995
+
+
+def plain_model(docs, labels):
+    """Both ratios by a plain loop over texts, from the formulas."""
+    size = 1 << quality.BITS
+    held = {i for i in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+    raw, target = Counter(), Counter()
+    seen, groups = (Counter(), Counter()), [0, 0]
+    for i, text in docs:
+        found = quality.features(text, quality.Buckets()).tolist()
+        raw.update(found)
+        if i in labels and i not in held:
+            good, toxic = labels[i]
+            if good:
+                target.update(found)
+            groups[toxic] += 1
+            seen[toxic].update(set(found))
+    ratio = {}
+    for low, high in ((0, size), (size, quality.FEATURES)):
+        n = high - low
+        r_total, t_total = sum(c for f, c in raw.items() if low <= f < high), sum(c for f, c in target.items() if low <= f < high)
+        for f in range(low, high):
+            if raw[f]:
+                prior = (raw[f] + 1e-3) / (r_total + 1e-3 * n)
+                ratio[f] = math.log((target[f] + 0.01 * n * prior) / (t_total + 0.01 * n) / prior)
+    toxic = {}
+    for f in seen[1]:
+        one, other = seen[1][f] + 0.5, seen[0][f] + 0.5
+        toxic[f] = max(0.0, math.log(one / (groups[1] + 1)) - math.log(other / (groups[0] + 1)) - 4 * math.sqrt(1 / one + 1 / other))
+    return ratio, toxic
+
+
+def test_weights_and_decisions_against_a_plain_version(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    worst = {}
+    for r in labels.collect():
+        good, toxic = worst.get(r.doc_id, (True, 0))
+        worst[r.doc_id] = (good and r.quality == 1 and not r.toxic, max(toxic, r.toxic or 0))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    ratio, toxic = plain_model(texts, worst)
+    model = quality.fit_classifier(docs, labels)
+    found = {r.doc_id: r.importance for r in quality.weigh(docs, model).collect()}
+    for i, text in texts:
+        features = quality.features(text, quality.Buckets()).tolist()
+        weight = math.fsum(ratio[f] for f in features)
+        mean = weight / max(1, len(features))
+        poison = math.fsum(toxic.get(f, 0.0) for f in set(features))
+        assert found[i].n_features == len(features)
+        assert math.isclose(found[i].log_weight, weight, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(found[i].mean_log_weight, mean, rel_tol=1e-9, abs_tol=1e-9)
+        if min(abs(mean - model.min_mean), abs(weight - model.min_total), abs(poison - model.max_toxic)) > 1e-6:
+            assert found[i].accepted == ((mean >= model.min_mean or weight >= model.min_total) and poison <= model.max_toxic)

@@ -43,7 +43,7 @@ def test_round_trip(spark, tmp_path, min_bytes):
     assert sorted(actual, key=repr) == sorted(expected_rows(ROWS, min_bytes), key=repr)
     # One gzip member per record, and other tools can read the file.
     for row in manifest.collect():
-        raw = open(row.path.removeprefix("file://"), "rb").read()
+        raw = open("/" + row.path.removeprefix("file:").lstrip("/"), "rb").read()
         members, plain = 0, b""
         while raw:
             unpack = zlib.decompressobj(31)
@@ -91,3 +91,18 @@ def test_query(spark, sf_dir):
     found = QUERIES["op8_warc"](spark, sf_dir).collect()
     expected = [(i, n, d, kind, refers) for i, _, d, kind, refers, n in expected_rows(rows)]
     assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
+def test_query_with_null_and_repeated_ids_in_a_plain_folder(spark, tmp_path):
+    folder = tmp_path / "tables"
+    spark.createDataFrame(ROWS, "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
+    found = QUERIES["op8_warc"](spark, str(folder)).collect()
+    assert "://" not in spark.conf.get("spark.checkpoint.dir")
+    expected = [(i, size, sha, kind, refers) for i, _, sha, kind, refers, size in expected_rows(ROWS)]
+    actual = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found]
+    assert sorted(actual, key=repr) == sorted(expected, key=repr)
+
+
+def test_records_without_a_page_have_ids_of_their_own():
+    first, second = warc.record_id(None), warc.record_id(None)
+    assert first != second and first.startswith("<urn:uuid:")
