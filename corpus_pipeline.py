@@ -2,7 +2,7 @@
 
 Stages in order: language identification drops texts of no recognisable language;
 the quality classifier drops texts it rejects; SimHash keeps one of each group of texts
-with nearly equal fingerprints; shingle sets keep one of each group of near copies; mixing repeats or leaves out documents by their source's target; the last
+with nearly equal fingerprints; mixing repeats or leaves out documents by their source's target; the last
 encodes every document. All but the last return the columns of ``documents``.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm import bpe, language_id, mixing, quality, shingle_sets, simhash
+from claimsieve.llm import bpe, language_id, mixing, quality, simhash
 from claimsieve.llm.frames import fresh, small_batches
 from claimsieve.llm.queries import byte_bpe, id_digest, table
 from claimsieve.session import stored
@@ -47,15 +47,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.drop_near_duplicates(docs, width=3).select(docs.columns)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group linked by a Jaccard similarity of 0.8 of five-word shingles.
-
-    SimHash at two bits hardly reaches beyond equal texts.
-    """
-    small_batches(spark)
-    return shingle_sets.drop_near_copies(docs, width=5, threshold=0.8).select(docs.columns)
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     small_batches(spark)
@@ -76,7 +67,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("language ID", identify_language),
     ("quality classifier", classify_quality),
     ("SimHash near-dedup", drop_near_duplicates),
-    ("near copies by shingle sets", drop_near_copies),
     ("mixing sources to target weights", mix),
     ("BPE encoding and decoding", encode),
 ]
