@@ -117,13 +117,21 @@ def knn_join_partitioned(spark, sf_dir):
     return neighbors.knn_join(vectors, vectors, 5, exclude_self=True, broadcast_bytes=0, pivots=16)
 
 
+@query("knn_join_index", oracle(PAIRS, "SELECT q_id, t_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5"))
+def knn_join_index(spark, sf_dir):
+    """An index that was saved and loaded."""
+    vectors = _vectors(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    neighbors.index_rows(vectors, 6).save(path)
+    return neighbors.knn_join(vectors, neighbors.load_index(spark, path), 5, exclude_self=True)
+
+
 @query(
     "tomek_links",
-    oracle(
-        PAIRS,
-        "SELECT a.q_id AS a_id, a.t_id AS b_id FROM ranked a JOIN ranked b ON a.q_id = b.t_id AND a.t_id = b.q_id "
-        "WHERE a.rank = 1 AND b.rank = 1 AND a.q_id < a.t_id AND a.q_label <> a.t_label",
-    ),
+    f"""WITH {VECTORS},
+nearest AS MATERIALIZED (
+  SELECT a.vec_id AS id, any_value(a.label) AS label, arg_min(b.vec_id, (list_distance(a.v, b.v), b.vec_id)) AS near_id FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)
+SELECT a.id AS a_id, b.id AS b_id FROM nearest a JOIN nearest b ON a.id = b.near_id AND a.near_id = b.id AND a.id < b.id AND a.label <> b.label""",
 )
 def tomek_links(spark, sf_dir):
     return balance.tomek_links(_vectors(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ordered import exact_quantiles
 from ..plans.strata import assign_blocks
-from .neighbors import knn_join
+from .neighbors import NeighborIndex, knn_join
 
 MIN_ROWS, MIN_POSITIVES = 50, 5
 TEST_SHARE = 0.2
@@ -126,9 +126,11 @@ def smote(
     return original.unionByName(synthetic)
 
 
-def tomek_links(df: DataFrame, id_column: str = "id", vector: str = "features", label: str = "label", **options) -> DataFrame:
-    """``a_id, b_id`` (a < b): mutual nearest neighbours of different labels."""
-    near = knn_join(df, df, 1, id_column, vector, exclude_self=True, **options).select("q_id", "t_id")
+def tomek_links(
+    df: DataFrame, id_column: str = "id", vector: str = "features", label: str = "label", index: NeighborIndex | None = None, **options
+) -> DataFrame:
+    """``a_id, b_id`` (a < b): mutual nearest neighbours of different labels. ``index`` may be one over ``df``."""
+    near = knn_join(df, df if index is None else index, 1, id_column, vector, exclude_self=True, **options).select("q_id", "t_id")
     labels = df.select(F.col(id_column).cast("bigint").alias("_id"), F.col(label).alias("_label"))
     pairs = near.select(F.least("q_id", "t_id").alias("a_id"), F.greatest("q_id", "t_id").alias("b_id"))
     mutual = pairs.groupBy("a_id", "b_id").agg(F.count("*").alias("_n")).where(F.col("_n") == 2)

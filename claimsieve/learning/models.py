@@ -32,7 +32,7 @@ from ..session import stored
 from .balance import scaling, smote, smote_tomek, stratified_folds, stratified_split, training_guard
 from .contributions import mean_importance
 from .metrics import average_precision, classification_metrics, f1_scores, roc_auc
-from .neighbors import knn_probability
+from .neighbors import BROADCAST_BYTES, NeighborIndex, index_rows, knn_probability, load_index
 
 
 #: Bounded training rows per task of a fit.
@@ -147,16 +147,19 @@ def train_boosting(frame: DataFrame, config: LearningConfig = LearningConfig(),
 
 @dataclass
 class NeighborModel:
-    """The training rows themselves; scoring is a nearest-neighbour join."""
+    """The training rows themselves; scoring is a nearest-neighbour join, over an index where they are too many to broadcast."""
 
     rows: DataFrame
     k: int
+    index: NeighborIndex | None = None
     options: dict = field(default_factory=dict)
 
 
-def train_knn(frame: DataFrame, config: LearningConfig = LearningConfig(), **options) -> NeighborModel:
+def train_knn(frame: DataFrame, config: LearningConfig = LearningConfig(), broadcast_bytes: int = BROADCAST_BYTES) -> NeighborModel:
     rows = bounded_rows(frame.select("id", "features", "label"), config.knn_rows)
-    return NeighborModel(rows, config.knn_k, options)
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    fits = size["n"] * (8 * (size["d"] or 0) + 8) <= broadcast_bytes
+    return NeighborModel(rows, config.knn_k, None if fits else index_rows(rows, config.knn_k))
 
 
 def fit_member(name: str, frame: DataFrame, config: LearningConfig):
@@ -182,7 +185,7 @@ def add_probabilities(frame: DataFrame, models: dict) -> DataFrame:
         frame = scored.select(*columns, *[vector_to_array(f"_prob_{o}")[1].alias(o) for o in native])
     for output, model in models.items():
         if output not in native:
-            votes = knn_probability(frame, model.rows, model.k, "id", "features", "label", **model.options)
+            votes = knn_probability(frame, model.rows, model.k, "id", "features", "label", model.index, **model.options)
             votes = votes.select(F.col("q_id").alias("_q"), F.col("probability").alias(output))
             frame = frame.join(votes, F.col("id") == F.col("_q"), "left").drop("_q")
     return frame
@@ -339,14 +342,19 @@ class Ensemble:
 
 def _save_model(model, path: str) -> None:
     if isinstance(model, NeighborModel):
-        model.rows.write.mode("overwrite").parquet(path)
+        model.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        if model.index is not None:
+            model.index.save(f"{path}/index")
+        facts = {"indexed": model.index is not None}
+        model.rows.sparkSession.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").json(f"{path}/facts")
     else:
         model.write().overwrite().save(path)
 
 
 def _load_model(spark: SparkSession, name: str, path: str, config: LearningConfig):
     if name == "knn":
-        return NeighborModel(spark.read.parquet(path), config.knn_k)
+        indexed = json.loads(spark.read.schema("facts string").json(f"{path}/facts").first()["facts"])["indexed"]
+        return NeighborModel(spark.read.parquet(f"{path}/rows"), config.knn_k, load_index(spark, f"{path}/index") if indexed else None)
     kinds = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel}
     return kinds.get(name, GBTClassificationModel).load(path)
 

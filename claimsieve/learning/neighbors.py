@@ -4,11 +4,12 @@ Two ways with equal results:
 
 * The reference side fits a byte limit (it is counted first): it is broadcast and
   each task compares its query batches with it. No shuffle.
-* Otherwise both sides are partitioned into Voronoi cells of about as many pivots as
-  the root of the reference rows. A query first searches its own cell; its k-th distance there bounds the
-  true one, and only cells that the triangle inequality and the bisector bound
-  cannot exclude are searched as well. Cells are cut into blocks of reference rows
-  and chunks of queries, so a crowded cell becomes many tasks.
+* Otherwise an index deals it to Voronoi cells of about as many pivots as the root of its rows. A query visits cells in order
+  of a lower bound of its distance to them, in rounds: one cell, then four times as many each round. Its k-th
+  distance so far shrinks from round to round, and it leaves when its next cell's bound is beyond that. Bounds come from
+  the triangle inequality, the bisector to the nearest pivot, and the cell's box on the principal
+  axes of a sample with the range of what the axes leave over. Cells are cut into blocks of reference rows and chunks of queries, so
+  a crowded cell becomes many tasks. The index can be saved and used again.
 
 Copies of one vector are reduced to the ids that can possibly be chosen before any
 search. Tasks emit at most k rows per query and block, never all pairs.
@@ -16,18 +17,26 @@ search. Tasks emit at most k rows per query and block, never all pairs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch_path, stored
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: Cells of the partitioned way: about the root of the reference rows, so cells and their size grow alike.
 MIN_PIVOTS, MAX_PIVOTS = 16, 4096
+#: Rows that pivots and axes are fitted on, about, and rounds of moving the pivots to their cells' means.
+FIT_ROWS, FIT_ROUNDS = 32_768, 4
+#: Principal axes with a box per cell.
+AXES = 16
+#: Cells of the first round, and growth from round to round.
+FIRST_CELLS, GROWTH = 1, 4
 #: Reference rows compared at a time.
 TILE_ROWS = 16384
 BLOCK_ROWS = 8192
@@ -35,6 +44,7 @@ CHUNK_ROWS = 32768
 #: Query rows of one distance matrix; keeps it near 16 MB.
 MATRIX_CELLS = 2_000_000
 SLACK = 1e-9
+ROUNDING = 1e-7
 
 OUT = "q_id bigint, t_id bigint, distance double"
 
@@ -99,7 +109,7 @@ def _smallest(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataF
 
 def knn_join(
     queries: DataFrame,
-    reference: DataFrame,
+    reference: DataFrame | NeighborIndex,
     k: int,
     id_column: str = "id",
     vector: str = "features",
@@ -110,22 +120,32 @@ def knn_join(
     """``q_id, t_id, distance, rank`` of the k nearest reference rows of each query.
 
     ``exclude_self`` skips the reference row with the query's own id. Ids are
-    integers, unique per side. Ties go to the smaller reference id.
+    integers, unique per side. Ties go to the smaller reference id. ``reference`` may be an index built before.
     """
+    if isinstance(reference, NeighborIndex):
+        found = reference.search(_side(queries, id_column, vector, "q"), k, exclude_self)
+        return _ranked(found, k)
     # Of identical vectors only the k smallest ids can be among the k nearest (one
     # more when the query itself may be one of them).
     reference = _smallest(_side(reference, id_column, vector, "t"), ["t_vec"], ["t_id"], k + int(exclude_self))
     # Both are read several times.
     reference = stored(reference, "knn-reference")
     queries = stored(_side(queries, id_column, vector, "q"), "knn-queries", "q_id")
-    size = reference.agg(F.count("*").alias("n"), F.max(F.size("t_vec")).alias("d")).first()
+    size = _size(reference)
     if not size["n"]:
         return queries.sparkSession.createDataFrame([], OUT + ", rank int")
     if size["n"] * (size["d"] * 8 + 8) <= broadcast_bytes:
         found = _search_broadcast(queries, reference, k, exclude_self)
     else:
-        count = pivots or round(size["n"] ** 0.5)
-        found = _search_cells(queries, reference, k, exclude_self, min(max(count, 1 if pivots else MIN_PIVOTS), MAX_PIVOTS))
+        found = build_index(reference, k + int(exclude_self), pivots, size["n"]).search(queries, k, exclude_self)
+    return _ranked(found, k)
+
+
+def _size(reference: DataFrame):
+    return reference.agg(F.count("*").alias("n"), F.max(F.size("t_vec")).alias("d")).first()
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "t_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -150,73 +170,151 @@ def _pivot_distances(vectors, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _search_cells(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool, count: int) -> DataFrame:
-    need = k + int(exclude_self)
-    # Bounded by MAX_PIVOTS: the driver holds pivots and one summary row per cell.
-    chosen = reference.select("t_vec").distinct().orderBy(F.xxhash64("t_vec")).limit(count).collect()
-    pivots = _matrix([r["t_vec"] for r in chosen])
-    between = _pivot_distances(list(pivots), pivots)
+@dataclass
+class NeighborIndex:
+    """Reference rows in cells, with what bounds the distance of a query to each cell.
+
+    ``cells`` has (t_id, t_vec, cell); the arrays have a row per cell and are bounded by MAX_PIVOTS. Of
+    identical vectors the ``copies`` smallest ids are kept, so k (and one more without the query itself) may be as many.
+    """
+
+    cells: DataFrame
+    pivots: np.ndarray
+    size: np.ndarray
+    far: np.ndarray
+    near: np.ndarray
+    centre: np.ndarray
+    axes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    copies: int
+    path: str
+    #: (query, cell) pairs that the last search visited, by round.
+    visits: list[int] = field(default_factory=list)
+
+    def lower_bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, cells): what no row of a cell can be nearer than, and the distances to the pivots."""
+        d = _pivot_distances(x, self.pivots)
+        closest = d.argmin(axis=1)
+        between = _pivot_distances(self.pivots[closest], self.pivots)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bisector = (d**2 - (d[np.arange(len(d)), closest] ** 2)[:, None]) / (2.0 * between)
+        bisector = np.where(np.isfinite(bisector), bisector, 0.0)
+        box = np.zeros_like(d)
+        for axis, place in enumerate(_on_axes(x, self.centre, self.axes).T):
+            gap = np.maximum(self.low[None, :, axis] - place[:, None], place[:, None] - self.high[None, :, axis])
+            box += np.maximum(gap, 0.0) ** 2
+        lower = np.maximum.reduce([d - self.far, self.near - d, bisector, np.sqrt(box)])
+        return np.where(self.size > 0, lower, np.inf), d
+
+    def search(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        """(q_id, t_id, distance): at least the k nearest of each row of ``queries`` (q_id, q_vec)."""
+        if k + int(exclude_self) > self.copies:
+            raise ValueError(f"the index keeps {self.copies} copies of a vector, too few for {k} neighbours")
+        self.visits.clear()
+        filled = int((self.size > 0).sum())
+        # Distances come from a matrix product, which is off by about the root of a double's precision near 0.
+        slack = ROUNDING * (1.0 + float(np.abs(self.far[np.isfinite(self.far)]).max(initial=0.0)) + float(np.abs(self.pivots).max(initial=0.0)))
+        step, seen, best = FIRST_CELLS, 0, None
+        active = queries.select("q_id", "q_vec", F.lit(float("inf")).alias("kth"))
+        index = self._without_frame()
+        while seen < filled:
+
+            def next_cells(batches: Iterator[pd.DataFrame], seen: int = seen, step: int = step) -> Iterator[pd.DataFrame]:
+                rows = max(1, MATRIX_CELLS // len(index.pivots))
+                for batch in batches:
+                    for start in range(0, len(batch), rows):
+                        part = batch.iloc[start : start + rows]
+                        lower, d = index.lower_bounds(_matrix(part["q_vec"]))
+                        order = np.lexsort((d, lower), axis=1)[:, seen : min(seen + step, filled)]
+                        q, place = np.nonzero(np.take_along_axis(lower, order, axis=1) <= (part["kth"].to_numpy() + slack)[:, None])
+                        yield pd.DataFrame({"q_id": part["q_id"].to_numpy()[q], "q_vec": part["q_vec"].to_numpy()[q], "cell": order[q, place].astype("int32")})
+
+            asked = stored(active.mapInPandas(next_cells, "q_id bigint, q_vec array<double>, cell int"), "knn-asked")
+            self.visits.append(asked.count())
+            if not self.visits[-1]:
+                break
+            found = _search_blocks(asked, self.cells, np.maximum(1, np.ceil(self.size / BLOCK_ROWS)).astype(int), k, exclude_self)
+            found = found if best is None else best.unionByName(found)
+            best = stored(_smallest(found, ["q_id"], ["distance", "t_id"], k), "knn-best")
+            seen, step = seen + step, step * GROWTH
+            # A query that asked for no cell this time never will again.
+            reach = best.groupBy(F.col("q_id").alias("_q")).agg(F.when(F.count("*") >= k, F.max("distance")).alias("_kth"))
+            asking = asked.groupBy("q_id").agg(F.first("q_vec").alias("q_vec"))
+            active = asking.join(reach, F.col("q_id") == F.col("_q"), "left").select("q_id", "q_vec", F.coalesce("_kth", F.lit(float("inf"))).alias("kth"))
+        return best if best is not None else queries.sparkSession.createDataFrame([], OUT)
+
+    def _without_frame(self) -> NeighborIndex:
+        """The arrays alone, as tasks get them."""
+        return NeighborIndex(None, self.pivots, self.size, self.far, self.near, self.centre, self.axes, self.low, self.high, self.copies, self.path)
+
+    def save(self, path: str) -> None:
+        """Store the index below ``path``; :func:`load_index` needs no pass over the rows."""
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
+        arrays = {n: getattr(self, n) for n in ("pivots", "size", "far", "near", "centre", "axes", "low", "high")}
+        rows = [(n, list(a.shape), bytearray(np.ascontiguousarray(a, float).tobytes())) for n, a in arrays.items()]
+        rows.append(("facts", [], bytearray(json.dumps({"copies": self.copies}).encode())))
+        self.cells.sparkSession.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+
+
+def load_index(spark: SparkSession, path: str) -> NeighborIndex:
+    rows = {r["name"]: r for r in spark.read.parquet(f"{path}/bounds").collect()}
+    copies = json.loads(bytes(rows.pop("facts")["data"]))["copies"]
+    arrays = {n: np.frombuffer(bytes(r["data"])).reshape(r["shape"]) for n, r in rows.items()}
+    return NeighborIndex(spark.read.parquet(f"{path}/cells"), **arrays, copies=copies, path=path)
+
+
+def index_rows(reference: DataFrame, copies: int = 8, id_column: str = "id", vector: str = "features", pivots: int | None = None) -> NeighborIndex:
+    """An index over a frame, for searches of up to ``copies`` neighbours (one less where a query leaves itself out)."""
+    rows = stored(_smallest(_side(reference, id_column, vector, "t"), ["t_vec"], ["t_id"], copies), "knn-reference")
+    return build_index(rows, copies, pivots, rows.count())
+
+
+def _on_axes(x: np.ndarray, centre: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Places on the axes, and the length of what they leave over."""
+    away = x - centre
+    places = away @ axes.T
+    rest = np.sqrt(np.maximum((away * away).sum(axis=1) - (places * places).sum(axis=1), 0.0))
+    return np.column_stack([places, rest])
+
+
+def build_index(rows: DataFrame, copies: int, pivots: int | None, total: int) -> NeighborIndex:
+    """Deal stored (t_id, t_vec) rows to cells. Pivots and axes come from a sample of bounded size, chosen by hash."""
+    spark = rows.sparkSession
+    count = min(max(pivots or round(total**0.5), 1 if pivots else MIN_PIVOTS), MAX_PIVOTS)
+    chosen = rows.select("t_vec").distinct().orderBy(F.xxhash64("t_vec")).limit(max(FIT_ROWS, count)).collect()
+    sample = _matrix([r["t_vec"] for r in chosen]) if chosen else np.zeros((1, 1))
+    book = sample[:count].copy()
+    for _ in range(FIT_ROUNDS):
+        own = np.concatenate([_pivot_distances(sample[a : a + 2048], book).argmin(axis=1) for a in range(0, len(sample), 2048)])
+        sums, n = np.zeros_like(book), np.bincount(own, minlength=len(book))
+        np.add.at(sums, own, sample)
+        book[n > 0] = sums[n > 0] / n[n > 0, None]
+    centre = sample.mean(axis=0)
+    axes = np.linalg.svd(sample - centre, full_matrices=False)[2][:AXES]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _pivot_distances(batch["t_vec"], pivots)
+                x = _matrix(batch["t_vec"])
+                d = _pivot_distances(x, book)
                 cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
-
-    placed = stored(reference.mapInPandas(place, "t_id bigint, t_vec array<double>, cell int, to_pivot double"), "knn-cells")
-    summary = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("to_pivot").alias("far"), F.min("to_pivot").alias("near")
-    ).collect()
-    size, far, near = np.zeros(len(pivots)), np.full(len(pivots), -np.inf), np.full(len(pivots), np.inf)
+                yield batch.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell], places=list(_on_axes(x, centre, axes)))
+
+    path = scratch_path(spark, "knn-index")
+    placed = rows.mapInPandas(place, "t_id bigint, t_vec array<double>, cell int, to_pivot double, places array<double>")
+    placed.write.parquet(f"{path}/cells")
+    placed = spark.read.parquet(f"{path}/cells")
+    ends = [f(F.col("places")[i]).alias(f"{name}{i}") for i in range(len(axes) + 1) for name, f in (("low", F.min), ("high", F.max))]
+    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("far"), F.min("to_pivot").alias("near"), *ends).collect()
+    cells, spans = len(book), len(axes) + 1
+    size, far, near = np.zeros(cells), np.full(cells, -np.inf), np.full(cells, np.inf)
+    low, high = np.full((cells, spans), np.inf), np.full((cells, spans), -np.inf)
     for row in summary:
-        size[row["cell"]], far[row["cell"]], near[row["cell"]] = row["n"], row["far"], row["near"]
-    blocks = np.maximum(1, np.ceil(size / BLOCK_ROWS)).astype(int)
-    slack = SLACK * (1.0 + float(np.abs(between).max()))
-    # Cells to start from: enough rows for a first k-th distance.
-    homes = np.flatnonzero(size >= need)
-    if len(homes) == 0:
-        homes = np.array([int(size.argmax())])
-
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = _pivot_distances(batch["q_vec"], pivots)[:, homes]
-                yield batch.assign(cell=homes[d.argmin(axis=1)].astype("int32"))
-
-    with_cell = "q_id bigint, q_vec array<double>, cell int"
-    at_home = stored(queries.mapInPandas(home, with_cell), "knn-starts")
-    first = _smallest(_search_blocks(at_home, placed, blocks, k, exclude_self), ["q_id"], ["distance", "t_id"], k)
-    first = stored(first, "knn-home")
-    reach = first.groupBy("q_id").agg(F.count("*").alias("got"), F.max("distance").alias("kth"))
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = _pivot_distances(batch["q_vec"], pivots)
-            start = batch["cell"].to_numpy()
-            full = (batch["got"].fillna(0).to_numpy() >= k)
-            reach_d = np.where(full, batch["kth"].fillna(np.inf).to_numpy(), np.inf)
-            closest = d.argmin(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bisector = (d**2 - (d[np.arange(len(d)), closest] ** 2)[:, None]) / (2.0 * between[closest])
-            bisector = np.where(np.isfinite(bisector), bisector, 0.0)
-            lower = np.maximum.reduce([d - far[None, :], near[None, :] - d, bisector])
-            open_cell = (lower <= (reach_d + slack)[:, None]) & (size > 0)[None, :]
-            open_cell[np.arange(len(d)), start] = False
-            rows, cells = np.nonzero(open_cell)
-            yield pd.DataFrame(
-                {
-                    "q_id": batch["q_id"].to_numpy()[rows],
-                    "q_vec": batch["q_vec"].to_numpy()[rows],
-                    "cell": cells.astype("int32"),
-                }
-            )
-
-    further = stored(at_home.join(reach, "q_id", "left").mapInPandas(others, with_cell), "knn-further")
-    second = _search_blocks(further, placed, blocks, k, exclude_self)
-    return first.unionByName(second)
+        at = row["cell"]
+        size[at], far[at], near[at] = row["n"], row["far"], row["near"]
+        low[at], high[at] = [row[f"low{i}"] for i in range(spans)], [row[f"high{i}"] for i in range(spans)]
+    return NeighborIndex(placed.select("t_id", "t_vec", "cell"), book, size, far, near, centre, axes, low, high, copies, path)
 
 
 def _search_blocks(queries: DataFrame, placed: DataFrame, blocks: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
@@ -260,10 +358,14 @@ def knn_probability(
     id_column: str = "id",
     vector: str = "features",
     label: str = "label",
+    index: NeighborIndex | None = None,
     **options,
 ) -> DataFrame:
-    """``q_id, probability``: inverse-distance vote of the k nearest; neighbours at distance 0 decide alone."""
-    near = knn_join(queries, train, k, id_column, vector, **options)
+    """``q_id, probability``: inverse-distance vote of the k nearest; neighbours at distance 0 decide alone.
+
+    ``index`` may be one built over ``train`` before.
+    """
+    near = knn_join(queries, train if index is None else index, k, id_column, vector, **options)
     votes = near.join(
         train.select(F.col(id_column).cast("bigint").alias("t_id"), F.col(label).cast("double").alias("_y")), "t_id"
     )

@@ -59,6 +59,61 @@ def test_knn_with_fewer_rows_than_k(spark):
         assert found == brute_force(x, 7, True)
 
 
+def clusters(n=3000, d=10, seed=2):
+    """Points near a surface of few dimensions, as scaled claim features are."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, 3)) @ rng.normal(size=(3, d)) + 0.05 * rng.normal(size=(n, d)) + 4 * rng.integers(0, 3, size=(n, 1))
+
+
+def test_bounds_hold_and_close_most_cells(spark):
+    x = clusters()
+    frame = frame_of(spark, x).repartition(4)
+    index = neighbors.index_rows(frame, 6)
+    lower, _ = index.lower_bounds(x[:200])
+    cell = {r["t_id"]: r["cell"] for r in index.cells.select("t_id", "cell").collect()}
+    owner = np.array([cell[i] for i in range(len(x))])
+    distance = np.sqrt(((x[:200, None] - x[None]) ** 2).sum(-1))
+    for c in np.unique(owner):
+        assert (lower[:, c] <= distance[:, owner == c].min(axis=1) + 1e-6).all()
+    found = collected(neighbors.knn_join(frame.where("id < 200"), index, 5, exclude_self=True))
+    order = np.lexsort((np.tile(np.arange(len(x)), (200, 1)), np.where(np.arange(200)[:, None] == np.arange(len(x)), np.inf, distance)), axis=1)[:, :5]
+    assert {q: [t for t, _ in hits] for q, hits in found.items()} == {q: order[q].tolist() for q in range(200)}
+    # The first round visits one cell per query; all rounds together less than half of all pairs.
+    assert index.visits[0] == 200 and sum(index.visits) < 0.5 * 200 * len(index.pivots)
+
+
+def test_a_saved_index_answers_as_before(spark, tmp_path, monkeypatch):
+    x = clusters(600)
+    frame = frame_of(spark, x)
+    config = models.LearningConfig(knn_k=5)
+    model = models.train_knn(frame, config, broadcast_bytes=0)
+    assert model.index is not None and models.train_knn(frame, config).index is None
+    models._save_model(model, str(tmp_path / "m"))
+    queries = frame_of(spark, clusters(50, seed=3))
+    before = {r["id"]: r["p"] for r in models.add_probability(model, queries, "p").collect()}
+
+    def refuse(*_):
+        raise AssertionError("rows are dealt to cells again")
+
+    monkeypatch.setattr(neighbors, "build_index", refuse)
+    loaded = models._load_model(spark, "knn", str(tmp_path / "m"), config)
+    after = {r["id"]: r["p"] for r in models.add_probability(loaded, queries, "p").collect()}
+    plain = {r["id"]: r["p"] for r in models.add_probability(models.train_knn(frame, config), queries, "p").collect()}
+    assert after == pytest.approx(before) and after == pytest.approx(plain)
+    links = {tuple(r) for r in balance.tomek_links(frame, index=loaded.index).collect()}
+    assert links == {tuple(r) for r in balance.tomek_links(frame).collect()}
+
+
+def test_an_index_with_too_few_copies_is_refused(spark):
+    frame = frame_of(spark, points(50))
+    index = neighbors.index_rows(frame, 3)
+    with pytest.raises(ValueError, match="too few"):
+        neighbors.knn_join(frame, index, 3, exclude_self=True)
+    empty = neighbors.index_rows(frame.where("false"), 3)
+    assert neighbors.knn_join(frame, empty, 2).count() == 0
+    assert neighbors.knn_join(frame.where("false"), index, 2).count() == 0
+
+
 def test_knn_probability_zero_distance_decides(spark):
     train = spark.createDataFrame([(0, [0.0], 1), (1, [0.0], 0), (2, [1.0], 1), (3, [4.0], 0)], "id long, features array<double>, label int")
     queries = spark.createDataFrame([(10, [0.0]), (11, [2.0])], "id long, features array<double>")
