@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..fixtures import claims_raw
 from ..operators import cleaning, features, fusion, mapping, policy, rules, views
+from ..session import scratch_path
+from ..streaming.history import stream_policy_history as stream_policy_history_of
 from .base import (
     CLEANED,
     PREPARED,
@@ -316,6 +320,26 @@ def dictionary_features(spark, sf_dir):
     return policy.dictionary_features(_policy_claims(spark, sf_dir)).select("row_idx", *ALL_DICTIONARY)
 
 
+@query("stream_policy_history", oracle(STATISTICS, f"SELECT row_idx, {', '.join(f'{s} AS {n}' for n, s in HISTORY.items())} FROM claims"))
+def stream_policy_history(spark, sf_dir):
+    """The claims as a stream of files in random order. One claim far ahead lets the watermark pass all others."""
+    path = scratch_path(spark, "claim-stream")
+    claims = _policy_claims(spark, sf_dir).select("row_idx", "policy_number", "incident_date")
+    first, last = claims.agg(F.min("incident_date"), F.max("incident_date")).first()
+    claims.repartition(4, F.xxhash64("row_idx")).write.parquet(f"{path}/in")
+    span = (last - first).days + 1
+    ahead = spark.range(1).select(F.lit(-1).cast("long").alias("row_idx"), F.lit("ahead").alias("policy_number"), F.lit(last + timedelta(days=2 * span)).alias("incident_date"))
+    arriving = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    columns = ["row_idx", *HISTORY]
+    out = stream_policy_history_of(arriving, delay=f"{span} days").select(*columns)
+    for more in (None, ahead.select(claims.columns)):
+        if more is not None:
+            more.write.mode("append").parquet(f"{path}/in")
+        writer = out.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        writer.option("checkpointLocation", f"{path}/progress").start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 # --- rules -------------------------------------------------------------------
 def _rule(name):
     key = {"rule_unusual_hour_list": "unusual_hour"}.get(name, name.removeprefix("rule_"))

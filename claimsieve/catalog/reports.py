@@ -9,7 +9,7 @@ from ..functions.normal import normal_cdf, normal_ppf
 from ..functions.text import quoted
 from ..operators import cleaning, explain, joins, profile, views
 from ..operators import runs as history
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import files
 from ..sources.run_store import RunStore
 from ..stats import normality
@@ -767,6 +767,33 @@ def rollup_kpis(spark, sf_dir):
     return history.rollup_kpis(_store(spark, sf_dir).rollup())
 
 
+#: The runs' rows by the state they were stored by.
+RUN_ROWS = "run_rows AS (SELECT claim_id, CASE incident_state " + " ".join(f"WHEN '{s}' THEN '{r}'" for s, r in (("OH", "north"), ("NY", "east"), ("CA", "west"))) + " ELSE 'south' END AS run_id FROM raw_scored)"
+RAW_SCORED = SCORED + """,
+raw_scored AS (SELECT c.claim_id, s.incident_state FROM scored s JOIN claims_raw c USING (row_idx))"""
+
+
+def _store_uploaded_ids(spark, sf_dir) -> RunStore:
+    """The runs with the ids as uploaded, so that many occur in several runs."""
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    ids = claims_raw(spark, sf_dir).select("row_idx", "claim_id")
+    frame = scored(spark, sf_dir).drop("claim_id").join(ids, "row_idx").select("row_idx", "claim_id", "incident_state", "final_risk_score", "risk_level", "fraud_prediction")
+    frame = stored(frame, "uploaded-ids")
+    for place, (name, rows) in enumerate(STORED_RUNS.items()):
+        store.store(frame.where(rows), name, 1.0, F.timestamp_seconds(F.lit(place)))
+    return store
+
+
+@query("stored_repeated_ids", oracle(f"{RAW_SCORED}, {RUN_ROWS}", "SELECT claim_id, count(DISTINCT run_id) AS runs, count(*) AS n FROM run_rows WHERE claim_id IS NOT NULL GROUP BY claim_id HAVING count(DISTINCT run_id) > 1"))
+def stored_repeated_ids(spark, sf_dir):
+    return _store_uploaded_ids(spark, sf_dir).repeated_ids()
+
+
+@query("stored_duplicate_ids", oracle(f"{RAW_SCORED}, {RUN_ROWS}", "SELECT count(*) - count(DISTINCT coalesce(claim_id, '-')) AS duplicate_ids FROM run_rows"))
+def stored_duplicate_ids(spark, sf_dir):
+    return _store_uploaded_ids(spark, sf_dir).count_duplicate_ids()
+
+
 #: A quantile from sketches is right if its rank in all values is.
 @query("rollup_quantiles", oracle(RAW, "SELECT c.col, true AS close_25, true AS close_50, true AS close_95 FROM (VALUES ('total_claim_amount'), ('final_risk_score')) c(col)"))
 def rollup_quantiles(spark, sf_dir):

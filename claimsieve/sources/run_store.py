@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.repeats import bits_for, build_filter, ids_of_several_runs
 from ..operators.runs import ROLLUP, rollup, run_records
 
 #: What the manifest keeps of a run besides its folders; ``timestamp`` is in microseconds.
@@ -32,6 +33,8 @@ RECORD = T.StructType([
     T.StructField("timestamp", T.LongType()), T.StructField("runtime", T.DoubleType()),
 ])
 COMMIT_TRIES = 20
+#: Kinds of folders a run has.
+FOLDERS = ("data", "rollup", "ids")
 #: Bytes of a file that merging aims at.
 FILE_BYTES = 256 << 20
 
@@ -139,6 +142,10 @@ class RunStore:
         counts = run_records(kept, []).fillna(0.0, ["avg_risk_score"]).withColumns({"run_id": F.lit(run_id), "timestamp": F.unix_micros(when), "runtime": F.lit(float(runtime))})
         entry = counts.select(*[F.col(f.name).cast(f.dataType) for f in RECORD]).first().asDict()
         entry |= {"data": data, "rollup": self._stage(rollup(kept), "rollup"), "shared": False, "schema": results.schema.json()}
+        entry |= {"ids": None, "distinct_ids": 0}
+        if "claim_id" in results.columns:
+            distinct = kept.agg(F.count_distinct("claim_id")).first()[0]
+            entry |= {"ids": self._stage(build_filter(kept, "claim_id", bits_for(distinct)), "ids"), "distinct_ids": distinct}
 
         def add(entries: list[dict]) -> list[dict]:
             refuse(entries)
@@ -179,11 +186,11 @@ class RunStore:
         """
         versions = self.versions()
         kept = versions[-keep_versions:] if keep_versions else []
-        used = {e[kind] for v in kept for e in self.entries(v) for kind in ("data", "rollup")}
+        used = {e[kind] for v in kept for e in self.entries(v) for kind in FOLDERS}
         limit, gone = time.time() * 1000 - older_than * 1000, 0
         for version in versions[: len(versions) - len(kept)]:
             self._system().delete(self._at("manifest", f"{version:012d}.json"), False)
-        for folder in ("data", "rollup"):
+        for folder in FOLDERS:
             for name, changed in self._names(folder):
                 if f"{folder}/{name}" not in used and changed <= limit:
                     self._system().delete(self._at(folder, name), True)
@@ -219,6 +226,34 @@ class RunStore:
         return self._read(entries, "rollup", ROLLUP) if entries else self.spark.createDataFrame([], ROLLUP)
 
 
+    def id_filters(self, version: int | None = None) -> dict[str, bytes]:
+        """The Bloom filter of each run's claim ids, at most ``MOST_BITS`` each."""
+        entries = [e for e in self.entries(version) if e["ids"] is not None]
+        folders = {e["ids"].rsplit("/", 1)[1]: e["run_id"] for e in entries}
+        if not folders:
+            return {}
+        read = self.spark.read.schema("filter binary").parquet(*[f"{self.path}/ids/{name}" for name in folders])
+        rows = read.select("filter", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder")).collect()
+        return {folders[r["folder"]]: bytes(r["filter"]) for r in rows}
+
+    def repeated_ids(self, version: int | None = None) -> DataFrame:
+        """(claim_id, runs, n): claim ids in more than one run. Only possible repeats are shuffled."""
+        return ids_of_several_runs(self.results(version=version), self.id_filters(version))
+
+    def count_duplicate_ids(self, version: int | None = None) -> DataFrame:
+        """One row: occurrences of claim ids beyond the first of each, over all runs.
+
+        The runs' own distinct counts are in the manifest; ids of several runs are counted once for each too often.
+        """
+        entries = self.entries(version)
+        rows, distinct = sum(e["claims_count"] for e in entries), sum(e["distinct_ids"] for e in entries)
+        nulls = self.results(version=version).where("claim_id IS NULL").agg((F.count("*") - 1).alias("n"))
+        # All rows without id are one id.
+        group = nulls.select(F.when(F.col("n") >= 0, 1).otherwise(0).alias("g")).scalar()
+        more = self.repeated_ids(version).agg(F.coalesce(F.sum(F.col("runs") - 1), F.lit(0)).alias("more"))
+        return more.select((F.lit(rows - distinct) + F.col("more") - group).cast("long").alias("duplicate_ids"))
+
+
 def _by(entries: list[dict], name: str) -> dict[str, list[dict]]:
     groups: dict[str, list[dict]] = {}
     for entry in entries:

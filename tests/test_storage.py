@@ -3,13 +3,15 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimsieve.operators import runs
+from claimsieve.operators import mapping, policy, repeats, runs
 from claimsieve.plans.pipeline import score_claims
 from claimsieve.sources import files, records
 from claimsieve.sources.run_store import CommitConflict, RunStore
+from claimsieve.streaming.history import stream_policy_history
 from claimsieve.streaming.scoring import score_stream
 
 #: Ten claims and the scores that the rule weights give them by hand.
@@ -209,7 +211,7 @@ def test_data_without_a_commit_is_not_read(spark, upload, tmp_path, monkeypatch)
             store.store(scored, "b", 1.0)
     assert store.runs().count() == 1 and store.results().count() == 10
     assert store.vacuum(older_than=3600) == 0
-    assert store.vacuum(older_than=0) == 2
+    assert store.vacuum(older_than=0) == 3
     store.store(scored, "b", 1.0)
     assert store.runs().count() == 2 and store.results().count() == 20
 
@@ -272,6 +274,85 @@ def test_rollups_add_up(spark, upload, tmp_path):
     assert runs.rollup_kpis(rolled.where("false")).first() == runs.dashboard_kpis(scored.where("false")).first()
 
 
+def test_repeats_across_runs_are_exact_and_filtered_before_the_shuffle(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    columns = "CAST(id AS STRING) AS claim_id", "'Low' AS risk_level", "1D AS final_risk_score", "'N' AS fraud_prediction"
+    ranges = {"a": (0, 3000), "b": (2900, 6000), "c": (6000, 9000), "d": (2950, 2960)}
+    for name, (start, end) in ranges.items():
+        store.store(spark.range(start, end).selectExpr(*columns), name, 1.0)
+    nulls = spark.range(3).selectExpr("CAST(NULL AS STRING) AS claim_id", *columns[1:])
+    store.store(nulls.union(spark.range(2999, 3001).selectExpr(*columns)).union(spark.range(2999, 3000).selectExpr(*columns)), "e", 1.0)
+    expected = {}
+    for name, (start, end) in [*ranges.items(), ("e", (2999, 3001))]:
+        for i in range(start, end):
+            expected.setdefault(str(i), []).append(name)
+    expected["2999"].append("e")
+    expected = {i: (len(set(runs)), len(runs)) for i, runs in expected.items() if len(set(runs)) > 1}
+    found = store.repeated_ids()
+    assert {r["claim_id"]: (r["runs"], r["n"]) for r in found.collect()} == expected
+    plain = mapping.count_duplicate_ids(store.results().withColumn("row_idx", F.lit(1))).first()[0]
+    assert store.count_duplicate_ids().first()[0] == plain
+    # The filter stands below the first exchange.
+    plan = store.repeated_ids()._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.rindex("Exchange") < plan.index("ArrowEvalPython")
+    candidates = repeats.possible_repeats(store.results(), store.id_filters())
+    assert candidates.count() - sum(n for _, n in expected.values()) < 9000 * 4 * 3 * repeats.FALSE_POSITIVES
+
+
+def test_filters_know_their_ids_and_few_others(spark):
+    ids = spark.range(20_000).selectExpr("CAST(id AS STRING) AS claim_id")
+    bits = repeats.bits_for(20_000)
+    filled = np.frombuffer(bytes(repeats.build_filter(ids.repartition(5), "claim_id", bits).first()[0]), np.uint8)
+    assert 8 * len(filled) == bits >= repeats.BITS_PER_ID * 20_000
+    hashes = spark.range(40_000).select(*repeats.id_hashes(F.col("id").cast("string"))).toPandas()
+    found = repeats.known(filled, hashes["h1"].to_numpy(), hashes["h2"].to_numpy())
+    assert found[:20_000].all() and found[20_000:].mean() < 2 * repeats.FALSE_POSITIVES
+    assert repeats.bits_for(0) == repeats.LEAST_BITS and repeats.bits_for(10**12) == repeats.MOST_BITS
+
+
+# --- policy history of a stream ---------------------------------------------------
+HISTORY = "row_idx long, policy_number string, incident_date date"
+
+
+def run_stream(spark, tmp_path, batches, **settings):
+    """Rows that a stream gives for batches of claims, one file each, in order."""
+    source, found = tmp_path / "in", tmp_path / "out"
+    for number, batch in enumerate(batches):
+        spark.createDataFrame(batch, HISTORY).coalesce(1).write.mode("append").parquet(str(source))
+        claims = spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", 1).parquet(str(source))
+        writer = stream_policy_history(claims, **settings).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        writer.option("checkpointLocation", str(tmp_path / "progress")).start(str(found)).awaitTermination()
+    return {r["row_idx"]: (r["days_since_last_claim"], r["claims_last_30d"], r["rule_high_frequency"]) for r in spark.read.parquet(str(found)).collect()}
+
+
+def day(n):
+    return dt.date(2024, 1, 1) + dt.timedelta(days=n)
+
+
+def test_a_stream_in_random_order_gives_the_batch_columns(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    claims = [(i, "hot" if i % 3 == 0 else f"p{rng.integers(0, 9)}" if i % 20 else None, day(int(rng.integers(0, 90)))) for i in range(300)]
+    shuffled = [claims[i] for i in rng.permutation(300)]
+    found = run_stream(spark, tmp_path, [shuffled[:150], shuffled[150:], [(999, "ahead", day(400))]], delay="95 days")
+    batch = policy.policy_history(spark.createDataFrame(claims, HISTORY)).collect()
+    assert found == {r["row_idx"]: (r["days_since_last_claim"], r["claims_last_30d"], r["rule_high_frequency"]) for r in batch}
+
+
+def test_late_claims_are_left_out_and_old_policies_forgotten(spark, tmp_path):
+    batches = [
+        [(1, "a", day(0)), (2, "b", day(1)), (3, "a", day(3))],
+        [(4, "x", day(40))],
+        # Day 2 has been settled by now.
+        [(5, "a", day(2)), (6, "a", day(45)), (7, "b", day(60))],
+        [(8, "x", day(300))],
+    ]
+    found = run_stream(spark, tmp_path, batches, delay="5 days", forget_days=50)
+    # Policy b's last claim was 59 days before.
+    assert found == {1: (-1, 1, 0), 2: (-1, 1, 0), 3: (3, 2, 0), 4: (-1, 1, 0), 6: (42, 1, 0), 7: (-1, 1, 0)}
+    with pytest.raises(ValueError, match="remembered"):
+        stream_policy_history(spark.readStream.schema(HISTORY).parquet(str(tmp_path / "in")), forget_days=30)
+
+
 def test_sketches_of_many_runs_keep_their_error_bound(spark):
     rows = spark.range(50_000).selectExpr("CAST(id % 20 AS STRING) AS run_id", "pow(hash(id) % 1000, 2) AS total_claim_amount", "IF(id % 7 = 0, NULL, id % 101) AS final_risk_score", "'Low' AS risk_level")
     rolled = runs.rollup(rows)
