@@ -37,6 +37,8 @@ HEADLINE = [
     "roc_auc",
     "feature_contributions",
     "lineitem_quality",
+    "ensemble_predict",
+    "score_claims_with_model",
 ]
 
 

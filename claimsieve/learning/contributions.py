@@ -88,6 +88,15 @@ def explain_predictions(df: DataFrame, importances: dict[str, float], key: str =
     )
 
 
+# --- fixed values: sentences of a prediction's text --------------------------
+#: More than 0.2 above the baseline, above it, more than 0.2 below, else.
+DIRECTIONS = ["significantly higher than", "slightly higher than", "significantly lower than", "near"]
+RISKS = ["elevated fraud risk", "moderate fraud risk", "low fraud risk", "neutral risk"]
+OPENING = ("Claim ", " has a fraud probability of ", "%, which is ", " the baseline ({:.1%}), indicating ", ".")
+BULLET, IMPACT = "  • ", " impact"
+INCREASING, DECREASING = "Key factors increasing fraud likelihood:", "Key factors decreasing fraud likelihood:"
+
+
 def contribution_text(key: Column, probability: Column, positive: Column, negative: Column) -> Column:
     """Multi-line text on a probability and its strongest contributors."""
 
@@ -100,27 +109,27 @@ def contribution_text(key: Column, probability: Column, positive: Column, negati
             .otherwise(near)
         )
 
-    direction = words(["significantly higher than", "slightly higher than", "significantly lower than", "near"])
-    risk = words(["elevated fraud risk", "moderate fraud risk", "low fraud risk", "neutral risk"])
+    direction = words(DIRECTIONS)
+    risk = words(RISKS)
 
     def bullets(items: Column, title: str, sign: str) -> Column:
         lines = F.transform(
             items,
             lambda c: F.concat(
-                F.lit("  • "), c["feature"], F.lit(f": {sign}"), fixed_text(F.abs(c["contribution"]), 3), F.lit(" impact")
+                F.lit(BULLET), c["feature"], F.lit(f": {sign}"), fixed_text(F.abs(c["contribution"]), 3), F.lit(IMPACT)
             ),
         )
         return F.when(F.size(items) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
 
+    claim, has, which, baseline, end = OPENING
     opening = F.concat(
-        F.lit("Claim "), key, F.lit(" has a fraud probability of "), fixed_text(probability * 100, 1),
-        F.lit("%, which is "), direction, F.lit(f" the baseline ({BASELINE:.1%}), indicating "), risk, F.lit("."),
+        F.lit(claim), key, F.lit(has), fixed_text(probability * 100, 1), F.lit(which), direction, F.lit(baseline.format(BASELINE)), risk, F.lit(end)
     )
     return F.concat_ws(
         "\n\n",
         opening,
-        bullets(positive, "Key factors increasing fraud likelihood:", "+"),
-        bullets(negative, "Key factors decreasing fraud likelihood:", "-"),
+        bullets(positive, INCREASING, "+"),
+        bullets(negative, DECREASING, "-"),
     )
 
 

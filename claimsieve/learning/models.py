@@ -32,6 +32,7 @@ from ..session import stored
 from .balance import scaling, smote, smote_tomek, stratified_folds, stratified_split, training_guard
 from .contributions import mean_importance
 from .metrics import average_precision, classification_metrics, f1_scores, roc_auc
+from .isotonic import fit_isotonic
 from .neighbors import BROADCAST_BYTES, NeighborIndex, index_rows, knn_probability, load_index
 
 
@@ -210,12 +211,6 @@ class Calibrated:
         return frame.select(*columns, F.expr(f"({total}) / {len(self.pairs)}D AS `{output}`"))
 
 
-def fit_isotonic(scored: DataFrame, score: str = "_score") -> IsotonicRegressionModel:
-    """Isotonic map from score to label; equal scores are merged into one weighted point first."""
-    points = scored.groupBy(score).agg(F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol=score, labelCol="label", weightCol="weight", predictionCol="_cal").fit(points)
-
-
 def _folds(frame: DataFrame, folds: int, config: LearningConfig) -> DataFrame:
     """Training rows with their fold."""
     return fit_frame(stratified_folds(frame.select("id", "features", "label"), "id", folds), "folds", config)

@@ -94,10 +94,30 @@ RULE_TITLES = {
     "no_witnesses_high_claim": "No Witnesses High",
 }
 
+# --- fixed values: sentences of reasons, explanations and summaries ----------
 NO_RULE_REASON = "Standard risk assessment based on claim characteristics"
 NO_RULE_SECOND = "All standard verification checks completed"
 ONE_RULE_SECOND = "Additional risk factors considered in overall assessment"
 NOTHING_ANALYZED = "No claims were analyzed."
+FIRST_FALLBACK, SECOND_FALLBACK = "Analysis detected: ", "Secondary concern: "
+NO_RULE_TEXT = ("Rule: ", " - No detailed explanation available")
+SCORE_OPENING = "The risk score of "
+#: Sentence endings from a score on, highest first.
+SCORE_ENDINGS = [
+    (80, "/100 indicates very high fraud likelihood."), (60, "/100 suggests elevated fraud risk."), (30, "/100 indicates moderate concern."),
+    (None, "/100 is within normal ranges."),
+]
+ONE_INDICATOR = "One fraud indicator was detected during analysis."
+MANY_INDICATORS = " fraud indicators were detected during analysis."
+#: Sentences above a probability, highest first.
+MODEL_SENTENCES = [
+    (0.7, "Machine learning models strongly suggest fraudulent activity."), (0.4, "Machine learning models indicate some concern."),
+    (0, "Machine learning models support legitimate classification."),
+]
+SUMMARY_OPENING = ("Analyzed ", " claims with an average risk score of ", "/100.")
+SUMMARY_BANDS = {"high": "require immediate investigation.", "medium": "need additional verification.", "low": "can proceed with standard processing."}
+SUMMARY_SHARE = (" claims (", "%) ")
+SUMMARY_INDICATORS = ("Most common fraud indicators: ", ".")
 
 WHITESPACE = " \t\n\r\f\v"
 
@@ -126,13 +146,13 @@ def _rule_text(rule: Column, key: Column, fallback: Column, friendly: bool) -> C
 
 def reason_1(rules: Column, key: Column, friendly: bool = False) -> Column:
     first = F.try_element_at(rules, F.lit(1))
-    fallback = F.concat(F.lit("Analysis detected: "), F.lower(first))
+    fallback = F.concat(F.lit(FIRST_FALLBACK), F.lower(first))
     return F.when(F.size(rules) == 0, NO_RULE_REASON).otherwise(_rule_text(first, key, fallback, friendly))
 
 
 def reason_2(rules: Column, key: Column, friendly: bool = False) -> Column:
     second = F.try_element_at(rules, F.lit(2))
-    fallback = F.concat(F.lit("Secondary concern: "), F.lower(second))
+    fallback = F.concat(F.lit(SECOND_FALLBACK), F.lower(second))
     return (
         F.when(F.size(rules) == 0, NO_RULE_SECOND)
         .when(F.size(rules) == 1, ONE_RULE_SECOND)
@@ -142,7 +162,7 @@ def reason_2(rules: Column, key: Column, friendly: bool = False) -> Column:
 
 def explain_rule(rule: Column, key: Column, friendly: bool = False) -> Column:
     """One of the texts of a rule, or a sentence saying there is none."""
-    fallback = F.concat(F.lit("Rule: "), rule, F.lit(" - No detailed explanation available"))
+    fallback = F.concat(F.lit(NO_RULE_TEXT[0]), rule, F.lit(NO_RULE_TEXT[1]))
     return _rule_text(rule, key, fallback, friendly)
 
 
@@ -152,23 +172,17 @@ def explanation_text(band: Column, score: Column, rules: Column, probability: Co
     known = F.when(known.isin("high", "medium"), known).otherwise("low")
     opening = stable_pick(lookup(BAND_TEXTS, F.concat(known, F.lit("_risk"))), key)
     shown = fixed_text(score, 2)
-    ending = (
-        F.when(score >= 80, "/100 indicates very high fraud likelihood.")
-        .when(score >= 60, "/100 suggests elevated fraud risk.")
-        .when(score >= 30, "/100 indicates moderate concern.")
-        .otherwise("/100 is within normal ranges.")
-    )
+    ending = F.lit(SCORE_ENDINGS[-1][1])
+    for least, words in reversed(SCORE_ENDINGS[:-1]):
+        ending = F.when(score >= least, words).otherwise(ending)
     count = F.size(rules)
-    counted = F.when(count == 1, F.lit("One fraud indicator was detected during analysis.")).when(
-        count > 1, F.concat(count.cast("string"), F.lit(" fraud indicators were detected during analysis."))
-    )
-    parts = [opening, F.concat(F.lit("The risk score of "), shown, ending), counted]
+    counted = F.when(count == 1, F.lit(ONE_INDICATOR)).when(count > 1, F.concat(count.cast("string"), F.lit(MANY_INDICATORS)))
+    parts = [opening, F.concat(F.lit(SCORE_OPENING), shown, ending), counted]
     if probability is not None:
-        parts.append(
-            F.when(probability > 0.7, "Machine learning models strongly suggest fraudulent activity.")
-            .when(probability > 0.4, "Machine learning models indicate some concern.")
-            .when(probability > 0, "Machine learning models support legitimate classification.")
-        )
+        said = F.lit(None).cast("string")
+        for above, words in reversed(MODEL_SENTENCES):
+            said = F.when(probability > above, words).otherwise(said)
+        parts.append(said)
     # concat_ws leaves out the sentences that do not apply (null).
     return F.concat_ws(" ", *parts)
 
@@ -224,19 +238,18 @@ def summary_insights(scored: DataFrame, band: str = "risk_level", score: str = "
     def share(column: str) -> Column:
         return fixed_text(F.try_divide(F.col(column), total) * 100, 1)
 
-    def sentence(column: str, ending: str) -> Column:
-        return F.concat(F.col(column).cast("string"), F.lit(" claims ("), share(column), F.lit(f"%) {ending}"))
+    def sentence(column: str) -> Column:
+        opening, ending = SUMMARY_SHARE
+        return F.concat(F.col(column).cast("string"), F.lit(opening), share(column), F.lit(ending + SUMMARY_BANDS[column]))
 
+    start, middle, end = SUMMARY_OPENING
     text = F.concat_ws(
         " ",
-        F.concat(
-            F.lit("Analyzed "), total.cast("string"), F.lit(" claims with an average risk score of "),
-            fixed_text(F.col("mean_score"), 1), F.lit("/100."),
-        ),
-        F.when(F.col("high") > 0, sentence("high", "require immediate investigation.")),
-        F.when(F.col("medium") > 0, sentence("medium", "need additional verification.")),
-        sentence("low", "can proceed with standard processing."),
-        F.when(F.col("names") != "", F.concat(F.lit("Most common fraud indicators: "), F.col("names"), F.lit("."))),
+        F.concat(F.lit(start), total.cast("string"), F.lit(middle), fixed_text(F.col("mean_score"), 1), F.lit(end)),
+        F.when(F.col("high") > 0, sentence("high")),
+        F.when(F.col("medium") > 0, sentence("medium")),
+        sentence("low"),
+        F.when(F.col("names") != "", F.concat(F.lit(SUMMARY_INDICATORS[0]), F.col("names"), F.lit(SUMMARY_INDICATORS[1]))),
     )
     return counts.withColumn("names", leading).select(
         F.when(total == 0, NOTHING_ANALYZED).otherwise(text).alias("insights")

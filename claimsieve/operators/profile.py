@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import clean_number
 from ..functions.text import quoted
 from ..plans.ordered import approximate_quantiles, exact_quantiles, numeric_columns
+from ..session import stored
 
 
 def _missing_counts(df: DataFrame) -> DataFrame:
@@ -48,9 +49,10 @@ def outlier_pct(df: DataFrame, columns: list[str] | None = None, approx: bool =
     """``column, outlier_pct``: rows outside 1.5 interquartile ranges, nulls count as rows.
 
     With the quartiles known, one scan counts the rows outside; no value is shuffled for
-    that. ``approx`` takes sketched quartiles.
+    that. The numeric columns are stored once, so what makes the frame runs once. ``approx`` takes sketched quartiles.
     """
     columns = columns or numeric_columns(df)
+    df = stored(df.select(*[F.col(f"`{c}`") for c in columns]), "profile") if columns else df
     shares = {"q1": 0.25, "q3": 0.75}
     quartiles = approximate_quantiles(df, columns, shares) if approx else exact_quantiles(df, columns, shares)
     bound = F.struct(

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from claimsieve.catalog import base
-from claimsieve.learning import balance, contributions, metrics, models, neighbors
+from claimsieve.learning import balance, contributions, isotonic, metrics, models, neighbors
 from claimsieve.plans.pipeline import score_claim, score_claims
 
 
@@ -122,6 +123,34 @@ def test_knn_probability_zero_distance_decides(spark):
     assert found[11] == pytest.approx((1 / 2 + 1 / 1) / (1 / 2 + 1 / 2 + 1 / 1 + 1 / 2))
 
 
+@pytest.mark.parametrize("parts", [1, 5, 70])
+def test_isotonic_pools_merge_to_the_same_map(spark, parts):
+    rng = np.random.default_rng(parts)
+    score = np.round(rng.random(2000), 3)
+    label = (rng.random(2000) < 0.2 + 0.5 * score**2).astype(int)
+    scored = spark.createDataFrame([(float(s), int(y)) for s, y in zip(score, label)], "_score double, label int").repartition(4)
+    found = isotonic.fit_isotonic(scored, parts=parts)
+    points = scored.groupBy("_score").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    plain = IsotonicRegression(featuresCol="_score", labelCol="label", weightCol="weight").fit(points)
+    assert np.allclose(found.boundaries.toArray(), plain.boundaries.toArray())
+    assert np.allclose(found.predictions.toArray(), plain.predictions.toArray())
+
+
+def test_isotonic_map_is_bounded_and_rises(spark):
+    # Every point is a block of its own.
+    scored = spark.range(5000).selectExpr("id / 5000D AS _score", "id / 5000D AS label")
+    points = scored.selectExpr("_score AS score", "label", "1D AS weight")
+    blocks = isotonic.pooled_blocks(points, parts=20, most=64).orderBy("low").collect()
+    assert len(blocks) <= 64 and sum(b["weight"] for b in blocks) == 5000
+    assert all(a["high"] < b["low"] and a["mean"] < b["mean"] for a, b in zip(blocks, blocks[1:]))
+    model = isotonic.fit_isotonic(scored.withColumn("label", F.col("label")), parts=20, most=64)
+    assert len(model.boundaries) <= 128
+    away = model.setFeaturesCol("_score").setPredictionCol("p").transform(scored).agg(F.max(F.abs(F.col("p") - F.col("label")))).first()[0]
+    assert away < 2 / 64
+    one = spark.createDataFrame([(0.5, 1)], "_score double, label int")
+    assert isotonic.fit_isotonic(one).predictions.toArray().tolist() == [1.0]
+
+
 def test_smote_reaches_parity_between_neighbours(spark):
     x = points(150, seed=3)
     labels = (np.arange(150) % 5 == 0).astype(int)
