@@ -159,6 +159,24 @@ def knn_probability(spark, sf_dir):
     return neighbors.knn_probability(split.where("is_test = 1"), split.where("is_test = 0"), 7)
 
 
+@query(
+    "train_knn_votes",
+    oracle(
+        VOTES,
+        """SELECT q_id AS id, round(CASE WHEN min(d) = 0 THEN avg(label) FILTER (d = 0) ELSE sum(label / d) / sum(1 / d) END, 6) AS probability
+FROM near WHERE rank <= 7 GROUP BY q_id""",
+    ),
+)
+def train_knn_votes(spark, sf_dir):
+    """The neighbour member over an index, saved and loaded, with all rows kept."""
+    split = balance.stratified_split(_vectors(spark, sf_dir), "id")
+    config = models.LearningConfig(knn_rows=None)
+    path = scratch_path(spark, "knn-member")
+    models._save_model(models.train_knn(split.where("is_test = 0"), config, broadcast_bytes=0), path)
+    model = models._load_model(spark, "knn", path, config)
+    return models.add_probability(model, split.where("is_test = 1"), "probability").select("id", "probability")
+
+
 SMOTE = f"""{VECTORS},
 sizes AS (SELECT count(*) FILTER (label = 0) AS zeros, count(*) FILTER (label = 1) AS ones FROM vectors),
 plan AS (SELECT CASE WHEN ones <= zeros THEN 1 ELSE 0 END AS minority_label, least(zeros, ones) AS minority, abs(zeros - ones) AS missing FROM sizes),
@@ -294,6 +312,14 @@ def _calibrated(member):
 for _key in NAMES:
     _calibrated(_key)
 
+
+@query("fold_scores")
+def fold_scores(spark, sf_dir):
+    """Counts and F1 of every fold; SQL can't fit a member, so there is no oracle."""
+    train_rows, _ = _split(spark, sf_dir)
+    return models.fold_scores(train_rows, ("lr", "knn"), FULL)
+
+
 _ENSEMBLES: dict = {}
 
 
@@ -356,6 +382,14 @@ def feature_importance(spark, sf_dir):
     return spread.selectExpr(f"inline(array({rows}))")
 
 
+@query("importance_values")
+def importance_values(spark, sf_dir):
+    """The importances themselves, largest first; SQL can't fit a tree, so there is no oracle."""
+    _, ensemble = _ensemble(spark, sf_dir)
+    rows = sorted(ensemble.importances.items(), key=lambda item: (-item[1], item[0]))
+    return spark.createDataFrame([(i, f, float(v)) for i, (f, v) in enumerate(rows, 1)], "rank int, feature string, importance double")
+
+
 @query(
     "explain_fitted",
     oracle(PREPARED, f"SELECT row_idx, {len(MODEL_FEATURES)} AS n_features, true AS consistent FROM prepared"),

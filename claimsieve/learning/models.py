@@ -231,8 +231,8 @@ def calibrate(name: str, frame: DataFrame, config: LearningConfig = LearningConf
     return Calibrated(fit_together([partial(one, i) for i in range(config.calibration_folds)], frame.sparkSession, config.fit_threads))
 
 
-def cross_validate(frame: DataFrame, members: tuple[str, ...], config: LearningConfig = LearningConfig()) -> DataFrame:
-    """``model, cv_f1``: mean F1 over stratified folds."""
+def fold_scores(frame: DataFrame, members: tuple[str, ...], config: LearningConfig = LearningConfig()) -> DataFrame:
+    """``model, fold, rows, hits, false_alarms, missed, f1``: each member fitted on the other folds and counted on its own."""
     folded = _folds(frame, config.validation_folds, config)
 
     def one(name: str, i: int) -> DataFrame:
@@ -241,12 +241,18 @@ def cross_validate(frame: DataFrame, members: tuple[str, ...], config: LearningC
         return scored.select(F.lit(name).alias("model"), "fold", "label", "probability")
 
     jobs = [partial(one, name, i) for name in members for i in range(config.validation_folds)]
-    parts = fit_together(jobs, frame.sparkSession, config.fit_threads)
-    parts = reduce(DataFrame.unionByName, parts)
-    hit, actual = F.col("probability") > 0.5, F.col("label") == 1
-    tp, wrong = F.count_if(hit & actual), F.count_if(hit != actual)
-    per_fold = parts.groupBy("model", "fold").agg(F.coalesce(F.try_divide(2 * tp, 2 * tp + wrong), F.lit(0.0)).alias("f1"))
-    return per_fold.groupBy("model").agg(F.avg("f1").alias("cv_f1"))
+    parts = reduce(DataFrame.unionByName, fit_together(jobs, frame.sparkSession, config.fit_threads))
+    said, actual = F.col("probability") > 0.5, F.col("label") == 1
+    counts = parts.groupBy("model", "fold").agg(
+        F.count("*").alias("rows"), F.count_if(said & actual).alias("hits"), F.count_if(said & ~actual).alias("false_alarms"), F.count_if(~said & actual).alias("missed")
+    )
+    f1 = F.try_divide(2 * F.col("hits"), 2 * F.col("hits") + F.col("false_alarms") + F.col("missed"))
+    return counts.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
+
+
+def cross_validate(frame: DataFrame, members: tuple[str, ...], config: LearningConfig = LearningConfig()) -> DataFrame:
+    """``model, cv_f1``: mean F1 over stratified folds."""
+    return fold_scores(frame, members, config).groupBy("model").agg(F.avg("f1").alias("cv_f1"))
 
 
 @dataclass

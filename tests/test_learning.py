@@ -151,6 +151,38 @@ def test_isotonic_map_is_bounded_and_rises(spark):
     assert isotonic.fit_isotonic(one).predictions.toArray().tolist() == [1.0]
 
 
+def test_fold_scores_against_a_plain_count(spark, monkeypatch):
+    frame = frame_of(spark, points(240, seed=5), (np.arange(240) % 3 == 0).astype(int))
+    config = models.LearningConfig(validation_folds=3, knn_k=3)
+    kept, add = [], models.add_probability
+
+    def watch(model, rows, output):
+        scored = add(model, rows, output)
+        kept.extend(scored.select("fold", "label", output).collect())
+        return scored
+
+    monkeypatch.setattr(models, "add_probability", watch)
+    found = {r["fold"]: r for r in models.fold_scores(frame, ("knn",), config).collect()}
+    assert sum(r["rows"] for r in found.values()) == 240 and set(found) == {0, 1, 2}
+    for fold, r in found.items():
+        pairs = [(x["probability"] > 0.5, x["label"] == 1) for x in kept if x["fold"] == fold]
+        counts = (pairs.count((True, True)), pairs.count((True, False)), pairs.count((False, True)))
+        assert (r["hits"], r["false_alarms"], r["missed"]) == counts
+        assert r["f1"] == pytest.approx(2 * counts[0] / max(1, 2 * counts[0] + counts[1] + counts[2]))
+    mean = models.cross_validate(frame, ("knn",), config).first()["cv_f1"]
+    assert mean == pytest.approx(np.mean([r["f1"] for r in found.values()]))
+
+
+def test_importances_are_the_trees_means(spark):
+    frame = frame_of(spark, points(200, seed=6), (points(200, seed=6)[:, 1] > 0.2).astype(int))
+    config = models.small_config(rf_trees=5)
+    forest, boosted = models.train_random_forest(frame, config), models.train_boosting(frame, config)
+    found = models.feature_importance({"rf": forest, "lgb": boosted, "knn": None}, ["a", "b", "c"])
+    shares = [m.featureImportances.toArray() / m.featureImportances.toArray().sum() for m in (forest, boosted)]
+    assert list(found.values()) == pytest.approx(np.mean(shares, axis=0).tolist())
+    assert max(found, key=found.get) == "b"
+
+
 def test_smote_reaches_parity_between_neighbours(spark):
     x = points(150, seed=3)
     labels = (np.arange(150) % 5 == 0).astype(int)
