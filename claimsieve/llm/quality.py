@@ -8,9 +8,9 @@ and per n-gram, or if it holds n-grams that mark toxic labelled texts. For a sam
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,32 +18,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .frames import col, fresh, take_words
+from .frames import col, fresh
 
 BITS = 16
 #: Features: hashed words, then hashed word pairs, then one for a word that repeats the one before.
 FEATURES = (1 << BITS) * 2 + 1
-#: Words remembered per task with their buckets, at most.
-REMEMBERED = 1 << 17
+#: Fixed value: bytes that separate words.
+SEPARATORS = [9, 10, 11, 12, 13, 32]
+IN_WORD = np.ones(256, bool)
+IN_WORD[SEPARATORS] = False
+BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-class Buckets(dict):
-    """Word to bucket; forgets all when full."""
+@lru_cache(maxsize=24)
+def powers(size: int) -> np.ndarray:
+    """Powers of BASE modulo 2 to the 64."""
+    return np.concatenate([[np.uint64(1)], np.full(size - 1, BASE)]).cumprod(dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        bucket = zlib.crc32(word) & ((1 << BITS) - 1)
-        self[word] = bucket
-        return bucket
+
+def word_buckets(text: str) -> np.ndarray:
+    """Bucket of each word of a text: a polynomial of its bytes, for all words at once."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = IN_WORD[data]
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    stops = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
+    sizes = stops - starts
+    first = sizes.cumsum() - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    # Table sizes are powers of two, so that few are made.
+    table = powers(max(64, 1 << int(sizes.max() - 1).bit_length()))
+    sums = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * table[place], first)
+    return (((sums ^ (sums >> np.uint64(29))) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(text: str | None, buckets: Buckets) -> np.ndarray:
+def features(text: str | None) -> np.ndarray:
     """Feature numbers of a whole text, one per word and one per pair of neighbouring words."""
-    words = take_words(text)
-    if not words:
-        return np.zeros(0, np.int64)
-    single = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
+    single = word_buckets(text) if isinstance(text, str) else np.zeros(0, np.int64)
+    if not len(single):
+        return single
     pair = ((single[:-1] * 0x9E3779B1 + single[1:] * 0x85EBCA77) >> 13) & ((1 << BITS) - 1)
     pair += 1 << BITS
     pair[single[:-1] == single[1:]] = FEATURES - 1
@@ -73,10 +87,10 @@ def count_features(docs: DataFrame, text: str, group: str, once: bool = False) -
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets, totals = Buckets(), {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for g, t in zip(batch["g"], batch["t"]):
-                found = np.unique(features(t, buckets)) if once else features(t, buckets)
+                found = np.unique(features(t)) if once else features(t)
                 if len(found):
                     total = totals.setdefault(g, np.zeros(FEATURES, np.int64))
                     np.add.at(total, found, 1)
@@ -118,11 +132,11 @@ def weigh(docs: DataFrame, model: ImportanceModel, text: str = "text", into: str
 
     @F.pandas_udf("n_features long, log_weight double, mean_log_weight double, accepted boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, buckets = shared.value, Buckets()
+        known = shared.value
         for texts in batches:
             n, total, toxic = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for i, t in enumerate(texts):
-                found = features(t, buckets)
+                found = features(t)
                 n[i], total[i] = len(found), known.log_ratio[found].sum()
                 toxic[i] = known.toxicity(found)
             mean = total / np.maximum(n, 1)
@@ -203,9 +217,8 @@ def choose_toxic_cut(labelled: DataFrame, model: ImportanceModel) -> float:
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        buckets = Buckets()
         for texts in batches:
-            yield pd.Series([shared.value.toxicity(features(t, buckets)) for t in texts], dtype=float)
+            yield pd.Series([shared.value.toxicity(features(t)) for t in texts], dtype=float)
 
     # A tenth of it, so that the histogram's range reaches to 80.
     return max(0.0, -10 * choose_cut(labelled.select((toxicity("text") / -10).alias("mean"), F.col("_good").alias("good")), at_least=0))

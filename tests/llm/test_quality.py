@@ -8,14 +8,24 @@ from claimsieve.llm import QUERIES, quality
 from pyspark.sql import functions as F
 
 
+def bucket(word):
+    total = sum((b + 1) * pow(0x100000001B3, i, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+    return ((total ^ (total >> 29)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - quality.BITS)
+
+
+def test_buckets_of_all_words_at_once():
+    for text in ("", " ", "a", " a  bc\t\nd\x0b", "é 漢字 🙂\x1cx", "x" * 70_000 + " y", "\ud800 z", "a\0b c"):
+        expected = [bucket(w) for w in text.encode("utf-8", "surrogatepass").split()]
+        assert quality.word_buckets(text).tolist() == expected
+
+
 def test_features():
-    buckets = quality.Buckets()
-    found = quality.features("a b b\tc", buckets)
-    a, b, c = (buckets[w] for w in (b"a", b"b", b"c"))
+    found = quality.features("a b b\tc")
+    a, b, c = (bucket(w) for w in (b"a", b"b", b"c"))
     assert found[:4].tolist() == [a, b, b, c]
     assert found[5] == quality.FEATURES - 1 and len(found) == 7
     assert all((1 << quality.BITS) <= x < quality.FEATURES for x in found[4:])
-    assert len(quality.features(None, buckets)) == len(quality.features(" \n", buckets)) == 0
+    assert len(quality.features(None)) == len(quality.features(" \n")) == len(quality.features("")) == 0
 
 
 def test_counts_against_a_plain_version(spark):
@@ -23,7 +33,7 @@ def test_counts_against_a_plain_version(spark):
     docs = docs.fillna({"aim": 0})
     expected = Counter()
     for r in docs.collect():
-        expected.update((r.aim, int(f)) for f in quality.features(r.text, quality.Buckets()))
+        expected.update((r.aim, int(f)) for f in quality.features(r.text))
     assert {(r.g, r.feature): r.n for r in quality.count_features(docs, "text", "aim").collect()} == expected
 
 
@@ -86,7 +96,7 @@ def plain_model(docs, labels):
     raw, target = Counter(), Counter()
     seen, groups = (Counter(), Counter()), [0, 0]
     for i, text in docs:
-        found = quality.features(text, quality.Buckets()).tolist()
+        found = quality.features(text).tolist()
         raw.update(found)
         if i in labels and i not in held:
             good, toxic = labels[i]
@@ -122,7 +132,7 @@ def test_weights_and_decisions_against_a_plain_version(spark):
     model = quality.fit_classifier(docs, labels)
     found = {r.doc_id: r.importance for r in quality.weigh(docs, model).collect()}
     for i, text in texts:
-        features = quality.features(text, quality.Buckets()).tolist()
+        features = quality.features(text).tolist()
         weight = math.fsum(ratio[f] for f in features)
         mean = weight / max(1, len(features))
         poison = math.fsum(toxic.get(f, 0.0) for f in set(features))
