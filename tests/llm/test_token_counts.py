@@ -4,7 +4,7 @@ import pytest
 from helpers import doc_table
 from tokenizers import Tokenizer
 
-from claimsieve.llm import token_counts
+from claimsieve.llm import QUERIES, token_counts
 from claimsieve.llm.queries import byte_bpe
 
 
@@ -66,3 +66,28 @@ def test_awkward_rows_add_up(spark):
 def test_unknown_rule(spark):
     with pytest.raises(ValueError):
         token_counts.section_token_counts(doc_table(spark), byte_bpe(), ["doc_id"], rule="none")
+
+
+def test_query_against_a_plain_version(spark):
+    folder = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(byte_bpe())
+    found = defaultdict(list)
+    for r in QUERIES["op2_token_counts"](spark, folder).orderBy("doc_id", "section").collect():
+        found[r.doc_id].append((r.start, r.stop, r.n_tokens))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert set(found) == {d.doc_id for d in docs}
+    for d in docs:
+        text = d.text or ""
+        begins = [0] + [k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text)]
+        assert [x[:2] for x in found[d.doc_id]] == list(zip(begins, begins[1:] + [len(text)]))
+        if len(text) < 3000:
+            assert [x[2] for x in found[d.doc_id]] == (plain(library, text, begins, "majority") if text else [0])
+        assert sum(x[2] for x in found[d.doc_id]) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_empty_and_null_starts(spark, rule):
+    docs = spark.createDataFrame([(1, "a b c", []), (2, "a b c", [None, 2]), (3, "a b c", None)], "doc_id long, text string, cuts array<int>")
+    rows = token_counts.section_token_counts(docs, byte_bpe(), ["doc_id"], starts="cuts", rule=rule).orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.start, r.stop) for r in rows] == [(1, 0, 5), (2, 0, 2), (2, 2, 5), (3, 0, 5)]
+    assert sum(r.n_tokens for r in rows if r.doc_id == 2) == 3
