@@ -47,6 +47,8 @@ class LearningConfig:
     members: tuple[str, ...] = ("lr", "rf", "knn", "lgb", "xgb")
     lr_c: float = 0.1
     lr_iterations: int = 1000
+    #: Relative change of the loss at which the fit ends; smaller ones only make the line search give up near the optimum.
+    lr_tolerance: float = 1e-5
     rf_trees: int = 200
     rf_depth: int = 15
     rf_min_leaf: int = 2
@@ -115,7 +117,7 @@ def train_logistic(frame: DataFrame, config: LearningConfig = LearningConfig())
     """L2 logistic regression. Spark averages the loss, hence the penalty 1 / (C·Σw)."""
     weighted, total = _balanced(frame)
     return LogisticRegression(
-        weightCol="weight", standardization=False, regParam=1.0 / (config.lr_c * total), maxIter=config.lr_iterations
+        weightCol="weight", standardization=False, regParam=1.0 / (config.lr_c * total), maxIter=config.lr_iterations, tol=config.lr_tolerance
     ).fit(weighted)
 
 
