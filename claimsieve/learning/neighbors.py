@@ -125,22 +125,28 @@ def knn_join(
     if isinstance(reference, NeighborIndex):
         found = reference.search(_side(queries, id_column, vector, "q"), k, exclude_self)
         return _ranked(found, k)
+    queries, reference = _side(queries, id_column, vector, "q"), _side(reference, id_column, vector, "t")
+    size = _size(reference)
     # Of identical vectors only the k smallest ids can be among the k nearest (one
     # more when the query itself may be one of them).
-    reference = _smallest(_side(reference, id_column, vector, "t"), ["t_vec"], ["t_id"], k + int(exclude_self))
-    # Both are read several times.
-    reference = stored(reference, "knn-reference")
-    queries = stored(_side(queries, id_column, vector, "q"), "knn-queries", "q_id")
-    size = _size(reference)
+    reference = _smallest(reference, ["t_vec"], ["t_id"], k + int(exclude_self))
+    if not _fits(size, broadcast_bytes):
+        # Both are read several times, unless copies were all that was too much.
+        reference, queries = stored(reference, "knn-reference"), stored(queries, "knn-queries", "q_id")
+        size = _size(reference)
     if not size["n"]:
         return queries.sparkSession.createDataFrame([], OUT + ", rank int")
-    if size["n"] * (size["d"] * 8 + 8) <= broadcast_bytes:
+    if _fits(size, broadcast_bytes):
         found = _search_broadcast(queries, reference, k, exclude_self)
     else:
         found = build_index(reference, k + int(exclude_self), pivots, size["n"]).search(queries, k, exclude_self)
     return _ranked(found, k)
 
 
+def _fits(size, broadcast_bytes: int) -> bool:
+    return size["n"] * ((size["d"] or 0) * 8 + 8) <= broadcast_bytes
+
+
 def _size(reference: DataFrame):
     return reference.agg(F.count("*").alias("n"), F.max(F.size("t_vec")).alias("d")).first()
 
@@ -161,7 +167,8 @@ def _search_broadcast(queries: DataFrame, reference: DataFrame, k: int, exclude_
             if len(batch):
                 yield nearest_in_tiles(batch["q_id"].to_numpy("int64"), _matrix(batch["q_vec"]), t_ids, t, k, exclude_self)
 
-    return queries.mapInPandas(search, OUT)
+    # A given number, so that few rows of much work aren't put into one task.
+    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_id").mapInPandas(search, OUT)
 
 
 def _pivot_distances(vectors, pivots: np.ndarray) -> np.ndarray:
