@@ -83,6 +83,27 @@ def test_bounds_hold_and_close_most_cells(spark):
     assert index.visits[0] == 200 and sum(index.visits) < 0.5 * 200 * len(index.pivots)
 
 
+def test_where_no_bound_holds_a_vector_goes_to_blocks_not_cells(spark, monkeypatch):
+    # Points spread evenly over a sphere: every query has to see all rows.
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 200)
+    x = np.random.default_rng(4).normal(size=(1000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = neighbors.index_rows(frame_of(spark, x), 6)
+    found = collected(neighbors.knn_join(frame_of(spark, x), index, 5, exclude_self=True))
+    assert found == brute_force(x, 5, True)
+    shelf = index.shelves()
+    assert len(index.pivots) > 30 and shelf.max() < 10 and all(index.size[shelf == s].sum() <= 200 for s in range(shelf.max() + 1))
+    assert sum(index.visits) <= 1000 * (shelf.max() + 1)
+
+
+def test_a_reach_shortens_the_list_but_not_the_result():
+    x = points(300)
+    ids = np.arange(300)
+    plain = neighbors.nearest_in_block(ids[:50], x[:50], ids, x, 4, True)
+    reach = plain.groupby("q_id")["distance"].max().to_numpy()
+    assert neighbors.nearest_in_block(ids[:50], x[:50], ids, x, 4, True, reach).equals(plain)
+
+
 def test_a_saved_index_answers_as_before(spark, tmp_path, monkeypatch):
     x = clusters(600)
     frame = frame_of(spark, x)
