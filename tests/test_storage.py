@@ -11,6 +11,7 @@ from claimsieve.operators import mapping, policy, repeats, runs
 from claimsieve.plans.pipeline import score_claims
 from claimsieve.sources import files, records
 from claimsieve.sources.run_store import CommitConflict, RunStore
+from claimsieve.streaming import history
 from claimsieve.streaming.history import stream_policy_history
 from claimsieve.streaming.scoring import score_stream
 
@@ -338,6 +339,30 @@ def test_a_stream_in_random_order_gives_the_batch_columns(spark, tmp_path):
     assert found == {r["row_idx"]: (r["days_since_last_claim"], r["claims_last_30d"], r["rule_high_frequency"]) for r in batch}
 
 
+def test_stream_state_is_called_for_buckets_of_policies(spark, tmp_path):
+    # Two hundred policies in three buckets: each bucket has several policies with histories of their own, and one policy is forgotten.
+    rng = np.random.default_rng(8)
+    claims = [(i, f"p{rng.integers(0, 200)}" if i % 25 else None, day(int(rng.integers(0, 120)))) for i in range(900)]
+    shuffled = [claims[i] for i in rng.permutation(900)]
+    found = run_stream(spark, tmp_path, [shuffled[:400], shuffled[400:], [(999, "ahead", day(500))]], delay="125 days", buckets=3)
+    batch = policy.policy_history(spark.createDataFrame(claims, HISTORY)).collect()
+    assert found == {r["row_idx"]: (r["days_since_last_claim"], r["claims_last_30d"], r["rule_high_frequency"]) for r in batch}
+    states = spark.read.format("statestore").load(str(tmp_path / "progress"))
+    assert 0 < states.count() <= 4
+
+
+def test_settled_days_come_in_steps():
+    never = np.array([history.NEVER, history.NEVER])
+    none = (np.zeros(0, int),) * 3
+    # Claims of day 1 in two steps, and a policy that is forgotten after 50 days.
+    last, counts, out = history.settle(never, none, (np.array([0, 0, 1]), np.array([5, 1, 1]), np.array([12, 11, 10])), 50)
+    assert out[["place", "row", "since", "recent"]].values.tolist() == [[0, 11, -1, 1], [0, 12, 4, 2], [1, 10, -1, 1]] and last.tolist() == [5, 1]
+    last, counts, out = history.settle(last, counts, (np.array([0, 0, 1]), np.array([31, 31, 52]), np.array([21, 20, 22])), 50)
+    # Day 1 is 30 days before day 31 and counts; policy 1's claim is 51 days later, so its first.
+    assert out[["place", "row", "since", "recent"]].values.tolist() == [[0, 20, 26, 4], [0, 21, 0, 4], [1, 22, -1, 1]]
+    assert [part.tolist() for part in counts] == [[0, 0, 1], [5, 31, 52], [1, 2, 1]]
+
+
 def test_late_claims_are_left_out_and_old_policies_forgotten(spark, tmp_path):
     batches = [
         [(1, "a", day(0)), (2, "b", day(1)), (3, "a", day(3))],
