@@ -1,5 +1,7 @@
 """Neighbours, balancing, metrics, models and contributions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import IsotonicRegression
@@ -334,3 +336,24 @@ def test_contributions(spark):
     assert contributions.mean_importance([[2.0, 2.0], [0.0, 1.0]], ["a", "b"]) == {"a": 0.25, "b": 0.75}
     assert contributions.mean_importance([], ["a", "b"]) == {"a": 0.5, "b": 0.5}
     assert contributions.top_importance({"unusual_hour": 0.1, "age": 0.9}, 1) == [("Age", 0.9)]
+
+
+def test_dealing_rows_to_cells_keeps_its_memory():
+    rng = np.random.default_rng(2)
+    x, pivots = rng.normal(size=(4000, 16)), rng.normal(size=(4096, 16))
+    tracemalloc.start()
+    cell, away = neighbors._nearest_pivot(x, pivots)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All rows at once would take 131 MB for one matrix of distances.
+    assert peak < 32e6
+    exact = np.sqrt(((x[:200, None] - pivots[None]) ** 2).sum(axis=2))
+    assert (cell[:200] == exact.argmin(axis=1)).all() and np.allclose(away[:200], exact.min(axis=1))
+
+
+def test_few_rows_are_brought_in_for_the_fit(spark):
+    rows = spark.range(3000).selectExpr("id AS t_id", "array(CAST(id % 1000 AS DOUBLE), 1D) AS t_vec")
+    hashes = [tuple(r[0]) for r in rows.select("t_vec").distinct().orderBy(F.xxhash64("t_vec")).collect()]
+    # Copies make the first share too small for 900; there are no 1,100 distinct vectors.
+    for wanted in (10, 900, 1100):
+        assert [tuple(v) for v in neighbors._lowest_hashes(rows, wanted, 3000)] == hashes[:wanted]
