@@ -37,6 +37,8 @@ COMMIT_TRIES = 20
 FOLDERS = ("data", "rollup", "ids")
 #: Bytes of a file that merging aims at.
 FILE_BYTES = 256 << 20
+#: Parts of a file that merging sorts on their own, since rows in memory take many times the bytes of their file.
+FILE_CHUNKS = 16
 
 
 class CommitConflict(RuntimeError):
@@ -171,9 +173,13 @@ class RunStore:
             size = sum(self._system().getContentSummary(self._at(f)).getLength() for f in folders)
             files = max(1, -(-size // file_bytes))
             rows = self._read(runs, "data", T.StructType.fromJson(json.loads(schema)))
-            # By run, so that a file has few runs; a large one is spread over many files.
-            merged = rows.repartitionByRange(files, "run_id", F.rand(3)).sortWithinPartitions("run_id")
-            data = self._stage(merged, "data")
+            # By run, so that a file has few runs; a large one is spread over many files. Chunks are sorted one by one and then put together.
+            chunks = max(1, -(-size * FILE_CHUNKS // file_bytes))
+            data = self._stage(rows.repartitionByRange(chunks, "run_id", F.rand(3)).sortWithinPartitions("run_id"), "data")
+            if chunks > files:
+                parts = data
+                data = self._stage(self.spark.read.schema(rows.schema).parquet(f"{self.path}/{parts}").coalesce(files), "data")
+                self._system().delete(self._at(parts), True)
             rolled = self._stage(self._read(runs, "rollup", ROLLUP).coalesce(1), "rollup")
             moved |= {e["run_id"]: e | {"data": data, "rollup": rolled, "shared": True} for e in runs}
         old = {e["run_id"]: e for e in before}

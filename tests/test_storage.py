@@ -254,6 +254,29 @@ def test_retention_merging_and_cleaning(spark, upload, tmp_path):
     assert len(store.versions()) == 1 and ids(store.results()) == ids(scored.where("row_idx = 0 OR row_idx % 4 = 3"))
 
 
+def test_merging_sorts_chunks_and_not_whole_files(spark, tmp_path, monkeypatch):
+    store, plans = RunStore(spark, str(tmp_path / "store")), []
+    rows = spark.range(20_000).selectExpr("id AS row_idx", "CAST(id AS STRING) AS claim_id", "md5(CAST(id AS STRING)) AS note", "id % 101 * 1.0D AS final_risk_score", "'Low' AS risk_level", "'Legitimate' AS fraud_prediction")
+    for i in range(4):
+        store.store(rows.where(f"row_idx % 4 = {i}"), f"run{i}", 1.0, F.timestamp_seconds(F.lit(i)))
+    size = sum(f.stat().st_size for f in (tmp_path / "store" / "data").rglob("*.parquet"))
+    stage = RunStore._stage
+
+    def seen(self, df, folder):
+        if folder == "data":
+            plans.append((df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions()))
+        return stage(self, df, folder)
+
+    monkeypatch.setattr(RunStore, "_stage", seen)
+    store.compact(file_bytes=size // 2)
+    assert max(n for plan, n in plans if "Sort" in plan) <= 3 * 16 + 1 and min(n for plan, n in plans if "Sort" in plan) >= 2 * 16
+    assert len(store.results().inputFiles()) <= 3 and len({e["data"] for e in store.entries()}) == 1
+    found = store.results().groupBy("run_id").agg(F.count("*").alias("n"), F.min(F.col("row_idx") % 4).alias("low"), F.max(F.col("row_idx") % 4).alias("high"))
+    assert {tuple(r) for r in found.collect()} == {(f"run{i}", 5_000, i, i) for i in range(4)}
+    # The chunks are gone: four runs as stored, and the merged ones.
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 5
+
+
 def test_runs_with_other_columns(spark, upload, tmp_path):
     store, scored = RunStore(spark, str(tmp_path / "store")), score_claims(upload)
     store.store(scored, "a", 1.0)
