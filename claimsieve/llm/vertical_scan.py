@@ -28,6 +28,8 @@ from .vectors import dimension
 BLOCK_ROWS = 8192
 ANCHOR_ROWS = 512
 COLUMNS = 8
+#: Blocks that a task reads per group of anchors, about, and tasks of one meeting at most.
+TASK_BLOCKS, MOST_TASKS = 16, 4096
 #: Ends of a range without limit.
 LEAST, MOST = -(1 << 62), 1 << 62
 
@@ -170,7 +172,8 @@ def hard_negatives(
     window[1] percent of the positive's are listed. Ties go to the smaller id. Rows without id or label, and vectors
     that are null, of another length than most, or hold a null or non-finite component take no part. Of rows
     with one id only the first by label and vector counts. A component beyond ``largest_component`` counts as that.
-    Groups of anchors meet blocks of vectors; no pair is a row.
+    Groups of anchors meet blocks of vectors; no pair is a row. Either side is shuffled once and read by the tasks that need
+    it: a join on the block would have to copy all groups for every block, through the driver where Spark broadcasts them.
     """
     rows, d = integer_vectors(vectors, label, scale, key, vector)
     chosen = vectors.filter(is_anchor).filter(col(key).isNotNull()).select(col(key).cast("long").alias("id")).distinct()
@@ -180,26 +183,31 @@ def hard_negatives(
     blocks = pack_blocks(rows, d, numbers)
     anchors = stored(rows.join(chosen, "id", "left_semi"), "anchors")
     groups = max(1, -(-anchors.count() // anchor_rows))
+    # Tasks with many blocks and few groups keep the best of an anchor together before the shuffle.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    block_parts = min(numbers, MOST_TASKS, max(-(-numbers // TASK_BLOCKS), -(-8 * cores // groups)))
+    group_parts = min(groups, max(1, MOST_TASKS // block_parts))
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         found = {"names": part["id"].to_numpy(np.int64), "own": part["label"].to_numpy(np.int64), "vecs": np.array(part["vec"].tolist(), np.int64)}
         if "ids" in part:
             found |= {"counts": part["ids"].map(len).to_numpy(np.int64), "ids": np.concatenate(list(part["ids"])), "scores": np.concatenate(list(part["scores"]))}
-        return pd.DataFrame({name: [np.ascontiguousarray(x, np.int64).tobytes()] for name, x in found.items()})
+        return pd.DataFrame({"grp": [int(key[0])]} | {name: [np.ascontiguousarray(x, np.int64).tobytes()] for name, x in found.items()})
 
     def meet(asking: DataFrame, look, result: str) -> DataFrame:
         """``look`` at every block with every group of anchors."""
         fields = ["names", "own", "vecs", *(["counts", "ids", "scores"] if "ids" in asking.columns else [])]
         dealt = asking.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-        packed = dealt.groupBy("grp").applyInPandas(pack, ", ".join(f"{f} binary" for f in fields))
-        packed = packed.withColumnsRenamed({"ids": "positive_ids"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))))
+        packed = dealt.groupBy("grp").applyInPandas(pack, ", ".join(["grp int", *(f"{f} binary" for f in fields)]))
+        packed = packed.withColumnsRenamed({"ids": "positive_ids"}).repartitionById(group_parts, F.pmod("grp", F.lit(group_parts)))
+        spread = blocks.repartitionById(block_parts, F.pmod("block", F.lit(block_parts)))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
                     yield look(unpack_block(row, d), row)
 
-        return packed.join(blocks, "block").repartition(max(1, min(numbers * groups, 10_000))).mapInPandas(run, result)
+        return spread.hint("shuffle_replicate_nl").crossJoin(packed).mapInPandas(run, result)
 
     def each_anchor(row) -> Iterator[tuple[int, int, np.ndarray]]:
         names, own = np.frombuffer(row.names, np.int64), np.frombuffer(row.own, np.int64)

@@ -73,6 +73,17 @@ def test_blocks_and_steps_change_nothing(spark, block, anchors, columns):
     assert found_rows(frame, F.col("vec_id") % 10 == 0, block_rows=block, anchor_rows=anchors, step=columns) == plain_negatives(rows, set(range(0, 400, 10)), 12)
 
 
+def test_groups_and_blocks_meet_without_copies_or_broadcast(spark):
+    """A group copied for every block and broadcast passes through the driver, however small Spark takes it to be."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist(), int(i % 3)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = vs.hard_negatives(frame, F.col("vec_id") % 4 == 0, F.col("label"), block_rows=16, anchor_rows=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate explode" not in plan and "CartesianProduct" in plan
+    assert set(map(tuple, found.collect())) == plain_negatives(rows, set(range(0, 400, 4)), 6)
+
+
 def test_scan_drops_candidates_before_the_last_column():
     rng = np.random.default_rng(6)
     n, d = 4000, 64
