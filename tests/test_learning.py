@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
-from claimsieve.catalog import base
+from claimsieve.catalog import base, learning
 from claimsieve.learning import balance, contributions, isotonic, metrics, models, neighbors
 from claimsieve.plans.pipeline import score_claim, score_claims
 
@@ -357,3 +357,20 @@ def test_few_rows_are_brought_in_for_the_fit(spark):
     # Copies make the first share too small for 900; there are no 1,100 distinct vectors.
     for wanted in (10, 900, 1100):
         assert [tuple(v) for v in neighbors._lowest_hashes(rows, wanted, 3000)] == hashes[:wanted]
+
+
+@pytest.fixture(scope="module")
+def many_events(spark, tmp_path_factory):
+    """Three thousand events, more than the thousand rows that model queries were once fitted on."""
+    path = tmp_path_factory.mktemp("events")
+    spark.range(3000).selectExpr(
+        "id AS event_id", "id % 150 AS user_id", "timestamp_seconds(1700000000 + id * 977) AS ts", "element_at(array('error', 'click', 'view'), CAST(id % 3 AS INT) + 1) AS event_type",
+        "CAST(id * 37 % 1009 AS DOUBLE) / 2 AS value", """concat('{"k": ', id * 7 % 100, '}') AS props""",
+    ).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_members_are_fitted_on_all_training_rows(spark, many_events):
+    train, test = learning._split(spark, many_events)
+    claims = base.prepared(spark, many_events).count()
+    assert train.count() + test.count() == claims and train.count() > 0.79 * claims
