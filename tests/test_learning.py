@@ -1,6 +1,8 @@
 """Neighbours, balancing, metrics, models and contributions."""
 
+import json
 import tracemalloc
+from dataclasses import asdict, replace
 
 import numpy as np
 import pytest
@@ -374,3 +376,39 @@ def test_members_are_fitted_on_all_training_rows(spark, many_events):
     train, test = learning._split(spark, many_events)
     claims = base.prepared(spark, many_events).count()
     assert train.count() + test.count() == claims and train.count() > 0.79 * claims
+
+
+def test_the_ensemble_is_fitted_on_all_labelled_rows(spark, many_events, monkeypatch):
+    """The linear member alone, as the other fits see the same rows."""
+    fit, train, seen = models.fit_member, models.train_ensemble, []
+
+    def watch(name, frame, config):
+        seen.append(frame.count())
+        return fit(name, frame, config)
+
+    def light(df, config, features):
+        return train(df, config=replace(config, members=("lr",), calibration_folds=2), features=features)
+
+    monkeypatch.setattr(models, "fit_member", watch)
+    monkeypatch.setattr(models, "train_ensemble", light)
+    monkeypatch.setattr(learning, "_ENSEMBLES", {})
+    frame, ensemble = learning._ensemble(spark, many_events)
+    claims = frame.count()
+    assert ensemble.metrics["n_samples"] == pytest.approx(0.2 * claims, abs=2)
+    # The balanced rows, of which few are ends of links; then what two folds leave each other.
+    balanced, *halves = seen
+    assert balanced > 0.8 * claims and sum(halves) == claims - ensemble.metrics["n_samples"]
+
+
+def test_neighbours_keep_all_training_rows(spark):
+    rows = spark.range(250_000).selectExpr("id", "array(CAST(id AS DOUBLE)) AS features", "CAST(id % 2 AS INT) AS label")
+    assert models.train_knn(rows).rows.count() == 250_000
+
+
+def test_models_stored_with_former_settings_are_read(spark, labelled, tmp_path):
+    model = models.train_ensemble(labelled, config=models.small_config(members=("lr",)), with_calibration=False)
+    former = {**asdict(model.config), "label_rows": 1000, "knn_rows": 200_000}
+    model.save(spark, str(tmp_path / "m"))
+    facts = json.loads(spark.read.schema("facts string").json(f"{tmp_path}/m/facts").first()["facts"])
+    spark.createDataFrame([(json.dumps({**facts, "config": former}),)], "facts string").write.mode("overwrite").json(f"{tmp_path}/m/facts")
+    assert models.Ensemble.load(spark, str(tmp_path / "m")).config == model.config
