@@ -100,6 +100,31 @@ def test_where_no_bound_holds_a_vector_goes_to_blocks_not_cells(spark, monkeypat
     assert sum(index.visits) <= 1000 * (shelf.max() + 1)
 
 
+def test_a_search_moves_every_vector_a_fixed_number_of_times(spark, monkeypatch):
+    """Four times as many shelves, none of which a bound closes: each vector is written as often as before."""
+    x = np.random.default_rng(9).normal(size=(800, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index, joined, store = neighbors.index_rows(frame_of(spark, x), 2), [], neighbors.stored
+
+    def watch(df, name, *rest):
+        joined.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name, *rest)
+
+    monkeypatch.setattr(neighbors, "stored", watch)
+    rows = []
+    for size in (400, 100):
+        monkeypatch.setattr(neighbors, "BLOCK_ROWS", size)
+        monkeypatch.setattr(neighbors, "CHUNK_ROWS", size)
+        joined.clear()
+        found = collected(neighbors.knn_join(frame_of(spark, x), index, 1, exclude_self=True))
+        assert found == brute_force(x, 1, True)
+        rows.append([name for name, _ in joined])
+    assert rows[0] == rows[1] == ["knn-asked", "knn-begun", "knn-best"]
+    # Chunks meet blocks where they are read, not in a shuffle of copies.
+    plan = dict(joined)["knn-best"]
+    assert "CartesianProduct" in plan and "FlatMapCoGroupsInPandas" not in plan and "Generate explode" not in plan
+
+
 def test_a_reach_shortens_the_list_but_not_the_result():
     x = points(300)
     ids = np.arange(300)
